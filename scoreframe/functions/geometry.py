@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import strip
+from .text import let, strip
 
 _KINDS = "POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION"
 
@@ -109,14 +109,29 @@ def _hex_to_wkt(s: pd.Series) -> pd.Series:
     return s.map(_wkb_or_none)
 
 
+# The expressions below are SQL text: they are long, and one parse builds them far
+# faster than call by call. {c} is the column, {grid} the grid size. The idiom
+# get(transform(array(x), v -> ...), 0) works x out once.
+
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?"
 _TUPLE = rf"{_NUMBER}(?:\s+{_NUMBER}){{1,3}}"
-_VALID_LEAF = (
-    rf"\A(?:POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON)(?:\s*(?:ZM|Z|M))?\s*"
-    rf"\((?:\s*[(),]|\s*{_TUPLE})*+\s*\)\z"
+_DIMS = r"(?:\s*(?:ZM|Z|M))?"
+_VALID = (
+    rf"\A(?:(?:POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON){_DIMS}\s*"
+    rf"(?=\()(?:\s*[(),]|\s*{_TUPLE})++|GEOMETRYCOLLECTION{_DIMS}\s*\(.*\)|(?:{_KINDS}){_DIMS}\s+EMPTY)\z"
+)
+_LEAF = (
+    r"(?:MULTI)?(?:POINT|LINESTRING|POLYGON)(?:\s*(?:ZM|Z|M))?\s*"
+    r"\((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+\)"
 )
 
 
+def _sql(text: str, name: str, **parts: object) -> Column:
+    for key, value in {"c": f"`{name}`", **parts}.items():
+        text = text.replace("{" + key + "}", str(value))
+    return F.expr(text)
+
+
 def decode_geom(c: Column | str) -> Column:
     """Upper-case WKT of a geometry cell without SRID; null when it cannot be decoded.
 
@@ -128,150 +143,100 @@ def decode_geom(c: Column | str) -> Column:
         _hex_to_wkt(F.when(hexa, c)),
         F.when(~hexa, F.regexp_replace(F.upper(c), r"\ASRID=\d+;\s*", "")),
     )
-    leaf = F.regexp_like(text, F.lit(_VALID_LEAF))
-    balanced = (
-        F.length(F.replace(text, F.lit("("), F.lit("")))
-        == F.length(F.replace(text, F.lit(")"), F.lit("")))
-    )
-    collection = F.regexp_like(text, F.lit(r"\AGEOMETRYCOLLECTION(?:\s*(?:ZM|Z|M))?\s*\(.*\)\z"))
-    empty = F.regexp_like(text, F.lit(rf"\A(?:{_KINDS})(?:\s*(?:ZM|Z|M))?\s+EMPTY\z"))
-    return F.when((leaf | collection) & balanced | empty, text)
-
-
-def canonical_text(wkt: Column | str) -> Column:
-    """WKT with one spelling: no Z tag (the third number says it), plain numbers, no blanks."""
-    t = F.regexp_replace(_col(wkt), r"(?<=[A-Z])\s*(?:ZM|Z)(?=\s*\()", "")
-    t = F.regexp_replace(t, r"\s*([(),])\s*", "$1")
-    pieces = F.split(t, r"(?=[(),])")
-    numbers = F.transform(
-        pieces,
-        lambda p: F.concat(
-            F.regexp_extract(p, r"\A[(),]", 0),
-            F.array_join(
-                F.transform(
-                    F.split(F.regexp_replace(p, r"\A[(),]", ""), r"\s+"),
-                    lambda n: F.coalesce(n.try_cast("double").cast("string"), n),
-                ),
-                " ",
-            ),
+    without = lambda t, mark: F.length(F.replace(t, F.lit(mark), F.lit("")))
+    return let(
+        text,
+        lambda t: F.when(
+            F.regexp_like(t, F.lit(_VALID)) & (without(t, "(") == without(t, ")")), t
         ),
     )
-    joined = F.array_join(numbers, "")
-    # (MULTI)POINT may or may not wrap each point.
-    points = F.regexp_replace(F.regexp_replace(joined, r"\),\(", ","), r"\(\((.*)\)\)", "($1)")
-    return F.when(joined.startswith("MULTIPOINT"), points).otherwise(joined)
-
 
-def _coords(group: Column) -> Column:
-    """array<array<double>> of one innermost coordinate list."""
-    return F.transform(
-        F.split(group, ","),
-        lambda p: F.transform(F.split(strip(p), r"\s+"), lambda n: n.try_cast("double")),
-    )
 
+_CANONICAL = r"""
+get(transform(array(array_join(
+  transform(
+    regexp_extract_all(
+      regexp_replace(regexp_replace({c}, r'(?<=[A-Z])\s*(?:ZM|Z)(?=\s*\()', ''), r'\s*([(),])\s*', '$1'),
+      '[(), ]|[^(), ]+', 0),
+    n -> coalesce(string(try_cast(n AS DOUBLE)), n)),
+  '')),
+  j -> CASE WHEN startswith(j, 'MULTIPOINT')
+            THEN regexp_replace(regexp_replace(j, r'\),\(', ','), r'\(\((.*)\)\)', '($1)') ELSE j END), 0)
+"""
 
-def _snap(points: Column, grid: float) -> Column:
-    """Grid cells of the points in the plane, repeated neighbours once."""
-    cells = F.transform(
-        points,
-        lambda p: F.array(
-            F.round(F.get(p, F.lit(0)) / grid).cast("bigint"),
-            F.round(F.get(p, F.lit(1)) / grid).cast("bigint"),
-        ),
-    )
-    return F.filter(
-        cells, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(cells, i - 1))
-    )
 
+def canonical_text(name: str) -> Column:
+    """Decoded WKT in one spelling: no Z tag (the third number says it), plain numbers,
+    no blanks, and points of a MULTIPOINT without parentheses of their own."""
+    return _sql(_CANONICAL, name)
 
-def _ring(cells: Column) -> Column:
-    """A ring without its closing point, from its least point, in the lesser direction."""
-    opened = F.slice(cells, 1, F.greatest(F.size(cells) - 1, F.lit(0)))
 
-    def from_least(a: Column) -> Column:
-        at = F.array_position(a, F.array_min(a)).cast("int")
-        return F.concat(F.slice(a, at, F.size(a)), F.slice(a, F.lit(1), at - 1))
+_GROUPS = r"regexp_extract_all(m, r'\(([^()]+)\)', 1)"
 
-    return F.when(
-        F.size(opened) > 0, F.least(from_least(opened), from_least(F.reverse(opened)))
-    ).otherwise(opened)
+# Grid cells of one coordinate list g, repeated neighbours once.
+_SNAP = r"""
+get(transform(array(transform(split(g, ','), p -> transform(
+    slice(split(trim(p), r'\s+'), 1, 2), v -> bigint(round(try_cast(v AS DOUBLE) / {grid}D))))),
+  a -> filter(a, (p, i) -> i = 0 OR NOT (p <=> get(a, i - 1)))), 0)
+"""
 
+# A closed list of cells from its least cell on, in the lesser direction.
+_RING = r"""
+get(transform(array({snap}), s -> get(transform(array(slice(s, 1, greatest(size(s) - 1, 0))), o ->
+  CASE WHEN size(o) = 0 THEN o ELSE array_min(transform(array(o, reverse(o)), d ->
+    concat(slice(d, int(array_position(d, array_min(d))), size(d)),
+           slice(d, 1, int(array_position(d, array_min(d))) - 1)))) END), 0)), 0)
+"""
 
-def _group_lists(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1))
+_SHAPE = r"""
+get(transform(array(regexp_extract_all({c}, r'{leaf}', 0)), ms -> concat(
+  string(array_sort(array_distinct(flatten(flatten(transform(
+    filter(ms, m -> contains(substring_index(m, '(', 1), 'POINT')),
+    m -> transform({groups}, g -> {snap}))))))),
+  string(array_sort(flatten(transform(
+    filter(ms, m -> contains(substring_index(m, '(', 1), 'LINESTRING')),
+    m -> transform({groups}, g -> get(transform(array({snap}), s -> least(s, reverse(s))), 0)))))),
+  string(array_sort(flatten(transform(
+    filter(ms, m -> contains(substring_index(m, '(', 1), 'POLYGON')),
+    m -> transform(split(m, r'\)\s*\)\s*,\s*\(\s*\('), part -> get(transform(array(transform(
+      regexp_extract_all(part, r'(?:\A|\()\s*([-+.,\dE\s]+?)\s*(?:\)|\z)', 1), g -> {ring})),
+      rs -> concat(slice(rs, 1, 1), array_sort(slice(rs, 2, greatest(size(rs), 1))))), 0))))))
+)), 0)
+"""
 
 
-def snapped_form(wkt: Column | str, grid: float = 1e-5) -> Column:
-    """Order-free form of the snapped shape in the plane, as text.
+def snapped_form(name: str, grid: float = 1e-5) -> Column:
+    """Order-free form of the decoded shape on the grid, as text.
 
     Points become a sorted set, lines run in their lesser direction, rings start at
     their least point; holes, parts and members are sorted. Single and multi
     types with the same content agree.
     """
-    leaf = (
-        r"(?:MULTIPOINT|POINT|MULTILINESTRING|LINESTRING|MULTIPOLYGON|POLYGON)(?:\s*(?:ZM|Z|M))?\s*"
-        r"\((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+\)"
-    )
-    members = F.regexp_extract_all(_col(wkt), F.lit(leaf), F.lit(0))
-    is_point = lambda m: F.regexp_like(m, F.lit(r"\A(?:MULTI)?POINT"))
-    is_line = lambda m: F.regexp_like(m, F.lit(r"\A(?:MULTI)?LINESTRING"))
-    lines_of = lambda m: F.transform(_group_lists(m), lambda g: _snap(_coords(g), grid))
-    points = F.array_sort(
-        F.array_distinct(
-            F.flatten(F.flatten(F.transform(F.filter(members, is_point), lines_of)))
-        )
-    )
-    lines = F.array_sort(
-        F.flatten(
-            F.transform(
-                F.filter(members, is_line),
-                lambda m: F.transform(lines_of(m), lambda a: F.least(a, F.reverse(a))),
-            )
-        )
-    )
-    areas = F.array_sort(
-        F.flatten(
-            F.transform(
-                F.filter(members, lambda m: ~is_point(m) & ~is_line(m)),
-                lambda m: F.transform(
-                    F.split(m, r"\)\s*\)\s*,\s*\(\s*\("),
-                    lambda part: _area(
-                        F.regexp_extract_all(
-                            part, F.lit(r"(?:\A|\()\s*([-+.,\dE\s]+?)\s*(?:\)|\z)"), F.lit(1)
-                        ),
-                        grid,
-                    ),
-                ),
-            )
-        )
-    )
-    return F.concat_ws(
-        "|", points.cast("string"), lines.cast("string"), areas.cast("string")
-    )
+    ring = _RING.replace("{snap}", _SNAP)
+    shape = _SHAPE.replace("{ring}", ring).replace("{snap}", _SNAP).replace("{groups}", _GROUPS)
+    return _sql(shape, name, leaf=_LEAF, grid=repr(float(grid)))
 
 
-def _area(rings: Column, grid: float) -> Column:
-    formed = F.transform(rings, lambda r: _ring(_snap(_coords(r), grid)))
-    return F.concat(
-        F.slice(formed, 1, 1), F.array_sort(F.slice(formed, F.lit(2), F.greatest(F.size(formed), F.lit(1))))
-    )
+_Z = r"""
+transform(
+  flatten(transform(regexp_extract_all({c}, r'\(([^()]+)\)', 1), g -> split(g, ','))),
+  p -> CASE WHEN NOT regexp_like({c}, r'[A-Z]\s*M\s*\(')
+            THEN try_cast(get(split(trim(p), r'\s+'), 2) AS DOUBLE) END)
+"""
 
 
-def z_values(wkt: Column | str) -> Column:
+def z_values(name: str) -> Column:
     """Z of every point in text order; null entries for points in the plane."""
-    text = _col(wkt)
-    has_z = ~F.regexp_like(text, F.lit(r"[A-Z]\s*M\s*\("))
-    points = F.flatten(F.transform(_group_lists(text), _coords))
-    return F.transform(points, lambda p: F.when(has_z, F.get(p, F.lit(2))))
+    return _sql(_Z, name)
 
 
-def ewkt_equal(a: Column | str, b: Column | str) -> Column:
-    """Same decoded text, whatever the spelling."""
+def ewkt_equal(a: str, b: str) -> Column:
+    """Same geometry text, whatever the spelling, of two decoded columns."""
     return F.coalesce(canonical_text(a) == canonical_text(b), F.lit(False))
 
 
-def geom_equal(a: Column | str, b: Column | str, grid: float = 1e-5) -> Column:
-    """Same shape in the plane after snapping to the grid."""
+def geom_equal(a: str, b: str, grid: float = 1e-5) -> Column:
+    """Same shape in the plane after snapping to the grid, of two decoded columns."""
     return F.coalesce(snapped_form(a, grid) == snapped_form(b, grid), F.lit(False))
 
 

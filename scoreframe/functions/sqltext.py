@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_ident, strip
+from .text import let, norm_ident, strip
 
 # Words never read as a column name.
 RESERVED = [

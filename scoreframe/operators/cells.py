@@ -350,7 +350,7 @@ def column_prints(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     ).select(
         "*",
         F.coalesce(G.canonical_text("_wkt"), F.lit(_NULL)).alias("_ewkt"),
-        F.when(F.col("_wkt").isNull(), F.lit(_NULL)).otherwise(G.snapped_form("_wkt")).alias("_shape"),
+        F.coalesce(G.snapped_form("_wkt"), F.lit(_NULL)).alias("_shape"),
     )
     one = lambda c: F.struct(F.count("*"), *_fingerprint(F.col(c)))
     return prepared.groupBy(*keys, "side", "col_idx").agg(

@@ -93,10 +93,15 @@ def _attempt(call: Callable[[], object], retries: int, delay: float) -> tuple[ob
     return None, "no attempt allowed"
 
 
-PREDICTION_FIELDS = T.StructType.fromDDL(
-    "response STRING, tokens_used BIGINT, error STRING, start_time DOUBLE, timestamp DOUBLE, "
-    "duration DOUBLE, thread_id BIGINT"
-)
+PREDICTION_FIELDS = [
+    T.StructField("response", T.StringType()),
+    T.StructField("tokens_used", T.LongType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("start_time", T.DoubleType()),
+    T.StructField("timestamp", T.DoubleType()),
+    T.StructField("duration", T.DoubleType()),
+    T.StructField("thread_id", T.LongType()),
+]
 
 
 def batch_predict(
@@ -116,7 +121,8 @@ def batch_predict(
     """
     if concurrency:
         df = df.repartition(concurrency)
-    schema = T.StructType([*df.schema.fields, *PREDICTION_FIELDS.fields])
+    schema = T.StructType([*df.schema.fields, *PREDICTION_FIELDS])
+    names = [f.name for f in PREDICTION_FIELDS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,7 +135,7 @@ def batch_predict(
                 rows.append(
                     (answer or "", tokens or 0, error, start, end, end - start, threading.get_ident())
                 )
-            made = pd.DataFrame(rows, columns=PREDICTION_FIELDS.names, index=batch.index)
+            made = pd.DataFrame(rows, columns=names, index=batch.index)
             yield pd.concat([batch, made], axis=1)
 
     return df.mapInPandas(run, schema)
@@ -140,9 +146,11 @@ def as_stored(df: DataFrame) -> DataFrame:
     return df.withColumn("pred_sql", strip_fences("response")).drop("response")
 
 
-EMBEDDING_FIELDS = T.StructType.fromDDL(
-    "vector ARRAY<FLOAT>, embed_tokens BIGINT, embed_error STRING"
-)
+EMBEDDING_FIELDS = [
+    T.StructField("vector", T.ArrayType(T.FloatType())),
+    T.StructField("embed_tokens", T.LongType()),
+    T.StructField("embed_error", T.StringType()),
+]
 
 
 def batch_embed(
@@ -156,7 +164,7 @@ def batch_embed(
 
     ``embed_tokens`` spreads the tokens of a call: the first row of a batch holds them.
     """
-    schema = T.StructType([*df.schema.fields, *EMBEDDING_FIELDS.fields])
+    schema = T.StructType([*df.schema.fields, *EMBEDDING_FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
