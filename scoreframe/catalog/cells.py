@@ -6,6 +6,7 @@ from ..functions.geometry import text_equal as same_text
 from ..functions.sqltext import order_spec as spec
 from ..operators import cells as C
 from ..operators.pairs import run_pairs as run
+from ..session import materialize
 from .registry import from_view, query, spark_sql
 
 
@@ -176,7 +177,7 @@ LEFT JOIN ({EQUAL}) e ON c.query_id = e.query_id AND c.col_idx = e.pc GROUP BY c
 def compare_columns(spark, sf):
     cells = _cells(spark, sf)
     passed = C.comparable(cells, C.row_count_gate(C.row_counts(cells)))
-    return C.compare_columns(C.column_prints(passed)).withColumn(
+    return C.compare_columns(materialize(C.column_prints(passed), "prints")).withColumn(
         "gold_cols", F.array_join(F.col("gold_cols").cast("array<string>"), ",")
     )
 
@@ -221,7 +222,7 @@ def match_geometry_columns(spark, sf):
 def subset_verdict(spark, sf):
     cells = _cells(spark, sf)
     passed = C.comparable(cells, C.row_count_gate(C.row_counts(cells)))
-    prints = C.column_prints(passed)
+    prints = materialize(C.column_prints(passed), "prints")
     return C.subset_verdict(prints, C.match_columns(passed, prints=prints))
 
 

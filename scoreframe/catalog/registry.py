@@ -81,7 +81,7 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 MODULES = [
-    "views", "text", "order", "runs", "enrich", "cells", "geometry",
+    "views", "text", "order", "runs", "enrich", "cells", "geometry", "calls", "refs",
 ]
 
 

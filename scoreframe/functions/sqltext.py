@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, norm_ident, strip
+from .text import WHITESPACE, norm_ident
 
 # Words never read as a column name.
 RESERVED = [
@@ -26,253 +26,208 @@ _PLAIN = "(),"
 _ARG_BREAK = "\ue003"
 
 _NAME = r"[A-Za-z_]\w*"
+CALL_LEAD = rf"\b({_NAME}(?:\s*\.\s*{_NAME})*)\s*\z"
+TABLE_LEAD = rf"#[ \t]*({_NAME})\s*\z"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+# --- SQL text of the expressions ---------------------------------------------------------
+# Long expressions are written as SQL text; ``let`` works a value out once and names it.
 
 
-def sanitize_sql(c: Column | str) -> Column:
-    """Comments and quoted texts replaced by a blank."""
-    t = F.regexp_replace(_col(c), r"(?s)/\*.*?\*/", " ")
-    t = F.regexp_replace(t, r"--[^\n\r]*", " ")
-    return F.regexp_replace(t, r"(?:'[^']*+')++", " ")
+def let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def mask_literals(c: Column | str) -> Column:
-    """Hide parentheses and commas that stand inside quoted text."""
-    parts = F.transform(
-        F.split(_col(c), "'"),
-        lambda p, i: F.when(i % 2 == 1, F.translate(p, _PLAIN, _HIDDEN)).otherwise(p),
-    )
-    return F.array_join(parts, "'")
-
+def stripped(c: str) -> str:
+    return f"btrim({c}, '{WHITESPACE}')"
 
-def unmask(c: Column) -> Column:
-    return F.translate(c, _HIDDEN, _PLAIN)
 
+def _sanitized(c: str) -> str:
+    return (
+        rf"regexp_replace(regexp_replace(regexp_replace({c}, r'(?s)/\*.*?\*/', ' '), "
+        rf"""r'--[^\n\r]*', ' '), r"(?:'[^']*+')++", ' ')"""
+    )
 
-def paren_pieces(c: Column | str) -> Column:
-    """array<struct<text, depth>>: the text cut before every parenthesis.
 
-    A piece that opens has the depth of its inside, one that closes the depth
-    around the closed pair.
-    """
-    parts = F.split(_col(c), r"(?=[()])")
-    step = lambda p: F.when(p.startswith("("), 1).when(p.startswith(")"), -1).otherwise(0)
-    depths = F.aggregate(
-        parts,
-        F.array().cast("array<int>"),
-        lambda acc, p: F.concat(
-            acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + step(p))
-        ),
-    )
-    return F.zip_with(
-        parts, depths, lambda p, d: F.struct(p.alias("text"), d.cast("int").alias("depth"))
+def _masked(c: str) -> str:
+    return (
+        f"array_join(transform(split({c}, \"'\"), (p, i) -> "
+        f"CASE WHEN i % 2 = 1 THEN translate(p, '{_PLAIN}', '{_HIDDEN}') ELSE p END), \"'\")"
     )
 
 
-def _first_below(pieces: Column, start: Column, depth: Column) -> Column:
-    """Index of the piece that closes the pair opened at ``start``; null if none does."""
-    size = F.size(pieces)
-    later = F.when(
-        start < size - 1,
-        F.filter(
-            F.sequence(start + 1, size - 1), lambda j: F.get(pieces, j)["depth"] < depth
-        ),
-    )
-    return F.get(later, F.lit(0))
+def unmasked(c: str) -> str:
+    return f"translate({c}, '{_HIDDEN}', '{_PLAIN}')"
 
 
-def _top_level_items(pieces: Column, start: Column, stop: Column, depth: Column) -> Column:
-    """The comma list between an opening piece and its closing piece, items trimmed."""
-    inside = F.slice(pieces, start + 1, stop - start)
-    text = F.array_join(
-        F.transform(
-            inside,
-            lambda p: F.when(
-                p["depth"] == depth, F.translate(p["text"], ",", _ARG_BREAK)
-            ).otherwise(p["text"]),
-        ),
-        "",
+def _pieces(c: str) -> str:
+    return let(
+        f"split({c}, r'(?=[()])')",
+        "parts",
+        "zip_with(parts, aggregate(parts, CAST(array() AS ARRAY<INT>), (acc, p) -> concat(acc, array("
+        "coalesce(try_element_at(acc, -1), 0) + CASE WHEN startswith(p, '(') THEN 1 "
+        "WHEN startswith(p, ')') THEN -1 ELSE 0 END))), "
+        "(p, d) -> named_struct('text', p, 'depth', d))",
     )
-    items = F.transform(F.split(F.substr(text, F.lit(2)), _ARG_BREAK), strip)
-    return F.filter(items, lambda a: a != "")
 
 
-def groups_after(pieces: Column | str, lead: str) -> Column:
-    """Parenthesised groups whose lead-in matches ``lead`` (its group 1 is the name).
+def closed_groups(p: str, lead: str) -> str:
+    """Closed parenthesised groups of the pieces ``p`` whose lead-in matches ``lead``.
 
-    Returns array<struct<start, stop, name, items>>; a group that never closes has
-    null ``stop`` and ``items``.
+    array<struct<start, stop, name, items>>: the name is group 1 of the lead-in, the items are
+    the comma list at the group's own depth, trimmed.
     """
-    pieces = _col(pieces)
-    starts = F.when(
-        F.size(pieces) > 1,
-        F.filter(
-            F.sequence(F.lit(1), F.size(pieces) - 1),
-            lambda k: F.get(pieces, k)["text"].startswith("(")
-            & F.regexp_like(F.get(pieces, k - 1)["text"], F.lit(lead)),
-        ),
-    )
-    with_stop = F.transform(
-        F.coalesce(starts, F.array().cast("array<int>")),
-        lambda k: F.struct(
-            k.alias("start"),
-            _first_below(pieces, k, F.get(pieces, k)["depth"]).alias("stop"),
-        ),
-    )
-    return F.transform(
-        with_stop,
-        lambda g: F.struct(
-            g["start"].alias("start"),
-            g["stop"].alias("stop"),
-            F.regexp_extract(F.get(pieces, g["start"] - 1)["text"], lead, 1).alias("name"),
-            F.when(
-                g["stop"].isNotNull(),
-                _top_level_items(
-                    pieces, g["start"], g["stop"], F.get(pieces, g["start"])["depth"]
-                ),
-            ).alias("items"),
-        ),
+    items = (
+        f"filter(transform(split(substr(array_join(transform(slice({p}, g.start + 1, g.stop - g.start), "
+        f"x -> CASE WHEN x.depth = get({p}, g.start).depth THEN translate(x.text, ',', '{_ARG_BREAK}') "
+        f"ELSE x.text END), ''), 2), '{_ARG_BREAK}'), a -> {stripped('a')}), a -> a <> '')"
     )
+    return f"""
+transform(
+  filter(
+    transform(
+      filter(sequence(1, greatest(size({p}) - 1, 1)),
+        k -> startswith(get({p}, k).text, '(') AND regexp_like(get({p}, k - 1).text, r'{lead}')),
+      k -> named_struct('start', k, 'stop',
+        get(filter(sequence(k + 1, greatest(size({p}) - 1, k + 1)), j -> get({p}, j).depth < get({p}, k).depth), 0))),
+    g -> g.stop IS NOT NULL),
+  g -> named_struct('start', g.start, 'stop', g.stop,
+    'name', regexp_extract(get({p}, g.start - 1).text, r'{lead}', 1), 'items', {items}))
+"""
 
 
-CALL_LEAD = rf"\b({_NAME}(?:\s*\.\s*{_NAME})*)\s*\z"
-TABLE_LEAD = rf"#[ \t]*({_NAME})\s*\z"
+def outermost(gs: str) -> str:
+    """The groups that lie in no other one."""
+    return f"filter({gs}, g -> NOT exists({gs}, o -> o.start < g.start AND o.stop > g.start))"
 
 
-def unquote_literal(c: Column) -> Column:
-    """Content of a quoted argument (a trailing ``::type`` is dropped); null for others."""
-    t = F.regexp_replace(strip(c), r"::\s*\w+\s*\z", "")
-    inner = F.replace(
-        F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))), F.lit("''"), F.lit("'")
+def unquoted(arg: str) -> str:
+    """Content of a quoted argument, a trailing ``::type`` dropped; null for others."""
+    return let(
+        rf"regexp_replace({stripped(arg)}, r'::\s*\w+\s*\z', '')",
+        "u",
+        "CASE WHEN startswith(u, \"'\") AND endswith(u, \"'\") AND length(u) >= 2 "
+        "THEN replace(substr(u, 2, length(u) - 2), \"''\", \"'\") END",
     )
-    quoted = t.startswith("'") & t.endswith("'") & (F.length(t) >= 2)
-    return F.when(quoted, inner)
 
 
-def schema_tables(pieces: Column | str) -> Column:
-    """array<struct<table, columns>> from pieces of ``# name (col type, ...)`` text.
+_FROM = rf'(?i)\b(?:from|join)\b\s+("?[A-Za-z_][\w.]*"?)(?:\s+(?:as\s+)?({_NAME}))?'
+_QUALIFIED = r'\b("?[A-Za-z_][\w$]*"?)\s*\.\s*("?[A-Za-z_][\w$]*"?)\b'
+_BARE = rf"(?U)(?<!\.)\b({_NAME})\b(?!\s*\()"
+
 
-    A group inside another closed table is part of that table. The first
-    definition of a name wins.
-    """
-    groups = F.filter(groups_after(pieces, TABLE_LEAD), lambda g: g["stop"].isNotNull())
-    outer = F.filter(
-        groups,
-        lambda g: ~F.exists(
-            groups, lambda o: (o["start"] < g["start"]) & (o["stop"] > g["start"])
-        ),
+def from_items(c: str) -> str:
+    return (
+        f"zip_with(regexp_extract_all({c}, r'{_FROM}', 1), regexp_extract_all({c}, r'{_FROM}', 2), (r, a) -> "
+        "named_struct('raw', btrim(r, '\"`'), 'table', element_at(split(btrim(r, '\"`'), '[.]'), -1), "
+        "'alias', nullif(a, '')))"
     )
-    tables = F.transform(
-        outer,
-        lambda g: F.struct(
-            g["name"].alias("table"),
-            F.filter(
-                F.transform(
-                    g["items"], lambda i: F.regexp_extract(i, rf'\A["`]?({_NAME})', 1)
-                ),
-                lambda n: n != "",
-            ).alias("columns"),
-        ),
+
+
+def owner_pairs(c: str) -> str:
+    return let(
+        _sanitized(c),
+        "clean",
+        f"zip_with(regexp_extract_all(clean, r'{_QUALIFIED}', 1), regexp_extract_all(clean, r'{_QUALIFIED}', 2), "
+        "(x, y) -> named_struct('owner', btrim(x, '\"'), 'column', btrim(y, '\"')))",
     )
-    return F.filter(
-        tables,
-        lambda t, i: F.array_position(F.transform(tables, lambda x: x["table"]), t["table"])
-        == i + 1,
+
+
+def bare_names(c: str) -> str:
+    words = ", ".join(f"'{w}'" for w in RESERVED)
+    return (
+        f"filter(array_distinct(regexp_extract_all({_sanitized(c)}, r'{_BARE}', 1)), "
+        f"n -> lower(n) NOT IN ({words}))"
     )
 
 
-_FROM = rf'(?i)\b(?:from|join)\b\s+("?[A-Za-z_][\w.]*"?)(?:\s+(?:as\s+)?({_NAME}))?'
+# --- column functions; each takes the name of a column ------------------------------------
 
 
-def from_tables(c: Column | str) -> Column:
-    """array<struct<raw, table, alias>> of the FROM and JOIN items in text order.
+def sanitize_sql(name: str) -> Column:
+    """Comments and quoted texts replaced by a blank."""
+    return F.expr(_sanitized(name))
 
-    ``table`` is the last dotted part; only the first item of a comma list is seen.
+
+def paren_pieces(name: str, masked: bool = True) -> Column:
+    """array<struct<text, depth>>: the text cut before every parenthesis.
+
+    A piece that opens has the depth of its inside, one that closes the depth around the
+    closed pair. ``masked`` keeps quoted parentheses and commas out of it.
+    """
+    return F.expr(_pieces(_masked(name) if masked else name))
+
+
+def schema_tables(name: str) -> Column:
+    """array<struct<table, columns>> of ``# name (col type, ...)`` text.
+
+    A group inside another closed table is part of that table. The first definition of a
+    name wins.
     """
-    raws = F.regexp_extract_all(_col(c), F.lit(_FROM), F.lit(1))
-    aliases = F.regexp_extract_all(_col(c), F.lit(_FROM), F.lit(2))
-    return F.zip_with(
-        raws,
-        aliases,
-        lambda r, a: F.struct(
-            F.btrim(r, F.lit('"`')).alias("raw"),
-            F.element_at(F.split(F.btrim(r, F.lit('"`')), r"\."), -1).alias("table"),
-            F.nullif(a, F.lit("")).alias("alias"),
+    columns = (
+        rf"filter(transform(g.items, i -> regexp_extract(i, r'\A[\"`]?({_NAME})', 1)), n -> n <> '')"
+    )
+    tables = f"transform({outermost('gs')}, g -> named_struct('table', g.name, 'columns', {columns}))"
+    firsts = let(
+        tables,
+        "ts",
+        let(
+            "transform(ts, t -> t.table)",
+            "names",
+            "filter(ts, (t, i) -> array_position(names, t.table) = i + 1)",
         ),
     )
+    return F.expr(let(_pieces(name), "ps", let(closed_groups("ps", TABLE_LEAD), "gs", firsts)))
 
 
-_QUALIFIED = r'\b("?[A-Za-z_][\w$]*"?)\s*\.\s*("?[A-Za-z_][\w$]*"?)\b'
+def from_tables(name: str) -> Column:
+    """array<struct<raw, table, alias>> of the FROM and JOIN items in text order.
+
+    ``table`` is the last dotted part; only the first item of a comma list is seen.
+    """
+    return F.expr(from_items(name))
 
 
-def qualified_columns(c: Column | str) -> Column:
+def qualified_columns(name: str) -> Column:
     """array<struct<owner, column>> of the ``owner.column`` pairs."""
-    clean = sanitize_sql(c)
-    lefts = F.regexp_extract_all(clean, F.lit(_QUALIFIED), F.lit(1))
-    rights = F.regexp_extract_all(clean, F.lit(_QUALIFIED), F.lit(2))
-    return F.zip_with(
-        lefts,
-        rights,
-        lambda left, right: F.struct(
-            F.btrim(left, F.lit('"')).alias("owner"), F.btrim(right, F.lit('"')).alias("column")
-        ),
-    )
+    return F.expr(owner_pairs(name))
 
 
-def bare_columns(c: Column | str) -> Column:
+def bare_columns(name: str) -> Column:
     """Distinct names, in first-seen order, that stand neither behind a dot nor before "("."""
-    names = F.array_distinct(
-        F.regexp_extract_all(
-            sanitize_sql(c), F.lit(rf"(?U)(?<!\.)\b({_NAME})\b(?!\s*\()"), F.lit(1)
-        )
-    )
-    return F.filter(names, lambda n: ~F.lower(n).isin(RESERVED))
+    return F.expr(bare_names(name))
 
 
-def order_spec(c: Column | str) -> Column:
+def order_spec(name: str) -> Column:
     """array<struct<column, ascending>> of a plain ORDER BY list."""
-    sql = F.lower(F.rtrim(F.regexp_replace(strip(F.coalesce(_col(c), F.lit(""))), r";+\z", "")))
-    body = F.regexp_extract(sql, r"(?s)\border\s+by\s+(.*?)(?:\s+limit\b|;|\z)", 1)
-    item = r'\A([\w."`]+)(?:\s+(asc|desc))?\z'
-    items = F.filter(
-        F.transform(F.split(body, ","), strip), lambda p: F.regexp_like(p, F.lit(item))
+    item = r'\A([\w.\"`]+)(?:\s+(asc|desc))?\z'
+    body = (
+        rf"regexp_extract(lower(regexp_replace({stripped(f"coalesce({name}, '')")}, r';+\z', '')), "
+        r"r'(?s)\border\s+by\s+(.*?)(?:\s+limit\b|;|\z)', 1)"
     )
-    return F.transform(
-        items,
-        lambda p: F.struct(
-            F.btrim(F.regexp_extract(p, item, 1), F.lit('`"')).alias("column"),
-            (F.regexp_extract(p, item, 2) != "desc").alias("ascending"),
-        ),
+    return F.expr(
+        f"transform(filter(transform(split({body}, ','), p -> {stripped('p')}), p -> regexp_like(p, r'{item}')), "
+        f"p -> named_struct('column', btrim(regexp_extract(p, r'{item}', 1), '\"`'), "
+        f"'ascending', regexp_extract(p, r'{item}', 2) <> 'desc'))"
     )
 
 
-def structure_valid(c: Column | str, pieces: Column | str) -> Column:
-    """Whether a text has the shape of a statement: a statement keyword in front,
-    closed quotes, balanced parentheses and something behind the keyword.
+def structure_valid(name: str, pieces: str) -> Column:
+    """Whether a text has the shape of a statement: a statement keyword in front, closed
+    quotes, balanced parentheses and no clause left open at its end.
 
-    ``pieces`` are the pieces of the masked text.
+    ``pieces`` names the pieces of the masked text.
     """
-    c, pieces = _col(c), _col(pieces)
-    depths = F.transform(pieces, lambda p: p["depth"])
-    clean = strip(F.regexp_replace(sanitize_sql(c), r"[\s;]+\z", ""))
-    quotes = F.length(c) - F.length(F.replace(c, F.lit("'"), F.lit("")))
-    return F.coalesce(
-        (quotes % 2 == 0)
-        & (F.element_at(depths, -1) == 0)
-        & (F.array_min(depths) >= 0)
-        & F.regexp_like(
-            clean,
-            F.lit(
-                r"(?is)\A\(*\s*(?:select|with|update|delete|insert|create|drop|alter|values|explain)"
-                r"\b\s*\S.*"
-            ),
-        )
-        & ~F.regexp_like(clean, F.lit(r"(?is)(?:,|\b(?:from|where|and|or|by|select|join|on))\z")),
-        F.lit(False),
+    keywords = "select|with|update|delete|insert|create|drop|alter|values|explain"
+    clean = stripped(rf"regexp_replace({_sanitized(name)}, r'[\s;]+\z', '')")
+    test = (
+        f"(length({name}) - length(replace({name}, \"'\", ''))) % 2 = 0 "
+        "AND element_at(ds, -1) = 0 AND array_min(ds) >= 0 "
+        rf"AND regexp_like(clean, r'(?is)\A\(*\s*(?:{keywords})\b\s*\S.*') "
+        r"AND NOT regexp_like(clean, r'(?is)(?:,|\b(?:from|where|and|or|by|select|join|on)|[=<>+*/-])\z')"
     )
+    depths = f"transform({pieces}, p -> p.depth)"
+    return F.expr(f"coalesce({let(depths, 'ds', let(clean, 'clean', test))}, false)")
 
 
 # Short names of types and the names the database reports.
@@ -284,33 +239,28 @@ TYPE_ALIASES = {
     "timestamptz": "timestamp with time zone",
 }
 
-
-def type_name(c: Column) -> Column:
+def _type_name(t: str) -> str:
     """A written type as the database names it, without length and in lower case."""
-    t = strip(F.regexp_replace(F.lower(c), r"\s*\([^()]*\)", ""))
-    t = F.regexp_replace(t, r"\s+", " ")
-    aliases = F.create_map(*[F.lit(x) for kv in TYPE_ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(aliases, t), t)
-
-
-def literal_type(arg: Column) -> Column:
-    """Type of an argument read from its text; null when it is no cast or literal."""
-    cast_to = r"(?is)\A.*::\s*([A-Za-z_][\w ]*(?:\([^()]*\))?)\s*\z"
-    cast_call = r"(?is)\Acast\s*\(.*\bas\s+([A-Za-z_][\w ]*(?:\([^()]*\))?)\s*\)\z"
-    number = F.try_to_number(F.regexp_replace(arg, r"[^0-9]", ""), F.lit("9" * 30))
-    return (
-        F.when(F.regexp_like(arg, F.lit(cast_call)), type_name(F.regexp_extract(arg, cast_call, 1)))
-        .when(F.regexp_like(arg, F.lit(cast_to)), type_name(F.regexp_extract(arg, cast_to, 1)))
-        .when(
-            F.regexp_like(arg, F.lit(r"\A[+-]?\d+\z")),
-            F.when(number <= 2147483647, F.lit("integer"))
-            .when(number <= F.lit(9223372036854775807), F.lit("bigint"))
-            .otherwise(F.lit("numeric")),
-        )
-        .when(F.regexp_like(arg, F.lit(r"(?i)\A[+-]?(\d+\.\d*|\.\d+|\d+)(e[+-]?\d+)?\z")), F.lit("numeric"))
-        .when(F.lower(arg).isin("true", "false"), F.lit("boolean"))
-        .when(F.regexp_like(arg, F.lit(r"(?s)\A[Ee]?'.*'\z")) | (F.lower(arg) == "null"), F.lit("unknown"))
-    )
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in TYPE_ALIASES.items())
+    plain = rf"regexp_replace({stripped(rf"regexp_replace(lower({t}), r'\s*\([^()]*\)', '')")}, r'\s+', ' ')"
+    return let(plain, "w", f"coalesce(try_element_at(map({pairs}), w), w)")
+
+
+def literal_type(a: str) -> str:
+    """SQL for the type of an argument read from its text; null when it is no cast or literal."""
+    written = r"([A-Za-z_][\w ]*(?:\([^()]*\))?)"
+    cast_call = rf"(?is)\Acast\s*\(.*\bas\s+{written}\s*\)\z"
+    cast_to = rf"(?is)\A.*::\s*{written}\s*\z"
+    size = f"try_cast({a} AS DECIMAL(38, 0))"
+    return f"""
+CASE WHEN regexp_like({a}, r'{cast_call}') THEN {_type_name(f"regexp_extract({a}, r'{cast_call}', 1)")}
+     WHEN regexp_like({a}, r'{cast_to}') THEN {_type_name(f"regexp_extract({a}, r'{cast_to}', 1)")}
+     WHEN regexp_like({a}, r'\\A[+-]?\\d+\\z') THEN CASE WHEN abs({size}) <= 2147483647 THEN 'integer'
+       WHEN abs({size}) <= 9223372036854775807 THEN 'bigint' ELSE 'numeric' END
+     WHEN regexp_like({a}, r'(?i)\\A[+-]?(\\d+\\.\\d*|\\.\\d+|\\d+)(e[+-]?\\d+)?\\z') THEN 'numeric'
+     WHEN lower({a}) IN ('true', 'false') THEN 'boolean'
+     WHEN regexp_like({a}, r"(?s)\\A[Ee]?'.*'\\z") OR lower({a}) = 'null' THEN 'unknown' END
+"""
 
 
 def call_name(arg: Column) -> Column:
@@ -318,14 +268,14 @@ def call_name(arg: Column) -> Column:
     return F.lower(F.regexp_extract(arg, rf"(?s)\A({_NAME}(?:\.{_NAME})*)\s*\(.*\)\z", 1))
 
 
-def ref_pairs(tables: Column | str) -> Column:
+def ref_pairs(tables: str) -> Column:
     """Distinct (table, column) pairs of picked tables, names normalised.
 
     Tables without columns leave no pair.
     """
     pairs = F.flatten(
         F.transform(
-            F.coalesce(_col(tables), F.array().cast("array<struct<table:string,columns:array<string>>>")),
+            F.coalesce(F.col(tables), F.array().cast("array<struct<table:string,columns:array<string>>>")),
             lambda t: F.transform(
                 F.coalesce(t["columns"], F.array().cast("array<string>")),
                 lambda c: F.struct(

@@ -18,22 +18,21 @@ def _empty() -> Column:
 
 
 def with_calls(df: DataFrame, sql: str = "pred_sql", name: str = "calls") -> DataFrame:
-    """Add array<struct<fn, args>> of all closed calls in text order, nested ones included."""
+    """Add array<struct<fn, args>> of all closed calls in text order, nested ones included,
+    and ``structure_valid``."""
+    groups = S.closed_groups("ps", S.CALL_LEAD)
+    found = S.let(
+        "_pieces",
+        "ps",
+        rf"transform({groups}, g -> named_struct('fn', lower(regexp_replace(g.name, r'\s+', '')), "
+        f"'args', transform(g.items, i -> {S.unmasked('i')})))",
+    )
     return (
-        df.withColumn("_pieces", S.paren_pieces(S.mask_literals(sql)))
-        .withColumn("_groups", S.groups_after("_pieces", S.CALL_LEAD))
-        .withColumn(
-            name,
-            F.transform(
-                F.filter("_groups", lambda g: g["stop"].isNotNull()),
-                lambda g: F.struct(
-                    F.lower(F.regexp_replace(g["name"], r"\s+", "")).alias("fn"),
-                    F.transform(g["items"], S.unmask).alias("args"),
-                ),
-            ),
+        df.withColumn("_pieces", S.paren_pieces(sql))
+        .withColumns(
+            {name: F.expr(found), "structure_valid": S.structure_valid(sql, "_pieces")}
         )
-        .withColumn("structure_valid", S.structure_valid(sql, "_pieces"))
-        .drop("_groups", "_pieces")
+        .drop("_pieces")
     )
 
 
@@ -68,11 +67,11 @@ def arg_types(
     (function_name, return_type) gives its function. All else, such as a column, has an
     ``ERROR`` type. ``keys`` identify a row.
     """
-    own = F.transform(args, S.literal_type)
+    literal = S.literal_type("a")
     if returns is None:
         return df.withColumn(
             "actual_arg_types",
-            F.transform(own, lambda t: F.coalesce(t, F.lit(UNKNOWN_TYPE))),
+            F.expr(f"transform({args}, a -> coalesce({literal}, '{UNKNOWN_TYPE}'))"),
         )
     table = returns.select(
         F.lower("function_name").alias("_fn"), F.col("return_type").alias("_returned")
@@ -89,11 +88,8 @@ def arg_types(
         df.join(named, list(keys), "left")
         .withColumn(
             "actual_arg_types",
-            F.transform(
-                args,
-                lambda a, i: F.coalesce(
-                    S.literal_type(a), F.try_element_at(F.col("_by_pos"), i), F.lit(UNKNOWN_TYPE)
-                ),
+            F.expr(
+                f"transform({args}, (a, i) -> coalesce({literal}, try_element_at(_by_pos, i), '{UNKNOWN_TYPE}'))"
             ),
         )
         .drop("_by_pos")

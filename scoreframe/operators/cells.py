@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.text import strip
+from ..session import materialize
 
 KEYS = ("query_id",)
 PRED, GOLD = "pred", "gold"
@@ -472,8 +473,10 @@ def match_columns(
 
     (keys, pred_col, gold_col, column_type, pass counts). Text columns are matched by
     counting. The few geometry pairs, one row per pair of columns, are matched per query.
+    ``prints`` are used several times: pass a stored table, or none to have one stored.
     """
-    prints = column_prints(cells, keys) if prints is None else prints
+    if prints is None:
+        prints = materialize(column_prints(cells, keys), "prints")
     edges = geometry_edges(cells, prints, keys)
     fields = [f for f in edges.schema.fields]
 

@@ -7,7 +7,7 @@ joined, not parsed per prediction.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
@@ -28,21 +28,13 @@ COLUMNS_THIRD = [
     "recovergeometrycolumn",
 ]
 
-_TEXTS = "array<string>"
-_REFS = "array<struct<table:string,columns:array<string>>>"
-
-
-def _none(kind: str = _TEXTS) -> Column:
-    return F.array().cast(kind)
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
 def parse_schema(df: DataFrame, text: str = "schema", name: str = "catalog") -> DataFrame:
     """Add the catalog, array<struct<table, columns>>, of a schema text."""
-    return (
-        df.withColumn("_pieces", S.paren_pieces(F.coalesce(text, F.lit(""))))
-        .withColumn(name, S.schema_tables("_pieces"))
-        .drop("_pieces")
-    )
+    return df.withColumn(name, S.schema_tables(f"coalesce({text}, '')"))
 
 
 def catalog_rows(df: DataFrame, *keys: str, name: str = "catalog") -> DataFrame:
@@ -52,153 +44,98 @@ def catalog_rows(df: DataFrame, *keys: str, name: str = "catalog") -> DataFrame:
     )
 
 
-def _columns_of(catalog: Column, table: Column) -> Column:
-    return F.coalesce(
-        F.get(F.filter(catalog, lambda t: t["table"] == table), F.lit(0))["columns"], _none()
-    )
+def _has(table: str, column: str) -> str:
+    return f"exists(cat, t -> t.table = {table} AND array_contains(t.columns, {column}))"
 
 
-def _known(catalog: Column) -> Column:
-    return F.transform(catalog, lambda t: t["table"])
+def _known(table: str) -> str:
+    return f"exists(cat, t -> t.table = {table})"
 
 
-def _management_calls(df: DataFrame, sql: str) -> DataFrame:
-    """Add ``_mgmt``: the closed calls of management functions, none inside another."""
-    names = sorted({*TABLE_FIRST, *TABLE_SECOND})
-    calls = F.filter(
-        S.groups_after("_mpieces", rf"(?i)\b({'|'.join(names)})\s*\z"),
-        lambda g: g["stop"].isNotNull(),
-    )
-    return (
-        df.withColumn("_mpieces", S.paren_pieces(S.mask_literals(F.coalesce(sql, F.lit("")))))
-        .withColumn("_all", calls)
-        .withColumn(
-            "_mgmt",
-            F.transform(
-                F.filter(
-                    "_all",
-                    lambda g: ~F.exists(
-                        "_all", lambda o: (o["start"] < g["start"]) & (o["stop"] > g["start"])
-                    ),
-                ),
-                lambda g: F.struct(
-                    F.lower(g["name"]).alias("fn"),
-                    F.transform(g["items"], lambda i: S.unquote_literal(S.unmask(i))).alias("args"),
-                ),
-            ),
-        )
-        .drop("_all", "_mpieces")
+def _management_calls(sql: str) -> str:
+    """Closed calls of management functions, none inside another: (fn, args), args unquoted."""
+    names = "|".join(sorted({*TABLE_FIRST, *TABLE_SECOND}))
+    return S.let(
+        S._pieces(S._masked(f"coalesce({sql}, '')")),
+        "ps",
+        S.let(
+            S.closed_groups("ps", rf"(?i)\b({names})\s*\z"),
+            "gs",
+            f"transform({S.outermost('gs')}, g -> named_struct('fn', lower(g.name), "
+            f"'args', transform(g.items, i -> nullif({S.unquoted(S.unmasked('i'))}, ''))))",
+        ),
     )
 
 
-def _text_arg(call: Column, i: int) -> Column:
-    return F.nullif(F.get(call["args"], F.lit(i)), F.lit(""))
+def _management_refs(sql: str) -> str:
+    """array<struct<table, columns>> of known tables named by management calls."""
+    named = (
+        f"transform({_management_calls(sql)}, c -> named_struct("
+        f"'table', CASE WHEN c.fn IN {_in(TABLE_FIRST)} THEN get(c.args, 0) "
+        "WHEN get(c.args, 0) IS NOT NULL THEN get(c.args, 1) END, "
+        f"'columns', array_compact(array(CASE WHEN c.fn IN {_in(COLUMNS_SECOND)} THEN get(c.args, 1) END, "
+        f"CASE WHEN c.fn IN {_in(COLUMNS_THIRD)} THEN get(c.args, 2) END))))"
+    )
+    columns = (
+        "filter(array_distinct(flatten(transform(filter(ns, n -> n.table = x), n -> n.columns))), "
+        f"c -> {_has('x', 'c')})"
+    )
+    return S.let(
+        f"filter({named}, n -> {_known('n.table')})",
+        "ns",
+        f"transform(array_distinct(transform(ns, n -> n.table)), x -> named_struct('table', x, 'columns', {columns}))",
+    )
 
 
 def management_refs(
     df: DataFrame, sql: str = "pred_sql", catalog: str = "catalog", name: str = "mgmt_refs"
 ) -> DataFrame:
     """Add array<struct<table, columns>> named by the string arguments of management calls."""
-    known = F.col(catalog)
-    refs = F.transform(
-        "_mgmt",
-        lambda c: F.struct(
-            F.when(c["fn"].isin(TABLE_FIRST), _text_arg(c, 0))
-            .when(_text_arg(c, 0).isNotNull(), _text_arg(c, 1))
-            .alias("table"),
-            F.array_compact(
-                F.array(
-                    F.when(c["fn"].isin(COLUMNS_SECOND), _text_arg(c, 1)),
-                    F.when(c["fn"].isin(COLUMNS_THIRD), _text_arg(c, 2)),
-                )
-            ).alias("columns"),
-        ),
-    )
-    in_catalog = lambda r: F.coalesce(F.array_contains(_known(known), r["table"]), F.lit(False))
-    return (
-        _management_calls(df, sql)
-        .withColumn("_refs", F.filter(refs, in_catalog))
-        .withColumn(
-            name,
-            F.transform(
-                F.array_distinct(F.transform("_refs", lambda r: r["table"])),
-                lambda t: F.struct(
-                    t.alias("table"),
-                    F.array_intersect(
-                        F.array_distinct(
-                            F.flatten(
-                                F.transform(
-                                    F.filter("_refs", lambda r: r["table"] == t),
-                                    lambda r: r["columns"],
-                                )
-                            )
-                        ),
-                        _columns_of(known, t),
-                    ).alias("columns"),
-                ),
-            ),
-        )
-        .drop("_mgmt", "_refs")
-    )
+    return df.withColumn(name, F.expr(S.let(catalog, "cat", _management_refs(sql))))
 
 
 def management_tables(
     df: DataFrame, sql: str = "pred_sql", catalog: str = "catalog", name: str = "mgmt_tables"
 ) -> DataFrame:
     """Add the known tables named by management calls: the second text when there are two."""
-    hit = lambda c: F.when(
-        _text_arg(c, 0).isNotNull(), F.coalesce(_text_arg(c, 1), _text_arg(c, 0))
-    )
-    return (
-        _management_calls(df, sql)
-        .withColumn(
-            name,
-            F.array_distinct(
-                F.filter(
-                    F.array_compact(F.transform("_mgmt", hit)),
-                    lambda t: F.array_contains(_known(F.col(catalog)), t),
-                )
-            ),
-        )
-        .drop("_mgmt")
+    tables = (
+        f"array_distinct(filter(transform({_management_calls(sql)}, c -> CASE WHEN get(c.args, 0) IS NOT NULL "
+        f"THEN coalesce(get(c.args, 1), get(c.args, 0)) END), x -> {_known('x')}))"
     )
+    return df.withColumn(name, F.expr(S.let(catalog, "cat", tables)))
 
 
-def resolve_columns(
-    df: DataFrame, sql: str = "pred_sql", catalog: str = "catalog", name: str = "hits"
-) -> DataFrame:
-    """Add array<struct<table, column>>: the columns of ``_tables`` a query uses.
+def _hits(sql: str) -> str:
+    """(table, column) pairs a text uses; needs cat, the FROM items fs and the tables ts.
 
     ``owner.column`` goes through the alias list. A bare name counts when exactly one
     table of the query has it and it is no alias.
     """
-    cat = F.col(catalog)
-    names_of = lambda f: F.array(f["table"], f["raw"], f["alias"])
-    owner_table = lambda o: F.try_element_at(
-        F.filter("_from", lambda f: F.coalesce(F.array_contains(names_of(f), o), F.lit(False))),
-        F.lit(-1),
-    )["table"]
-    has = lambda t, c: F.array_contains(_columns_of(cat, t), c)
-    qualified = F.filter(
-        F.transform(
-            S.qualified_columns(sql),
-            lambda q: F.struct(owner_table(q["owner"]).alias("table"), q["column"].alias("column")),
-        ),
-        lambda h: h["table"].isNotNull() & has(h["table"], h["column"]),
+    is_name = "f.table <=> {0} OR f.raw <=> {0} OR f.alias <=> {0}"
+    qualified = (
+        f"filter(transform({S.owner_pairs(sql)}, q -> named_struct('table', "
+        f"try_element_at(filter(fs, f -> {is_name.format('q.owner')}), -1).table, 'column', q.column)), "
+        f"h -> {_has('h.table', 'h.column')})"
     )
-    taken = F.flatten(F.transform("_from", names_of))
-    owners = lambda c: F.filter("_tables", lambda t: has(t, c))
-    bare = F.filter(
-        F.transform(
-            F.array_except(S.bare_columns(sql), taken),
-            lambda c: F.struct(
-                F.when(F.size(owners(c)) == 1, F.get(owners(c), F.lit(0))).alias("table"),
-                c.alias("column"),
-            ),
-        ),
-        lambda h: h["table"].isNotNull(),
+    owned = S.let(
+        f"filter(ts, x -> {_has('x', 'b')})",
+        "owners",
+        "named_struct('table', CASE WHEN size(owners) = 1 THEN get(owners, 0) END, 'column', b)",
     )
-    return df.withColumn(name, F.array_distinct(F.concat(qualified, bare)))
+    bare = (
+        f"filter(transform(filter({S.bare_names(sql)}, b -> NOT exists(fs, f -> {is_name.format('b')})), "
+        f"b -> {owned}), h -> h.table IS NOT NULL)"
+    )
+    return f"array_distinct(concat({qualified}, {bare}))"
+
+
+def resolve_columns(
+    df: DataFrame, sql: str = "pred_sql", catalog: str = "catalog", name: str = "hits"
+) -> DataFrame:
+    """Add array<struct<table, column>>: the columns of its FROM tables a query uses."""
+    tables = "array_distinct(transform(fs, f -> f.table))"
+    body = S.let(S.from_items(sql), "fs", S.let(tables, "ts", _hits(sql)))
+    return df.withColumn(name, F.expr(S.let(catalog, "cat", body)))
 
 
 def pick_refs(
@@ -208,39 +145,16 @@ def pick_refs(
 
     A known table is listed even without columns, an unknown one is not.
     """
-    base = management_refs(
-        df.withColumn("_from", S.from_tables(F.coalesce(sql, F.lit("")))), sql, catalog, "_managed"
-    ).withColumn(
-        "_tables",
-        S.union_refs(
-            F.transform("_from", lambda f: f["table"]),
-            F.transform("_managed", lambda m: m["table"]),
-        ),
-    )
-    resolved = resolve_columns(base, sql, catalog, "_hits")
-    picked = F.transform(
-        "_tables",
-        lambda t: F.struct(
-            t.alias("table"),
-            S.union_refs(
-                F.transform(
-                    F.filter("_hits", lambda h: h["table"] == t), lambda h: h["column"]
-                ),
-                F.coalesce(
-                    F.get(F.filter("_managed", lambda m: m["table"] == t), F.lit(0))["columns"],
-                    _none(),
-                ),
-            ).alias("columns"),
-        ),
-    )
-    return resolved.withColumn(
-        name,
-        F.filter(
-            picked,
-            lambda p: (F.size(p["columns"]) > 0)
-            | F.array_contains(_known(F.col(catalog)), p["table"]),
-        ),
-    ).drop("_from", "_managed", "_tables", "_hits")
+    columns = (
+        "array_distinct(concat(transform(filter(hs, h -> h.table = x), h -> h.column), "
+        "coalesce(get(filter(ms, m -> m.table = x), 0).columns, CAST(array() AS ARRAY<STRING>))))"
+    )
+    picked = f"filter(transform(ts, x -> named_struct('table', x, 'columns', {columns})), p -> size(p.columns) > 0 OR {_known('p.table')})"
+    tables = "array_distinct(concat(transform(fs, f -> f.table), transform(ms, m -> m.table)))"
+    body = S.let(tables, "ts", S.let(_hits(sql), "hs", picked))
+    for value, label in ((_management_refs(sql), "ms"), (S.from_items(sql), "fs"), (catalog, "cat")):
+        body = S.let(value, label, body)
+    return df.withColumn(name, F.expr(body))
 
 
 def ref_map(df: DataFrame, *keys: str, tables: str = "tables") -> DataFrame:
