@@ -81,7 +81,8 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 MODULES = [
-    "views", "text", "order", "runs", "enrich", "cells", "geometry", "calls", "refs",
+    "views", "text", "order", "runs", "enrich", "cells", "geometry", "calls", "refs", "errors", "metrics",
+    "files", "scoring",
 ]
 
 

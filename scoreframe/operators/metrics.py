@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_answer, type_key
-from .order import first_n, running_index
+from .order import STRETCH, first_n, running_index
 
 BY = ("model",)
 
@@ -87,15 +87,17 @@ def pass_at_k(
     order: Sequence[str] = ("round", "ord"),
     positional: bool = False,
     group: int = 5,
+    width: int = STRETCH,
 ) -> DataFrame:
     """Share of items with a correct result among their first k rounds.
 
     Only the first max(ks) rounds of an item leave the map tasks. ``positional`` groups
-    ``group`` consecutive rows in ``order`` instead and drops an incomplete last group.
+    ``group`` consecutive rows in ``order`` instead and drops an incomplete last group;
+    ``width`` is the stretch of a numeric order one task numbers at a time.
     """
     hit = F.coalesce(F.col("result_correct") == "correct", F.lit(False))
     if positional:
-        numbered = running_index(df, by, order, "_idx")
+        numbered = running_index(df, by, order, "_idx", width)
         groups = numbered.select(
             *by,
             F.floor((F.col("_idx") - 1) / group).alias("_group"),
@@ -127,17 +129,17 @@ def stability(rates: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
     The coefficient of variation is taken over the rates of all k (not within the last).
     A mean of 0 gives an infinite one and accuracy 0.
     """
-    cols = [F.col(f"pass@{k}") for k in ks]
+    cols = [F.col(f"`pass@{k}`") for k in ks]
     n = F.lit(float(len(cols)))
     mean = sum(cols[1:], cols[0]) / n
     deviations = [(c - mean) * (c - mean) for c in cols]
     sd = F.sqrt(sum(deviations[1:], deviations[0]) / n)
     cv = F.when(mean == 0, F.lit(float("inf"))).otherwise(F.round(F.try_divide(sd, mean), 4))
-    last = F.col(f"pass@{ks[-1]}")
+    last = F.col(f"`pass@{ks[-1]}`")
     return rates.withColumn(f"pass@{ks[-1]}_std_cv", cv).withColumn(
         "stability_adjusted_accuracy",
         F.when(mean == 0, 0.0).otherwise(
-            F.lit(100.0) * F.round(last / (F.lit(1.0) + F.col(f"pass@{ks[-1]}_std_cv")), 4)
+            F.lit(100.0) * F.round(last / (F.lit(1.0) + F.col(f"`pass@{ks[-1]}_std_cv`")), 4)
         ),
     )
 

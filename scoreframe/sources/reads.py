@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
-MODEL_FROM_PATH = r"([^/]+)/[^/]+$"
 
 
 def read_predictions(
@@ -26,14 +25,11 @@ def read_predictions(
     """
     if not bom:
         return spark.read.schema(schema).option("mode", mode).json(path)
-    good, bad = _parse_lines(spark, path, schema)
-    if mode == "FAILFAST":
-        checked = F.when(
-            F.col(CORRUPT).isNotNull(),
-            F.raise_error(F.concat(F.lit("malformed line: "), F.col(CORRUPT))).cast("string"),
-        )
-        return _all_lines(spark, path, schema).where(checked.isNull()).drop(CORRUPT, "_line")
-    return good
+    if mode == "DROPMALFORMED":
+        return _parse_lines(spark, path, schema)[0]
+    failed = F.raise_error(F.concat(F.lit("malformed line: "), F.col("_line"))).cast("boolean")
+    checked = F.when(F.col(CORRUPT).isNotNull(), failed).otherwise(True)
+    return _all_lines(spark, path, schema).where(checked).drop(CORRUPT, "_line", "_file")
 
 
 def read_with_rejects(
@@ -47,7 +43,7 @@ def _all_lines(spark, path, schema) -> DataFrame:
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    line = F.regexp_replace("value", "^﻿", "")
+    line = F.regexp_replace("value", "^\ufeff", "")
     return (
         spark.read.text(path)
         .select(line.alias("_line"), F.col("_metadata.file_path").alias("_file"))
@@ -101,12 +97,14 @@ def read_runs(
     The directory names the model; a directory without the file is no input.
     """
     runs = spark.read.schema(schema).option("mode", mode).json(f"{base}/*/{filename}")
-    return runs.withColumn("model", _model_of_file())
+    return runs.withColumn("model", _model_of_file(base))
 
 
-def _model_of_file() -> Column:
-    path = F.try_url_decode(F.col("_metadata.file_path"))
-    return F.regexp_extract(F.coalesce(path, F.col("_metadata.file_path")), MODEL_FROM_PATH, 1)
+def _model_of_file(base: str) -> Column:
+    """The path component behind ``base`` in the file name of a row."""
+    name = base.rstrip("/").rsplit("/", 1)[-1]
+    path = F.coalesce(F.try_url_decode(F.col("_metadata.file_path")), F.col("_metadata.file_path"))
+    return F.regexp_extract(path, rf"/\Q{name}\E/([^/]+)/", 1)
 
 
 def read_summaries(spark: SparkSession, base: str, filename: str) -> DataFrame:
@@ -115,7 +113,7 @@ def read_summaries(spark: SparkSession, base: str, filename: str) -> DataFrame:
     ``summary`` is a VARIANT object; text that is no JSON object is reported.
     """
     raw = spark.read.text(f"{base}/*/{filename}", wholetext=True)
-    parsed = raw.select(_model_of_file().alias("model"), F.try_parse_json("value").alias("v"))
+    parsed = raw.select(_model_of_file(base).alias("model"), F.try_parse_json("value").alias("v"))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     return parsed.select(
         "model",
