@@ -42,7 +42,7 @@ def structure_valid(spark, sf):
     return K.with_calls(rows).select("id", F.col("structure_valid").alias("valid"))
 
 
-@query("arg_types", "O83", f"{WITH_CALLS} SELECT id, types FROM ({ARGS}) WHERE call_idx = 0")
+@query("arg_types", "O83", f"{WITH_CALLS} SELECT c.id, a.types FROM calls c LEFT JOIN ({ARGS}) a ON c.id = a.id AND a.call_idx = 0")
 def arg_types(spark, sf):
     returns = spark_sql(
         spark,
@@ -50,8 +50,7 @@ def arg_types(spark, sf):
         "SELECT DISTINCT CASE WHEN p_size > 10 THEN 'ST_GeomFromText' ELSE p_type END AS function_name, "
         "CASE WHEN p_size > 10 THEN 'geometry' ELSE 'text' END AS return_type FROM @part",
     )
-    hit = K.first_call(_calls(spark, sf)).where("function_hit")
-    typed = K.arg_types(hit, ["id"], returns)
+    typed = K.arg_types(K.first_call(_calls(spark, sf)), ["id"], returns)
     short = F.transform("actual_arg_types", lambda t: F.substring_index(t, ":", 1))
     return typed.select("id", F.array_join(short, "|").alias("types"))
 

@@ -68,10 +68,9 @@ def bare_columns(spark, sf):
 def _with_catalog(spark, sf):
     from ..operators.enrich import attach_schema
 
-    items = R.parse_schema(from_view(spark, sf, "items"))
-    items = items.withColumn("catalog", F.when(F.col("schema") != "", F.col("catalog")))
     preds = from_view(spark, sf, "sqltext")
-    return attach_schema(preds, items.drop("schema"), column="catalog").where("schema_error IS NULL")
+    items = from_view(spark, sf, "items")
+    return attach_schema(preds, items, parse=True).where("schema_error IS NULL")
 
 
 KNOWN = "(SELECT id FROM $sqltext WHERE id IN (SELECT new_id FROM $items WHERE schema <> ''))"
@@ -86,7 +85,7 @@ HITS = """(VALUES (0, 0, 'customer', 'c_name'), (0, 0, 'customer', 'c_custkey'),
     f"""SELECT k.id, h.tab AS "table", h.col AS "column" FROM {KNOWN} k JOIN {HITS} ON k.id % 10 = h.d""",
 )
 def resolve_columns(spark, sf):
-    return R.resolve_columns(_with_catalog(spark, sf)).select("id", F.explode("hits").alias("h")).select(
+    return R.resolve_columns(_with_catalog(spark, sf)).select("id", F.explode_outer("hits").alias("h")).where("h IS NOT NULL").select(
         "id", "h.table", "h.column"
     )
 
@@ -101,8 +100,8 @@ MANAGED = """(VALUES (3, 0, 'nation', 'n_name'), (9, 0, 'part', 'p_name'), (9, 1
 )
 def management_refs(spark, sf):
     rows = R.management_refs(_with_catalog(spark, sf)).select(
-        "id", F.posexplode("mgmt_refs").alias("pos", "m")
-    )
+        "id", F.posexplode_outer("mgmt_refs").alias("pos", "m")
+    ).where("pos IS NOT NULL")
     return rows.select("id", "pos", "m.table", F.array_join("m.columns", ",").alias("columns"))
 
 

@@ -172,11 +172,11 @@ FROM @events WHERE user_id % 4 <> 1
 """,
 )
 
-# Overloads and calls with known argument types.
+# Overloads (four per function) and calls with known argument types.
 view(
     "signatures",
     """
-SELECT concat('ST_F', CAST(p_partkey % 60 AS STRING)) AS function_name, p_partkey AS sig_ord,
+SELECT concat('ST_F', CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING)) AS function_name, p_partkey AS sig_ord,
        CASE p_size % 5 WHEN 0 THEN 'geometry,integer' WHEN 1 THEN 'geometry,numeric,text' WHEN 2 THEN 'geometry'
          WHEN 3 THEN 'integer,integer,integer' ELSE 'text,integer' END AS types,
        p_size % 5 = 2 AS variadic
@@ -187,7 +187,7 @@ view(
     "typed_calls",
     """
 SELECT o_orderkey AS id, concat('m_', o_orderstatus) AS model,
-       concat('st_f', CAST(o_custkey % 70 AS STRING)) AS function_name,
+       concat('st_f', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING)) AS function_name,
        CASE o_orderkey % 6 WHEN 0 THEN 'geometry,integer' WHEN 1 THEN 'geometry,geometry,text'
          WHEN 2 THEN 'geometry,numeric,text' WHEN 3 THEN 'integer' WHEN 4 THEN 'text,text' ELSE 'geometry' END AS types
 FROM @orders

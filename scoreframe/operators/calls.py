@@ -41,7 +41,8 @@ def calls(df: DataFrame, keys: Sequence[str], target: str, sql: str = "pred_sql"
     found = with_calls(df, sql).withColumn(
         "_hits", F.filter("calls", lambda c: c["fn"] == F.lower(F.col(target)))
     )
-    return found.select(*keys, F.posexplode("_hits").alias("call_idx", "_c")).select(
+    rows = found.select(*keys, F.posexplode_outer("_hits").alias("call_idx", "_c"))
+    return rows.where("call_idx IS NOT NULL").select(
         *keys, F.col("_c.fn").alias("fn"), "call_idx", F.col("_c.args").alias("args")
     )
 
@@ -77,7 +78,8 @@ def arg_types(
         F.lower("function_name").alias("_fn"), F.col("return_type").alias("_returned")
     ).dropDuplicates(["_fn"])
     named = (
-        df.select(*keys, F.posexplode(args).alias("_pos", "_arg"))
+        df.select(*keys, F.posexplode_outer(args).alias("_pos", "_arg"))
+        .where("_arg IS NOT NULL")
         .select(*keys, "_pos", S.call_name(F.col("_arg")).alias("_fn"))
         .where("_fn != ''")
         .join(table, "_fn")
@@ -162,9 +164,7 @@ def best_signature(
     """
     actual, expected = F.col("actual_arg_types"), F.col("expected_types")
     candidates = join_signatures(
-        df.select(*keys, fn, "actual_arg_types").where("actual_arg_types IS NOT NULL"),
-        signatures,
-        fn,
+        df.select(*keys, fn, "actual_arg_types"), signatures, fn
     ).withColumn("_ratio", match_ratio(actual, expected, F.col("variadic")))
     best = (
         candidates.where("_ratio > 0")

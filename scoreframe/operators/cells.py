@@ -78,8 +78,8 @@ def to_cells(
     cells = df.select(
         *keys,
         *([names] if names else []),
-        F.posexplode(rows).alias("row_idx", "_row"),
-    ).select("*", F.posexplode("_row").alias("col_idx", "value"))
+        F.posexplode_outer(rows).alias("row_idx", "_row"),
+    ).where("row_idx IS NOT NULL").select("*", F.posexplode("_row").alias("col_idx", "value"))
     name = F.get(F.col(names), F.col("col_idx")) if names else F.lit(None).cast("string")
     return cells.select(
         *keys,

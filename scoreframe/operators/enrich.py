@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import last_per_key
+from .refs import parse_schema
 
 MISSING_SCHEMA = "Missing schema_text for this id"
 MISSING_SQL = "Missing pred_sql"
@@ -30,21 +31,23 @@ def attach_db(df: DataFrame, items: DataFrame, ord_col: str = "ord") -> DataFram
 
 
 def attach_schema(
-    df: DataFrame, items: DataFrame, ord_col: str = "ord", column: str = "schema"
+    df: DataFrame, items: DataFrame, ord_col: str = "ord", parse: bool = False
 ) -> DataFrame:
-    """Add the item's schema and a ``schema_error`` where it has none.
+    """Add the item's schema text and a ``schema_error`` where it has none.
 
-    ``column`` may hold text or an already parsed catalog. Rows without id or SQL are dropped.
+    ``parse`` adds its ``catalog`` instead, parsed once per item. Rows without id or SQL are
+    dropped.
     """
-    has_text = F.col(column).isNotNull()
-    if dict(items.dtypes)[column] == "string":
-        has_text = _filled(column).isNotNull()
-    lookup = last_per_key(items.where(has_text), ["new_id"], ord_col).select(
-        F.col("new_id").alias("id"), F.col(column)
+    column = "catalog" if parse else "schema"
+    texts = last_per_key(items.where(_filled("schema").isNotNull()), ["new_id"], ord_col)
+    lookup = (parse_schema(texts) if parse else texts).select(
+        F.col("new_id").alias("id"), F.col(column), F.lit(True).alias("_known")
     )
     usable = df.where(F.col("id").isNotNull() & _filled("pred_sql").isNotNull())
-    return usable.join(lookup, "id", "left").withColumn(
-        "schema_error", F.when(F.col(column).isNull(), F.lit(MISSING_SCHEMA))
+    return (
+        usable.join(lookup, "id", "left")
+        .withColumn("schema_error", F.when(F.col("_known").isNull(), F.lit(MISSING_SCHEMA)))
+        .drop("_known")
     )
 
 

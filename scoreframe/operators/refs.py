@@ -38,8 +38,12 @@ def parse_schema(df: DataFrame, text: str = "schema", name: str = "catalog") ->
 
 
 def catalog_rows(df: DataFrame, *keys: str, name: str = "catalog") -> DataFrame:
-    """Catalog in long form: (keys, table, col_idx, column)."""
-    return df.select(*keys, F.explode(name).alias("_t")).select(
+    """Catalog in long form: (keys, table, col_idx, column).
+
+    ``explode_outer`` keeps Spark from working the catalog out once more to drop empty ones.
+    """
+    tables = df.select(*keys, F.explode_outer(name).alias("_t")).where("_t IS NOT NULL")
+    return tables.select(
         *keys, F.col("_t.table").alias("table"), F.posexplode("_t.columns").alias("col_idx", "column")
     )
 
@@ -190,10 +194,10 @@ def hit_rates(
     tables = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p["table"]))
     p = pred.select(*by, key, S.ref_pairs("tables").alias("_p"))
     g = gold.select(key, S.ref_pairs("tables").alias("_g"))
-    if not strict:
-        p = p.where(F.size("_p") > 0)
+    counted = F.lit(True) if strict else F.size("_p") > 0
     joined = p.join(g, key).select(
         *by,
+        counted.alias("_ok"),
         F.size(tables(F.col("_g"))).alias("tt"),
         S.overlap(tables(F.col("_g")), tables(F.col("_p"))).alias("th"),
         F.size("_g").alias("ct"),
@@ -202,11 +206,11 @@ def hit_rates(
     rate = lambda hit, total: F.round(
         F.coalesce(F.try_divide(F.col(hit), F.col(total)), F.lit(1.0)), 4
     )
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("_ok"), F.col(c))), F.lit(0)).cast("bigint")
     return (
         joined.groupBy(*by)
         .agg(
-            F.count("*").alias("matched_items"),
+            F.count_if("_ok").alias("matched_items"),
             total("th").alias("table_hit_count"),
             total("tt").alias("table_total_count"),
             total("ch").alias("column_hit_count"),

@@ -120,8 +120,7 @@ def score_semantics(
 
 def score_references(predictions: DataFrame, items: DataFrame, gold: DataFrame) -> DataFrame:
     """Table-schema level: recall of the gold tables and columns per model."""
-    parsed = R.parse_schema(items.where(F.coalesce("schema", F.lit("")) != ""))
-    with_catalog = E.attach_schema(predictions, parsed.drop("schema"), column="catalog")
+    with_catalog = E.attach_schema(predictions, items, parse=True)
     picked = R.pick_refs(with_catalog.where("schema_error IS NULL"))
     return R.hit_rates(picked, gold, ord_col="ord")
 
