@@ -156,7 +156,7 @@ _CANONICAL = r"""
 get(transform(array(array_join(
   transform(
     regexp_extract_all(
-      regexp_replace(regexp_replace({c}, r'(?<=[A-Z])\s*(?:ZM|Z)(?=\s*\()', ''), r'\s*([(),])\s*', '$1'),
+      regexp_replace(regexp_replace(regexp_replace({c}, r'\s+', ' '), r'(?<=[A-Z])\s*(?:ZM|Z)(?=\s*\()', ''), r'\s*([(),])\s*', '$1'),
       '[(), ]|[^(), ]+', 0),
     n -> coalesce(string(try_cast(n AS DOUBLE)), n)),
   '')),

@@ -42,10 +42,10 @@ def stripped(c: str) -> str:
     return f"btrim({c}, '{WHITESPACE}')"
 
 
-def _sanitized(c: str) -> str:
+def _sanitized(c: str, literal: str = " ") -> str:
     return (
         rf"regexp_replace(regexp_replace(regexp_replace({c}, r'(?s)/\*.*?\*/', ' '), "
-        rf"""r'--[^\n\r]*', ' '), r"(?:'[^']*+')++", ' ')"""
+        rf"""r'--[^\n\r]*', ' '), r"(?:'[^']*+')++", '{literal}')"""
     )
 
 
@@ -219,7 +219,7 @@ def structure_valid(name: str, pieces: str) -> Column:
     ``pieces`` names the pieces of the masked text.
     """
     keywords = "select|with|update|delete|insert|create|drop|alter|values|explain"
-    clean = stripped(rf"regexp_replace({_sanitized(name)}, r'[\s;]+\z', '')")
+    clean = stripped(rf"regexp_replace({_sanitized(name, "0")}, r'[\s;]+\z', '')")
     test = (
         f"(length({name}) - length(replace({name}, \"'\", ''))) % 2 = 0 "
         "AND element_at(ds, -1) = 0 AND array_min(ds) >= 0 "

@@ -72,7 +72,8 @@ def last_answer_token(c: Column | str) -> Column:
         F.regexp_extract_all(_col(c), F.lit(r"(?iU)\b(A|B|C|D|True|False)\b"), F.lit(1)),
         F.lit(-1),
     )
-    return F.coalesce(F.when(F.length(hit) == 1, F.upper(hit)).otherwise(F.initcap(hit)), F.lit(""))
+    shown = let(hit, lambda h: F.when(F.length(h) == 1, F.upper(h)).otherwise(F.initcap(h)))
+    return F.coalesce(shown, F.lit(""))
 
 
 def final_answer(c: Column | str, n: int = 240) -> Column:
@@ -92,9 +93,12 @@ def last_fence(t: Column | str) -> Column:
 
 def open_fence(t: Column | str) -> Column:
     """Text after the first fence when it is not closed; trailing backticks are dropped."""
-    t = F.regexp_replace(_col(t), r"`+\z", "")
-    return F.when(
-        F.contains(t, F.lit(FENCE)), strip(F.regexp_extract(t, _OPEN_FENCE + r"([\s\S]*)\z", 1))
+    return let(
+        F.regexp_replace(_col(t), r"`+\z", ""),
+        lambda u: F.when(
+            F.contains(u, F.lit(FENCE)),
+            strip(F.regexp_extract(u, _OPEN_FENCE + r"([\s\S]*)\z", 1)),
+        ),
     )
 
 
@@ -133,9 +137,11 @@ def extract_sql(c: Column | str) -> Column:
 
     The first stage that matches decides, even with an empty match; '' if none does.
     """
-    t = strip_think(c)
-    return F.coalesce(
-        last_fence(t), open_fence(t), last_statement(t), last_keyword_line(t), F.lit("")
+    return let(
+        strip_think(c),
+        lambda t: F.coalesce(
+            last_fence(t), open_fence(t), last_statement(t), last_keyword_line(t), F.lit("")
+        ),
     )
 
 
