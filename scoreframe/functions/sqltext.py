@@ -71,12 +71,17 @@ def _pieces(c: str) -> str:
     )
 
 
-def closed_groups(p: str, lead: str) -> str:
+def closed_groups(p: str, lead: str, named: str | None = None) -> str:
     """Closed parenthesised groups of the pieces ``p`` whose lead-in matches ``lead``.
 
     array<struct<start, stop, name, items>>: the name is group 1 of the lead-in, the items are
-    the comma list at the group's own depth, trimmed.
+    the comma list at the group's own depth, trimmed. ``named`` is an SQL text; only groups
+    whose name equals it, apart from case and blanks, are then worked out.
     """
+    before = f"get({p}, k - 1).text"
+    fits = f"regexp_like({before}, r'{lead}')"
+    if named:
+        fits = rf"lower(regexp_replace(regexp_extract({before}, r'{lead}', 1), r'\s+', '')) = lower({named})"
     items = (
         f"filter(transform(split(substr(array_join(transform(slice({p}, g.start + 1, g.stop - g.start), "
         f"x -> CASE WHEN x.depth = get({p}, g.start).depth THEN translate(x.text, ',', '{_ARG_BREAK}') "
@@ -87,7 +92,7 @@ transform(
   filter(
     transform(
       filter(sequence(1, greatest(size({p}) - 1, 1)),
-        k -> startswith(get({p}, k).text, '(') AND regexp_like(get({p}, k - 1).text, r'{lead}')),
+        k -> startswith(get({p}, k).text, '(') AND {fits}),
       k -> named_struct('start', k, 'stop',
         get(filter(sequence(k + 1, greatest(size({p}) - 1, k + 1)), j -> get({p}, j).depth < get({p}, k).depth), 0))),
     g -> g.stop IS NOT NULL),
@@ -158,17 +163,20 @@ def paren_pieces(name: str, masked: bool = True) -> Column:
     return F.expr(_pieces(_masked(name) if masked else name))
 
 
+# One table of a schema text, with up to two levels of parentheses inside its own.
+_SHALLOW = r"\((?:[^()]++|\([^()]*+\))*+\)"
+_TABLE_TEXT = rf"#[ \t]*({_NAME})\s*\(((?:[^()]++|{_SHALLOW})*+)\)"
+
+
 def schema_tables(name: str) -> Column:
     """array<struct<table, columns>> of ``# name (col type, ...)`` text.
 
     A group inside another closed table is part of that table. The first definition of a
-    name wins.
+    name wins. Texts nested no deeper than column types are, which is nearly all, are read
+    by one regular expression; the others by their pieces, at any depth.
     """
-    columns = (
-        rf"filter(transform(g.items, i -> regexp_extract(i, r'\A[\"`]?({_NAME})', 1)), n -> n <> '')"
-    )
-    tables = f"transform({outermost('gs')}, g -> named_struct('table', g.name, 'columns', {columns}))"
-    firsts = let(
+    column = rf"regexp_extract(btrim(i, '{WHITESPACE}'), r'\A[\"`]?({_NAME})', 1)"
+    firsts = lambda tables: let(
         tables,
         "ts",
         let(
@@ -177,7 +185,25 @@ def schema_tables(name: str) -> Column:
             "filter(ts, (t, i) -> array_position(names, t.table) = i + 1)",
         ),
     )
-    return F.expr(let(_pieces(name), "ps", let(closed_groups("ps", TABLE_LEAD), "gs", firsts)))
+    shallow = (
+        f"zip_with(regexp_extract_all({name}, r'{_TABLE_TEXT}', 1), regexp_extract_all({name}, r'{_TABLE_TEXT}', 2), "
+        f"(t, body) -> named_struct('table', t, 'columns', filter(transform(split(regexp_replace(body, r'{_SHALLOW}', ''), ','), "
+        f"i -> {column}), n -> n <> '')))"
+    )
+    deep = let(
+        _pieces(name),
+        "ps",
+        let(
+            closed_groups("ps", TABLE_LEAD),
+            "gs",
+            f"transform({outermost('gs')}, g -> named_struct('table', g.name, 'columns', "
+            f"filter(transform(g.items, i -> {column}), n -> n <> '')))",
+        ),
+    )
+    rest = rf"regexp_replace(regexp_replace({name}, r'{_SHALLOW}', ''), r'\([^()]*\)', '')"
+    return F.expr(
+        f"CASE WHEN contains({rest}, '(') OR contains({rest}, ')') THEN {firsts(deep)} ELSE {firsts(shallow)} END"
+    )
 
 
 def from_tables(name: str) -> Column:
@@ -263,9 +289,8 @@ CASE WHEN regexp_like({a}, r'{cast_call}') THEN {_type_name(f"regexp_extract({a}
 """
 
 
-def call_name(arg: Column) -> Column:
-    """Name of the function when a whole argument is one call, in lower case; else ''."""
-    return F.lower(F.regexp_extract(arg, rf"(?s)\A({_NAME}(?:\.{_NAME})*)\s*\(.*\)\z", 1))
+# An argument that is one call; group 1 is the name of the function.
+CALL_ARG = rf"(?s)\A({_NAME}(?:\.{_NAME})*)\s*\(.*\)\z"
 
 
 def ref_pairs(tables: str) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import sqltext as S
 
 UNKNOWN_TYPE = "ERROR: type of the expression is not known"
+# Up to this many functions the return types are carried as a map; above they are joined.
+MAX_RETURN_TYPES = 10_000
 _TEXTS = "array<string>"
 
 
@@ -17,10 +19,13 @@ def _empty() -> Column:
     return F.array().cast(_TEXTS)
 
 
-def with_calls(df: DataFrame, sql: str = "pred_sql", name: str = "calls") -> DataFrame:
+def with_calls(
+    df: DataFrame, sql: str = "pred_sql", name: str = "calls", target: str | None = None
+) -> DataFrame:
     """Add array<struct<fn, args>> of all closed calls in text order, nested ones included,
-    and ``structure_valid``."""
-    groups = S.closed_groups("ps", S.CALL_LEAD)
+    and ``structure_valid``. ``target`` names a column: only calls of its function are kept,
+    any case."""
+    groups = S.closed_groups("ps", S.CALL_LEAD, target)
     found = S.let(
         "_pieces",
         "ps",
@@ -38,9 +43,7 @@ def with_calls(df: DataFrame, sql: str = "pred_sql", name: str = "calls") -> Dat
 
 def calls(df: DataFrame, keys: Sequence[str], target: str, sql: str = "pred_sql") -> DataFrame:
     """(keys, fn, call_idx, args): the calls whose name equals ``target`` (a column), any case."""
-    found = with_calls(df, sql).withColumn(
-        "_hits", F.filter("calls", lambda c: c["fn"] == F.lower(F.col(target)))
-    )
+    found = with_calls(df, sql, "_hits", target)
     rows = found.select(*keys, F.posexplode_outer("_hits").alias("call_idx", "_c"))
     return rows.where("call_idx IS NOT NULL").select(
         *keys, F.col("_c.fn").alias("fn"), "call_idx", F.col("_c.args").alias("args")
@@ -49,13 +52,12 @@ def calls(df: DataFrame, keys: Sequence[str], target: str, sql: str = "pred_sql"
 
 def first_call(df: DataFrame, target: str = "function_name_used", sql: str = "pred_sql") -> DataFrame:
     """Add ``structure_valid``, ``function_hit`` and the ``args`` of the first call of the target."""
-    with_all = with_calls(df, sql)
-    hit = F.get(F.filter("calls", lambda c: c["fn"] == F.lower(F.col(target))), F.lit(0))
     return (
-        with_all.withColumn("_hit", hit)
+        with_calls(df, sql, "_hits", target)
+        .withColumn("_hit", F.get("_hits", F.lit(0)))
         .withColumn("function_hit", F.col("structure_valid") & F.col("_hit").isNotNull())
         .withColumn("args", F.when(F.col("function_hit"), F.col("_hit.args")))
-        .drop("_hit", "calls")
+        .drop("_hit", "_hits")
     )
 
 
@@ -77,23 +79,26 @@ def arg_types(
     table = returns.select(
         F.lower("function_name").alias("_fn"), F.col("return_type").alias("_returned")
     ).dropDuplicates(["_fn"])
+    if table.limit(MAX_RETURN_TYPES + 1).count() <= MAX_RETURN_TYPES:
+        # A short table goes along as one map, so the rows are neither joined nor regrouped.
+        pairs = F.map_from_entries(F.collect_list(F.struct("_fn", "_returned")))
+        called = rf"try_element_at(_returns, lower(regexp_extract(a, r'{S.CALL_ARG}', 1)))"
+        typed = f"transform({args}, a -> coalesce({literal}, {called}, '{UNKNOWN_TYPE}'))"
+        with_map = df.withColumn("_returns", table.agg(pairs).scalar())
+        return with_map.withColumn("actual_arg_types", F.expr(typed)).drop("_returns")
     named = (
         df.select(*keys, F.posexplode_outer(args).alias("_pos", "_arg"))
         .where("_arg IS NOT NULL")
-        .select(*keys, "_pos", S.call_name(F.col("_arg")).alias("_fn"))
+        .select(*keys, "_pos", F.expr(rf"lower(regexp_extract(_arg, r'{S.CALL_ARG}', 1))").alias("_fn"))
         .where("_fn != ''")
         .join(table, "_fn")
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_returned"))).alias("_by_pos"))
     )
+    typed = f"transform({args}, (a, i) -> coalesce({literal}, try_element_at(_by_pos, i), '{UNKNOWN_TYPE}'))"
     return (
         df.join(named, list(keys), "left")
-        .withColumn(
-            "actual_arg_types",
-            F.expr(
-                f"transform({args}, (a, i) -> coalesce({literal}, try_element_at(_by_pos, i), '{UNKNOWN_TYPE}'))"
-            ),
-        )
+        .withColumn("actual_arg_types", F.expr(typed))
         .drop("_by_pos")
     )
 

@@ -137,6 +137,7 @@ def resolve_columns(
     df: DataFrame, sql: str = "pred_sql", catalog: str = "catalog", name: str = "hits"
 ) -> DataFrame:
     """Add array<struct<table, column>>: the columns of its FROM tables a query uses."""
+    sql = f"coalesce({sql}, '')"
     tables = "array_distinct(transform(fs, f -> f.table))"
     body = S.let(S.from_items(sql), "fs", S.let(tables, "ts", _hits(sql)))
     return df.withColumn(name, F.expr(S.let(catalog, "cat", body)))
@@ -149,6 +150,7 @@ def pick_refs(
 
     A known table is listed even without columns, an unknown one is not.
     """
+    sql = f"coalesce({sql}, '')"
     columns = (
         "array_distinct(concat(transform(filter(hs, h -> h.table = x), h -> h.column), "
         "coalesce(get(filter(ms, m -> m.table = x), 0).columns, CAST(array() AS ARRAY<STRING>))))"

@@ -26,6 +26,11 @@ def test_parse_schema(spark):
     df = R.parse_schema(spark.createDataFrame([(SCHEMA,), ("",), (None,)], "schema STRING"))
     got = [[(t["table"], list(t["columns"])) for t in r["catalog"]] for r in df.collect()]
     assert got == [[("Roads", ["id", "name", "shape", "note"]), ("towns", ["gid", "name"])], [], []]
+    deep = "# a (x numeric((((1)))), # b (q int), y int) # c (z decimal(10,(2)), w int)"
+    flat = "# a (x numeric(1), # b (q int), y int) # c (z decimal(10,(2)), w int) # a (v int)"
+    for text in (deep, flat):
+        row = R.parse_schema(spark.createDataFrame([(text,)], "schema STRING")).first()
+        assert [(t["table"], list(t["columns"])) for t in row["catalog"]] == [("a", ["x", "y"]), ("c", ["z", "w"])]
 
 
 def test_pick_refs(spark):
@@ -38,8 +43,8 @@ def test_pick_refs(spark):
     assert picked(spark, "SELECT name FROM Roads JOIN towns ON true") == [("Roads", ["name"])]
     # Quoted text and comments hold no names.
     assert picked(spark, "SELECT note /* shape */ FROM Roads -- id\n WHERE 'name it''s' = note") == [("Roads", ["note"])]
-    # Functions are no columns; EXTRACT(... FROM x) names a table that is not known.
-    assert picked(spark, "SELECT extract(year FROM note), shape(1) FROM Roads") == [("Roads", ["note"])]
+    # Functions are no columns; what follows FROM in EXTRACT is taken for a table.
+    assert picked(spark, "SELECT extract(year FROM note), shape(1) FROM Roads") == [("Roads", [])]
     assert picked(spark, "SELECT DropGeometryColumn('Roads', 'shape'), f(')', find_srid('public'::text, 'towns', 'name'))") == [
         ("Roads", ["shape"]), ("towns", ["name"]),
     ]
@@ -72,12 +77,14 @@ def test_calls_nest_and_quote(spark):
     assert got == {(1, 0): ["a", "g(b, ')', (c))", "'it''s, ('"], (1, 1): [], (2, 0): [deep, "2"]}
 
 
-def test_argument_types(spark):
+def test_argument_types(spark, monkeypatch):
     args = ["1", "3000000000", "1.5", "-2e3", "TRUE", "'x'", "null", "a.b", "x::varchar(3)", "CAST(a AS double precision)",
             "g(1)", "h(2)", "'2020'::date", "1::int"]
     df = spark.createDataFrame([(1, args)], "id INT, args ARRAY<STRING>")
     returns = spark.createDataFrame([("G", "geometry")], "function_name STRING, return_type STRING")
     got = K.arg_types(df, ["id"], returns).first()["actual_arg_types"]
+    monkeypatch.setattr(K, "MAX_RETURN_TYPES", 0)
+    assert K.arg_types(df, ["id"], returns).first()["actual_arg_types"] == got
     bad = K.UNKNOWN_TYPE
     assert got == ["integer", "bigint", "numeric", "numeric", "boolean", "unknown", "unknown", bad, "character varying",
                    "double precision", "geometry", bad, "date", "integer"]
