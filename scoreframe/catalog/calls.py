@@ -77,7 +77,7 @@ def join_signatures(spark, sf):
     return K.join_signatures(_typed(spark, sf), _sigs(spark, sf)).select("id", "sig_ord")
 
 
-@query("type_match", "O84", f"SELECT id, sig_ord, hits, round(CAST(hits AS DOUBLE) / n, 4) AS ratio FROM ({SCORED}) WHERE NOT vari")
+@query("type_match", "O84", f"SELECT id, sig_ord, CAST(hits AS INTEGER) AS hits, round(CAST(hits AS DOUBLE) / n, 4) AS ratio FROM ({SCORED}) WHERE NOT vari")
 def type_match(spark, sf):
     pairs = K.join_signatures(_typed(spark, sf), _sigs(spark, sf).where("NOT variadic"))
     actual, expected = F.col("actual_arg_types"), F.col("expected_types")

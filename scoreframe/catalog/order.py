@@ -38,7 +38,7 @@ def is_sorted(spark, sf):
 @query(
     "reorder_runs",
     "O45",
-    """SELECT *, row_number() OVER (PARTITION BY model, id, function ORDER BY round, ord) AS place FROM (
+    """SELECT *, CAST(row_number() OVER (PARTITION BY model, id, function ORDER BY round, ord) AS INTEGER) AS place FROM (
   SELECT model, id, function, round, ord FROM $runs)""",
 )
 def reorder_runs(spark, sf):
@@ -113,7 +113,7 @@ def distinct_rows(spark, sf):
 @query(
     "overlap",
     "O50",
-    """SELECT doc_id, len(list_intersect(list_distinct(string_split(text, ' ')), list_distinct(string_split(source || ' ' || lang || ' the la', ' ')))) AS shared
+    """SELECT doc_id, CAST(len(list_intersect(list_distinct(string_split(text, ' ')), list_distinct(string_split(source || ' ' || lang || ' the la', ' ')))) AS INTEGER) AS shared
 FROM @documents""",
 )
 def overlap(spark, sf):

@@ -18,7 +18,7 @@ def score_answers(spark, sf):
     "score_expected",
     "O58 O63 O65 O73 O75 O77 O78",
     """SELECT 'q' || q AS query_id, CASE WHEN bad7 OR q % 6 = 5 OR q % 4 = 3 THEN 'incorrect' ELSE 'correct' END AS result_correct,
-  CASE WHEN q % 6 = 5 THEN 'text,text' ELSE 'text,geometry' END AS column_type, CASE WHEN bad7 THEN 0.0 ELSE 0.5 END AS value_match
+  CASE WHEN q % 6 = 5 THEN 'text,text' ELSE 'text,geometry' END AS column_type, CAST(CASE WHEN bad7 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS value_match
 FROM (SELECT q, q % 3 = 1 AND max(row_idx) >= 7 AS bad7 FROM $grid GROUP BY q)""",
 )
 def score_expected(spark, sf):
@@ -34,7 +34,7 @@ def score_expected(spark, sf):
 @query(
     "score_matched",
     "O64 O65 O76 O77 O78",
-    f"""SELECT k.query_id, CASE WHEN p <> g OR coalesce(m, 0) < 2 THEN 'incorrect' ELSE 'correct' END AS result_correct, coalesce(CASE WHEN p = g THEN m END, 0) AS matched
+    f"""SELECT k.query_id, CASE WHEN p <> g OR coalesce(m, 0) < 2 THEN 'incorrect' ELSE 'correct' END AS result_correct, CAST(coalesce(CASE WHEN p = g THEN m END, 0) AS INTEGER) AS matched
 FROM ({COUNTS}) k LEFT JOIN (SELECT query_id, count(DISTINCT pc) AS m FROM ({EQUAL}) GROUP BY 1) e ON k.query_id = e.query_id""",
 )
 def score_matched(spark, sf):
@@ -47,7 +47,7 @@ def score_matched(spark, sf):
 @query(
     "score_semantics",
     "O54 O81 O82 O83 O87",
-    """SELECT id, id % 10 IN (1, 8, 9) AS structure_valid, id % 10 = 8 AS function_hit, CASE WHEN id % 10 = 8 THEN 0.5 ELSE 0.0 END AS ratio FROM $sqltext""",
+    """SELECT id, id % 10 IN (1, 8, 9) AS structure_valid, id % 10 = 8 AS function_hit, CAST(CASE WHEN id % 10 = 8 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS ratio FROM $sqltext""",
 )
 def score_semantics(spark, sf):
     # Every item asks for the same function; the overloads come from the parts.
