@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm import block_naming, decontaminate, simhash_index
+from scoreframe.llm import block_naming, decontaminate, simhash_index, swap_packing
 from scoreframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op3_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swap_packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
