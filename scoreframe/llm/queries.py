@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm import block_naming, decontaminate, simhash_index, swap_packing
+from scoreframe.llm import block_naming, decontaminate, language_id, simhash_index, swap_packing
 from scoreframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,11 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM t JOIN g USING (norm)
 """
+
+
+@query
+def op10_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~language_id.held_out(F.col("doc_id")))
+    found = language_id.predict(docs, model, carry=["doc_id"])
+    return found.select("row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
