@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm import block_naming, decontaminate, language_id, simhash_index, swap_packing
+from scoreframe.llm import (
+    block_naming,
+    decontaminate,
+    language_id,
+    simhash_index,
+    swap_packing,
+    token_output,
+    warc_revisit,
+)
 from scoreframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +95,30 @@ def op10_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, ~language_id.held_out(F.col("doc_id")))
     found = language_id.predict(docs, model, carry=["doc_id"])
     return found.select("row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_segment_tree_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.written(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc_revisit.write_archives(pages)
+    records = warc_revisit.read_archives(manifest, pages.schema["page_id"].dataType.simpleString())
+    return warc_revisit.resolve(records)
+
+
+SQL["op4_warc_revisits"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT body, max(page_id) AS first FROM p GROUP BY body),
+d AS (SELECT p.page_id, strlen(p.body) AS payload_bytes, sha1(p.body) AS hex, g.first FROM p JOIN g USING (body))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(k // 8 * 10 + 1 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS INT)) & 31 AS INT) + 1, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""

@@ -52,7 +52,7 @@ class WordTokenizer:
         self.bpe = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
-        self.special = tuple(special)
+        self.special, self.size = tuple(special), max(*ranks.values(), *special.values(), 0) + 1
         self.known: dict[str, bytes] = {}
 
     def _encode(self, chunk: str) -> bytes:
