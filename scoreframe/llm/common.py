@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scoreframe.session import materialize as stored
 from scoreframe.session import shared_dir
 
-__all__ = ["stored", "shared_dir", "lower_az", "LOWER_BYTES", "texts", "segments", "table", "keep_rows"]
+__all__ = ["stored", "shared_dir", "lower_az", "LOWER", "LOWER_BYTES", "UPPER", "texts", "segments", "table", "keep_rows"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm import (
     block_naming,
+    cotraining,
     decontaminate,
     language_id,
     simhash_index,
     swap_packing,
     token_output,
+    url_rules,
     warc_revisit,
 )
 from scoreframe.llm.common import table
@@ -122,3 +124,16 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM d
 """
+
+
+@query
+def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = url_rules.mine_rules(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op5_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [table(spark, sf_dir, t) for t in ("documents", "labels", "pages")]
+    return cotraining.score(*tables)
