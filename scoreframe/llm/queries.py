@@ -12,6 +12,7 @@ from scoreframe.llm import (
     cotraining,
     decontaminate,
     language_id,
+    pii_boosting,
     simhash_index,
     swap_packing,
     token_output,
@@ -137,3 +138,11 @@ def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [table(spark, sf_dir, t) for t in ("documents", "labels", "pages")]
     return cotraining.score(*tables)
+
+
+@query
+def op8_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_boosting.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(pii_boosting.of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in pii_boosting.KINDS]
+    base, spans = pii_boosting.digest(F.col("base")), pii_boosting.digest(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
