@@ -72,7 +72,7 @@ def error_long(spark, sf):
     ) + f" FROM ({NAMED}) GROUP BY error_type",
 )
 def error_pivot(spark, sf):
-    return X.error_pivot(_counts(spark, sf), _names(spark, sf))
+    return X.error_pivot(_counts(spark, sf), _names(spark, sf), heads=[f"Model {i}" for i in (0, 2, 3)])
 
 
 @query(

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import metrics as M
-from .order import DAY
 from .registry import from_view, query
 from .text import TOKEN, TOLERANT
 
@@ -40,7 +39,7 @@ def accuracy_by_type(spark, sf):
     return M.accuracy(_answers(spark, sf), per_type=True)
 
 
-TYPES = ["EN_0", "EN_1", "EN_9"]
+TYPES = [f"{lang}_{toxic}" for lang in ("DE", "EN", "ES", "FR") for toxic in (0, 1, 9)]
 
 
 @query(
@@ -86,7 +85,7 @@ def pass_at_k(spark, sf):
 )
 def pass_at_k_positional(spark, sf):
     runs = from_view(spark, sf, "runs")
-    return M.pass_at_k(runs, order=("ord", "id"), positional=True, width=DAY)
+    return M.pass_at_k(runs, order=("ord", "id"), positional=True)
 
 
 @query(

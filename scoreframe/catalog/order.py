@@ -1,5 +1,6 @@
 """Order, first and last rows, sets."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
@@ -7,9 +8,6 @@ from ..operators import cells as C
 from ..operators import order as R
 from .registry import from_view, query, spark_sql
 
-# One stretch per day of the order key, so that groups cross stretches.
-DAY = 80_000_000_000
-
 
 @query(
     "ingest_order",
@@ -18,7 +16,7 @@ DAY = 80_000_000_000
 )
 def ingest_order(spark, sf):
     runs = from_view(spark, sf, "runs")
-    return R.running_index(runs, ["model", "id"], ["ord"], "position", DAY).select(
+    return R.running_index(runs, ["model", "id"], ["ord"], "position").select(
         "model", "id", "round", "position"
     )
 
@@ -32,7 +30,7 @@ def ingest_order(spark, sf):
 )
 def is_sorted(spark, sf):
     runs = from_view(spark, sf, "runs")
-    return R.is_sorted_within(runs, ["model", "id", "function"], width=DAY)
+    return R.is_sorted_within(runs, ["model", "id", "function"])
 
 
 @query(
@@ -44,7 +42,10 @@ def is_sorted(spark, sf):
 def reorder_runs(spark, sf):
     runs = from_view(spark, sf, "runs").select("model", "id", "function", "round", "ord")
     ordered = R.reorder_runs(runs, ("model", "id", "function"))
-    return R.first_n(ordered, ["model", "id", "function"], ["round", "ord"], 2**31 - 1, "place")
+    # The places come from where the rows are in the sorted output, not from their columns.
+    at = ordered.withColumn("_at", F.monotonically_increasing_id())
+    w = Window.partitionBy("model", "id", "function").orderBy("_at")
+    return at.withColumn("place", F.row_number().over(w)).drop("_at")
 
 
 @query(

@@ -178,7 +178,7 @@ def prompt_schema_sql(spark, sf):
 )
 def prompt_error(spark, sf):
     docs = spark_sql(spark, sf, "SELECT doc_id, text FROM @documents")
-    return docs.select("doc_id", P.prompt_error(F.col("text")).alias("prompt"))
+    return docs.select("doc_id", P.prompt_error(F.col("text"), max_chars=4000).alias("prompt"))
 
 
 def answer_stub(prompt: str) -> tuple[str, int]:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import sqltext as S
 
 UNKNOWN_TYPE = "ERROR: type of the expression is not known"
-# Up to this many functions the return types are carried as a map; above they are joined.
-MAX_RETURN_TYPES = 10_000
 _TEXTS = "array<string>"
 
 
@@ -68,7 +66,7 @@ def arg_types(
 
     Casts and literals are read from the text. A call has the type that ``returns``
     (function_name, return_type) gives its function. All else, such as a column, has an
-    ``ERROR`` type. ``keys`` identify a row.
+    ``ERROR`` type. Of several return types of one name the least counts. ``keys`` identify a row.
     """
     literal = S.literal_type("a")
     if returns is None:
@@ -76,16 +74,7 @@ def arg_types(
             "actual_arg_types",
             F.expr(f"transform({args}, a -> coalesce({literal}, '{UNKNOWN_TYPE}'))"),
         )
-    table = returns.select(
-        F.lower("function_name").alias("_fn"), F.col("return_type").alias("_returned")
-    ).dropDuplicates(["_fn"])
-    if table.limit(MAX_RETURN_TYPES + 1).count() <= MAX_RETURN_TYPES:
-        # A short table goes along as one map, so the rows are neither joined nor regrouped.
-        pairs = F.map_from_entries(F.collect_list(F.struct("_fn", "_returned")))
-        called = rf"try_element_at(_returns, lower(regexp_extract(a, r'{S.CALL_ARG}', 1)))"
-        typed = f"transform({args}, a -> coalesce({literal}, {called}, '{UNKNOWN_TYPE}'))"
-        with_map = df.withColumn("_returns", table.agg(pairs).scalar())
-        return with_map.withColumn("actual_arg_types", F.expr(typed)).drop("_returns")
+    table = returns.groupBy(F.lower("function_name").alias("_fn")).agg(F.min("return_type").alias("_returned"))
     named = (
         df.select(*keys, F.posexplode_outer(args).alias("_pos", "_arg"))
         .where("_arg IS NOT NULL")
@@ -93,7 +82,7 @@ def arg_types(
         .where("_fn != ''")
         .join(table, "_fn")
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_returned"))).alias("_by_pos"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("_pos", "_returned"))).alias("_by_pos"))
     )
     typed = f"transform({args}, (a, i) -> coalesce({literal}, try_element_at(_by_pos, i), '{UNKNOWN_TYPE}'))"
     return (
@@ -159,41 +148,52 @@ def join_signatures(
     return df.join(sigs, (F.lower(F.col(fn)) == F.col("_fn")) & takes, how).drop("_fn")
 
 
+def signature_lists(signatures: DataFrame) -> DataFrame:
+    """One row per function: ``_fn`` and ``_sigs``, its distinct overloads by their least order.
+
+    Listing the same types twice says nothing new, so a name has as many entries as it has
+    different parameter lists, however often the input repeats them.
+    """
+    distinct = signatures.groupBy(
+        F.lower("function_name").alias("_fn"), F.col("input_types").alias("types"), "variadic"
+    ).agg(F.min("sig_ord").alias("ord"))
+    return distinct.groupBy("_fn").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "types", "variadic"))).alias("_sigs")
+    )
+
+
 def best_signature(
-    df: DataFrame, signatures: DataFrame, keys: Sequence[str], fn: str = "function_name"
+    df: DataFrame, signatures: DataFrame, keys: Sequence[str] = (), fn: str = "function_name"
 ) -> DataFrame:
     """Best overload per row: highest ratio, the first listed on ties, none at ratio 0.
 
     Adds ``param_type_match_ratio``, ``expected_arg_types`` and ``param_type_match_detail``.
-    ``keys`` identify a row.
+    The overloads of a function travel in one row, so the output has the rows of the input;
+    ``keys`` isn't needed any more and is kept for callers.
     """
-    actual, expected = F.col("actual_arg_types"), F.col("expected_types")
-    candidates = join_signatures(
-        df.select(*keys, fn, "actual_arg_types"), signatures, fn
-    ).withColumn("_ratio", match_ratio(actual, expected, F.col("variadic")))
-    best = (
-        candidates.where("_ratio > 0")
-        .groupBy(*keys)
-        .agg(
-            F.max_by(
-                F.struct("_ratio", "expected_types", "variadic"),
-                F.struct(F.col("_ratio"), -F.col("sig_ord")),
-            ).alias("_best")
-        )
-    )
+    actual = F.col("actual_arg_types")
+
+    def rated(s: Column) -> Column:
+        n, m = F.size(actual), F.size(s["types"])
+        takes = F.when(s["variadic"], n >= m).otherwise(n == m)
+        ratio = F.when(takes, match_ratio(actual, s["types"], s["variadic"])).otherwise(0.0)
+        return F.struct(ratio.alias("ratio"), (-s["ord"]).alias("ord"), s["types"].alias("types"), s["variadic"].alias("variadic"))
+
+    fitting = F.filter(F.transform("_sigs", rated), lambda r: r["ratio"] > 0)
+    joined = df.join(signature_lists(signatures), F.lower(F.col(fn)) == F.col("_fn"), "left")
     b = F.col("_best")
     return (
-        df.join(best, list(keys), "left")
+        joined.withColumn("_best", F.array_max(fitting))
         .withColumns(
             {
-                "param_type_match_ratio": F.round(F.coalesce(b["_ratio"], F.lit(0.0)), 4),
-                "expected_arg_types": F.coalesce(b["expected_types"], _empty()),
+                "param_type_match_ratio": F.round(F.coalesce(b["ratio"], F.lit(0.0)), 4),
+                "expected_arg_types": F.coalesce(b["types"], _empty()),
                 "param_type_match_detail": F.when(
-                    b.isNotNull(), match_detail(actual, b["expected_types"], b["variadic"])
+                    b.isNotNull(), match_detail(actual, b["types"], b["variadic"])
                 ).otherwise(_empty()),
             }
         )
-        .drop("_best")
+        .drop("_best", "_fn", "_sigs")
     )
 
 

@@ -102,12 +102,7 @@ def error_long(counts: DataFrame, names: DataFrame) -> DataFrame:
     lookup = names.select("model", "category", "name", "name_ord")
     return (
         counts.join(lookup, "model", "inner")
-        .orderBy(
-            "category",
-            F.coalesce("name_ord", F.lit(1_000_000)),
-            F.col("count").desc(),
-            "error_type",
-        )
+        .orderBy("category", F.asc_nulls_last("name_ord"), F.col("count").desc(), "error_type")
         .select("category", "name", "error_type", "count")
     )
 
@@ -117,11 +112,13 @@ def error_pivot(
     names: DataFrame,
     rows: str = "type",
     error_types: Sequence[str] = tuple(ERROR_TYPES),
+    heads: Sequence[str] | None = None,
 ) -> DataFrame:
     """Zero-filled table of classes x models (``rows="type"``) or models x classes.
 
-    Every listed model is shown, also one without errors. The heads of the columns are
-    the error classes or the listed names, so no extra job looks for them.
+    Every listed model is shown, also one without errors. The heads of the columns are the
+    error classes, or for ``rows="type"`` the display names in ``heads``, in that order; without
+    ``heads`` Spark looks the names up. ``error_long`` has the same cells as rows.
     """
     lookup = names.select("model", "category", "name", "name_ord")
     if rows == "model":
@@ -133,22 +130,13 @@ def error_pivot(
         return (
             listed.groupBy("category", "name", "name_ord")
             .agg(*cells)
-            .orderBy("category", F.coalesce("name_ord", F.lit(1_000_000)))
+            .orderBy("category", F.asc_nulls_last("name_ord"))
             .drop("name_ord")
         )
-    heads = [
-        r["name"]
-        for r in lookup.orderBy("category", F.coalesce("name_ord", F.lit(1_000_000)))
-        .select("name")
-        .limit(10_001)
-        .collect()
-    ]
-    if len(heads) > 10_000:
-        raise ValueError("a pivot shows at most 10000 models; use error_long")
     joined = counts.join(lookup, "model", "inner")
     return (
         joined.groupBy("error_type")
-        .pivot("name", heads)
+        .pivot("name", None if heads is None else list(heads))
         .agg(F.sum("count"))
         .na.fill(0)
         .orderBy("error_type")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_answer, type_key
-from .order import STRETCH, first_n, running_index
+from .order import first_n, running_index
 
 BY = ("model",)
 
@@ -87,17 +87,17 @@ def pass_at_k(
     order: Sequence[str] = ("round", "ord"),
     positional: bool = False,
     group: int = 5,
-    width: int = STRETCH,
+    parts: int | None = None,
 ) -> DataFrame:
     """Share of items with a correct result among their first k rounds.
 
     Only the first max(ks) rounds of an item leave the map tasks. ``positional`` groups
     ``group`` consecutive rows in ``order`` instead and drops an incomplete last group;
-    ``width`` is the stretch of a numeric order one task numbers at a time.
+    ``parts`` is the number of stretches of a numeric order that tasks number apart.
     """
     hit = F.coalesce(F.col("result_correct") == "correct", F.lit(False))
     if positional:
-        numbered = running_index(df, by, order, "_idx", width)
+        numbered = running_index(df, by, order, "_idx", parts)
         groups = numbered.select(
             *by,
             F.floor((F.col("_idx") - 1) / group).alias("_group"),

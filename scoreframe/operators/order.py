@@ -8,20 +8,29 @@ spread over many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STRETCH = 1_000_000
+def with_stretch(df: DataFrame, ord_col: str, parts: int | None = None) -> DataFrame:
+    """Add ``_stretch``, the stretch of the order a row lies in: its file block, or one of
+    ``parts`` ranges of numbers with about the same number of rows.
 
-
-def stretch_of(df: DataFrame, ord_col: str, width: int = STRETCH) -> Column:
-    """The stretch of the order a row lies in: its file block, or a range of numbers."""
+    The ranges are cut at quantiles of the data, as many as there are shuffle partitions
+    unless ``parts`` says otherwise. Equal numbers share a stretch.
+    """
     if isinstance(df.schema[ord_col].dataType, T.StructType):
-        return F.struct(F.col(ord_col)["file"], F.col(ord_col)["block"])
-    return F.floor(F.col(ord_col) / width)
+        return df.withColumn("_stretch", F.struct(F.col(ord_col)["file"], F.col(ord_col)["block"]))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.approxQuantile(ord_col, [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    bounds = [-math.inf, *sorted(set(cuts)), math.inf]
+    number = df.withColumn("_number", F.col(ord_col).cast("double"))
+    cut = Bucketizer(splits=bounds, inputCol="_number", outputCol="_stretch", handleInvalid="keep")
+    return cut.transform(number).drop("_number")
 
 
 def is_sorted_within(
@@ -29,11 +38,11 @@ def is_sorted_within(
     keys: Sequence[str],
     by: str = "round",
     ord_col: str = "ord",
-    width: int = STRETCH,
+    parts: int | None = None,
 ) -> DataFrame:
     """(keys, is_sorted): whether ``by`` never falls within a group along the order."""
     near = Window.partitionBy(*keys, "_stretch").orderBy(ord_col)
-    steps = df.withColumn("_stretch", stretch_of(df, ord_col, width)).select(
+    steps = with_stretch(df, ord_col, parts).select(
         *keys,
         "_stretch",
         F.col(by).alias("_by"),
@@ -105,14 +114,14 @@ def running_index(
     keys: Sequence[str],
     order: Sequence[str],
     name: str = "idx",
-    width: int = STRETCH,
+    parts: int | None = None,
 ) -> DataFrame:
     """Position 1.. of each row in its group along ``order`` (its first column cuts stretches).
 
     Rows are numbered inside a stretch; the rows in front of a stretch come from
     the per-stretch counts.
     """
-    df = df.withColumn("_stretch", stretch_of(df, order[0], width))
+    df = with_stretch(df, order[0], parts)
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -69,8 +69,6 @@ Error message:
 {error}
 """
 
-# Fixed value: an error message is cut to this length before it is shown to a model.
-ERROR_PROMPT_CHARS = 4000
 
 
 def _fill(template: str, trim: bool = True, **columns: Column) -> Column:
@@ -115,5 +113,7 @@ def prompt_schema_sql(schema: Column, question_en: Column, question: Column) ->
     )
 
 
-def prompt_error(message: Column) -> Column:
-    return _fill(ERROR_PROMPT, trim=False, error=F.left(message, F.lit(ERROR_PROMPT_CHARS)))
+def prompt_error(message: Column, max_chars: int | None = None) -> Column:
+    """The prompt for a message, whole or cut to ``max_chars`` characters."""
+    shown = message if max_chars is None else F.left(message, F.lit(max_chars))
+    return _fill(ERROR_PROMPT, trim=False, error=shown)
