@@ -14,33 +14,85 @@ def score_answers(spark, sf):
     return P.score_answers(answers)
 
 
+BAD7, Q5 = "q % 3 = 1 AND n >= 8", "q % 6 = 5"
+
+
 @query(
     "score_expected",
-    "O58 O63 O65 O73 O75 O77 O78",
-    """SELECT 'q' || q AS query_id, CASE WHEN bad7 OR q % 6 = 5 OR q % 4 = 3 THEN 'incorrect' ELSE 'correct' END AS result_correct,
-  CASE WHEN q % 6 = 5 THEN 'text,text' ELSE 'text,geometry' END AS column_type, CAST(CASE WHEN bad7 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS value_match
-FROM (SELECT q, q % 3 = 1 AND max(row_idx) >= 7 AS bad7 FROM $grid GROUP BY q)""",
+    "O58 O65 O73 O75 O77 O78",
+    f"""SELECT 'q' || q AS query_id, CASE WHEN bad7 OR q5 OR q % 4 = 3 THEN 'incorrect' ELSE 'correct' END AS result_correct, '' AS execution_error,
+  CASE WHEN q5 THEN 'text,text' ELSE 'text,geometry' END AS column_type, CAST(CASE WHEN bad7 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS value_match,
+  CAST(CASE WHEN q5 OR q % 4 = 2 THEN 0.0 WHEN q % 4 = 3 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS st_astext, CAST(CASE WHEN q5 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS st_equals,
+  CAST(CASE WHEN q5 OR q % 4 = 3 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS st_z, n AS total_rows
+FROM (SELECT q, {BAD7} AS bad7, {Q5} AS q5, n FROM (SELECT q, max(row_idx) + 1 AS n FROM $grid GROUP BY q))""",
 )
 def score_expected(spark, sf):
     records = P.score_expected(from_view(spark, sf, "placed"))
+    rates = [F.col(f"strategy_pass_rate.{c}").alias(c) for c in P.PASS_RATES]
     return records.select(
         "query_id",
         "result_correct",
+        "execution_error",
         F.array_join("column_type", ",").alias("column_type"),
-        F.col("strategy_pass_rate.value_match").alias("value_match"),
+        *rates,
+        F.col("result_comparison")[0]["total_rows"].cast("int").alias("total_rows"),
     )
 
 
+MATCHED = f"""SELECT k.query_id, CASE WHEN p <> g OR coalesce(m, 0) < 2 THEN 'incorrect' ELSE 'correct' END AS result_correct, p, g
+FROM ({COUNTS}) k LEFT JOIN (SELECT query_id, count(DISTINCT pc) AS m FROM ({EQUAL}) GROUP BY 1) e ON k.query_id = e.query_id"""
+
+
 @query(
     "score_matched",
     "O64 O65 O76 O77 O78",
-    f"""SELECT k.query_id, CASE WHEN p <> g OR coalesce(m, 0) < 2 THEN 'incorrect' ELSE 'correct' END AS result_correct, CAST(coalesce(CASE WHEN p = g THEN m END, 0) AS INTEGER) AS matched
-FROM ({COUNTS}) k LEFT JOIN (SELECT query_id, count(DISTINCT pc) AS m FROM ({EQUAL}) GROUP BY 1) e ON k.query_id = e.query_id""",
+    f"SELECT query_id, result_correct, CAST(CASE WHEN result_correct = 'correct' THEN 2 ELSE 0 END AS INTEGER) AS matched FROM ({MATCHED})",
 )
 def score_matched(spark, sf):
     records = P.score_matched(from_view(spark, sf, "cells"))
+    return records.select("query_id", "result_correct", F.size("result_comparison").alias("matched"))
+
+
+# All queries of a run: some failed, some lack SQL, some have no cells at all.
+RUN = """SELECT query_id, concat('m', CAST(q % 3 AS STRING)) AS model, q % 5 <> 4 AS executable, q % 9 <> 8 AS gold_executable,
+  CASE WHEN q % 13 <> 12 THEN 'SELECT 1' END AS pred_sql, 'SELECT 1' AS gold_sql, CASE WHEN q % 17 = 16 THEN ' ' ELSE 'db' END AS db_id,
+  CAST(q AS DOUBLE) AS execution_time FROM (SELECT DISTINCT query_id, q FROM $grid)
+UNION ALL SELECT concat('empty', CAST(n_nationkey AS STRING)), 'm0', true, true, 'SELECT 1', 'SELECT 1', 'db', 0.5 FROM @nation"""
+RECORDS = f"""SELECT r.*, CASE WHEN pred_sql IS NULL OR trim(db_id) = '' THEN 'error' WHEN NOT executable OR NOT gold_executable OR m.query_id IS NULL THEN 'unknown' ELSE result_correct END AS verdict
+FROM ({RUN}) r LEFT JOIN ({MATCHED}) m ON r.query_id = m.query_id"""
+
+
+@query(
+    "score_records",
+    "O63 O64 O65 O76 O77 O78",
+    f"""SELECT query_id, model, executable AND verdict <> 'error' AS executable, execution_time, verdict AS result_correct,
+  CASE WHEN verdict = 'correct' THEN '0:1,1:0' ELSE '' END AS pairs, CASE WHEN verdict = 'correct' THEN 'text,text' ELSE '' END AS column_type,
+  CASE WHEN verdict = 'error' THEN 'missing pred_sql / gold_sql / db_id' ELSE '' END AS guard, CAST(CASE WHEN verdict = 'correct' THEN 1 ELSE 0 END AS DOUBLE) AS value_match FROM ({RECORDS})""",
+)
+def score_records(spark, sf):
+    records = P.score_matched(from_view(spark, sf, "cells"), queries=spark_sql(spark, sf, RUN))
+    pairs = F.transform("result_comparison", lambda c: F.concat_ws(":", c["pred_col"].cast("string"), c["gold_col"].cast("string")))
     return records.select(
-        "query_id", "result_correct", F.coalesce(F.size("result_comparison"), F.lit(0)).alias("matched")
+        "query_id", "model", "executable", "execution_time", "result_correct", F.array_join(pairs, ",").alias("pairs"),
+        F.array_join("column_type", ",").alias("column_type"),
+        F.when(F.col("result_correct") == "error", F.col("execution_error")).otherwise("").alias("guard"),
+        F.col("strategy_pass_rate.value_match").alias("value_match"),
+    )
+
+
+@query(
+    "score_to_summary",
+    "O63 O64 O65 O76 O104",
+    f"""SELECT model, count(*) AS total_sql, count(*) FILTER (WHERE executable AND verdict <> 'error') AS executable_sql_count, count(*) FILTER (WHERE verdict = 'correct') AS correct_sql_count,
+  CAST(2 * count(*) FILTER (WHERE verdict = 'correct') AS BIGINT) AS total_columns, CAST(2 * count(*) FILTER (WHERE verdict = 'correct') AS BIGINT) AS value_match_column_pass,
+  round(CAST(count(*) FILTER (WHERE verdict = 'correct') AS DOUBLE) / count(*), 4) AS correct_sql_ratio FROM ({RECORDS}) GROUP BY model""",
+)
+def score_to_summary(spark, sf):
+    from ..operators import metrics as M
+
+    records = P.score_matched(from_view(spark, sf, "cells"), queries=spark_sql(spark, sf, RUN))
+    return M.execution_summary(records).select(
+        "model", "total_sql", "executable_sql_count", "correct_sql_count", "total_columns", "value_match_column_pass", "correct_sql_ratio"
     )
 
 

@@ -1,4 +1,5 @@
 from .scoring import (
+    PASS_RATES,
     execution_records,
     model_report,
     prepare_answers,
@@ -11,6 +12,7 @@ from .scoring import (
 )
 
 __all__ = [
+    "PASS_RATES",
     "execution_records",
     "model_report",
     "prepare_answers",

@@ -131,7 +131,31 @@ def test_matched_score(spark):
 def test_failed_gold_query_is_unknown(spark):
     df = cells(spark, {"q": ([["a"]], [["b"]])})
     ok = spark.createDataFrame([("q", False)], "query_id STRING, gold_executable BOOLEAN")
-    assert verdicts(score_matched(df, gold_ok=ok)) == {"q": "unknown"}
+    assert verdicts(score_matched(df, queries=ok)) == {"q": "unknown"}
+
+
+def test_no_query_is_lost(spark):
+    df = cells(spark, {"half": ([["a", "x"]], [["a", "y"]]), "good": ([["a"]], [["a"]]), "failed": ([], [["a"]])})
+    listed = spark.createDataFrame(
+        [("half", True, True, "s", "g", "d"), ("good", True, True, "s", "g", "d"), ("failed", False, True, "s", "g", "d"),
+         ("gold failed", True, False, "s", "g", "d"), ("both empty", True, True, "s", "g", "d"), ("no sql", True, True, "", "g", "d"),
+         ("no db", None, None, "s", "g", None)],
+        "query_id STRING, executable BOOLEAN, gold_executable BOOLEAN, pred_sql STRING, gold_sql STRING, db_id STRING",
+    )
+    got = {r.query_id: r for r in score_matched(df, queries=listed).collect()}
+    assert {k: r.result_correct for k, r in got.items()} == {
+        "half": "incorrect", "good": "correct", "failed": "unknown", "gold failed": "unknown", "both empty": "unknown",
+        "no sql": "error", "no db": "error",
+    }
+    assert got["half"].result_comparison == [] and got["half"].strategy_pass_rate.value_match == 0
+    assert "unmatched" in got["half"].execution_error
+    assert got["good"].result_comparison[0].pred_col == 0 and got["good"].strategy_pass_rate.value_match == 1
+    assert not got["no sql"].executable and got["no sql"].execution_error.startswith("missing")
+    expected = {r.query_id: r.result_correct for r in score_expected(df, queries=listed).collect()}
+    assert expected == {
+        "half": "incorrect", "good": "correct", "failed": "unknown", "gold failed": "unknown", "both empty": "unknown",
+        "no sql": "error", "no db": "error",
+    }
 
 
 def test_augmenting_matching_is_maximum():
