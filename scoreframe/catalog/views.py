@@ -135,13 +135,15 @@ SELECT c_custkey AS id,
        concat('LINESTRING(0 0,', CAST(c_custkey AS STRING), ' 1,', CAST(c_custkey AS STRING), ' ', CAST(c_nationkey + 2 AS STRING), ')') AS line_a,
        CASE c_custkey % 3
          WHEN 0 THEN concat('MULTILINESTRING((', CAST(c_custkey AS STRING), ' ', CAST(c_nationkey + 2 AS STRING), ', ', CAST(c_custkey AS STRING), ' 1, 0 0))')
-         WHEN 1 THEN concat('LINESTRING(0 0, ', CAST(c_custkey AS STRING), ' 1)')
+         WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN concat('LINESTRING(0 0, ', CAST(c_custkey AS STRING), ' 1)') ELSE concat('LINESTRING(', CAST(c_custkey AS STRING), ' 1)') END
          ELSE concat('LINESTRING Z (0 0 1,', CAST(c_custkey AS STRING), ' 1 2,', CAST(c_custkey AS STRING), ' ', CAST(c_nationkey + 2 AS STRING), ' 3)') END AS line_b,
        concat('POLYGON((0 0,', CAST(c_custkey + 9 AS STRING), ' 0,', CAST(c_custkey + 9 AS STRING), ' 9,0 9,0 0),(1 1,2 1,2 2,1 1),(3 3,4 3,4 4,3 3))') AS area_a,
        CASE c_custkey % 3
          WHEN 0 THEN concat('POLYGON((', CAST(c_custkey + 9 AS STRING), ' 9,', CAST(c_custkey + 9 AS STRING), ' 0,0 0,0 9,', CAST(c_custkey + 9 AS STRING), ' 9),(4 4,3 3,4 3,4 4),(1 1,2 2,2 1,1 1))')
          WHEN 1 THEN concat('MULTIPOLYGON(((0 0,', CAST(c_custkey + 9 AS STRING), ' 0,', CAST(c_custkey + 9 AS STRING), ' 9,0 9,0 0),(1 1,2 1,2 2,1 1),(3 3,4 3,4 4,3 3)))')
-         ELSE concat('POLYGON((0 0,', CAST(c_custkey + 9 AS STRING), ' 0,', CAST(c_custkey + 9 AS STRING), ' 9,0 9,0 0))') END AS area_b
+         ELSE CASE c_custkey % 4 WHEN 0 THEN concat('POLYGON((0 0,', CAST(c_custkey + 9 AS STRING), ' 0,', CAST(c_custkey + 9 AS STRING), ' 9,0 9,0 0))')
+           WHEN 1 THEN concat('POLYGON((0 0,', CAST(c_custkey + 9 AS STRING), ' 0,', CAST(c_custkey + 9 AS STRING), ' 9,0 9),(1 1,2 1,2 2,1 1),(3 3,4 3,4 4,3 3))')
+           WHEN 2 THEN concat('GEOMETRYCOLLECTION(POLYGON((0 0,', CAST(c_custkey + 9 AS STRING), ' 0,0 0)))') ELSE 'GEOMETRYCOLLECTION(foo)' END END AS area_b
 FROM @customer
 """,
 )

@@ -116,10 +116,29 @@ def _hex_to_wkt(s: pd.Series) -> pd.Series:
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?"
 _TUPLE = rf"{_NUMBER}(?:\s+{_NUMBER}){{1,3}}"
 _DIMS = r"(?:\s*(?:ZM|Z|M))?"
-_VALID = (
-    rf"\A(?:(?:POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON){_DIMS}\s*"
-    rf"(?=\()(?:\s*[(),]|\s*{_TUPLE})++|GEOMETRYCOLLECTION{_DIMS}\s*\(.*\)|(?:{_KINDS}){_DIMS}\s+EMPTY)\z"
-)
+
+
+def _list_of(item: str, least: int = 1) -> str:
+    """Items in parentheses with commas between them; possessive, so a long text needs no stack."""
+    return rf"\(\s*(?:{item}\s*(?:,(?!\s*\))\s*|(?=\)))){{{least},}}+\)"
+
+
+_LINE, _RING_TEXT = _list_of(_TUPLE, 2), _list_of(_TUPLE, 4)
+_AREA = _list_of(_RING_TEXT)
+_BODIES = {
+    "POINT": rf"\(\s*{_TUPLE}\s*\)",
+    "LINESTRING": _LINE,
+    "POLYGON": _AREA,
+    "MULTIPOINT": _list_of(rf"(?:{_TUPLE}|\(\s*{_TUPLE}\s*\))"),
+    "MULTILINESTRING": _list_of(_LINE),
+    "MULTIPOLYGON": _list_of(_AREA),
+}
+_MEMBER = "(?:" + "|".join(rf"{k}{_DIMS}\s*{body}" for k, body in _BODIES.items()) + rf"|(?:{_KINDS}){_DIMS}\s+EMPTY)"
+# Collections may hold collections, four levels deep.
+_SHAPE_TEXT = _MEMBER
+for _ in range(4):
+    _SHAPE_TEXT = rf"(?:{_MEMBER}|GEOMETRYCOLLECTION{_DIMS}\s*{_list_of(_SHAPE_TEXT)})"
+_VALID = rf"\A{_SHAPE_TEXT}\z"
 _LEAF = (
     r"(?:MULTI)?(?:POINT|LINESTRING|POLYGON)(?:\s*(?:ZM|Z|M))?\s*"
     r"\((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+\)"
@@ -135,7 +154,8 @@ def _sql(text: str, name: str, **parts: object) -> Column:
 def decode_geom(c: Column | str) -> Column:
     """Upper-case WKT of a geometry cell without SRID; null when it cannot be decoded.
 
-    Every geometry is taken as SRID 4326. Only hex values travel to Python.
+    A point has one position, a line at least two, a ring at least four and ends where it starts;
+    the members of a collection (up to four levels) must be whole as well. Every geometry is taken as SRID 4326. Only hex values travel to Python.
     """
     c = strip(_col(c))
     hexa = is_hex_wkb(c)
@@ -143,13 +163,22 @@ def decode_geom(c: Column | str) -> Column:
         _hex_to_wkt(F.when(hexa, c)),
         F.when(~hexa, F.regexp_replace(F.upper(c), r"\ASRID=\d+;\s*", "")),
     )
-    without = lambda t, mark: F.length(F.replace(t, F.lit(mark), F.lit("")))
-    return let(
-        text,
-        lambda t: F.when(
-            F.regexp_like(t, F.lit(_VALID)) & (without(t, "(") == without(t, ")")), t
-        ),
-    )
+    return let(text, lambda t: F.when(F.regexp_like(t, F.lit(_VALID)) & _rings_closed(t), t))
+
+
+def _rings_closed(t: Column) -> Column:
+    """Every ring of every polygon ends at the point it starts from."""
+
+    def point(p: Column) -> Column:
+        return F.transform(F.split(F.trim(p), r"\s+"), lambda v: v.try_cast("double"))
+
+    def closed(ring: Column) -> Column:
+        return let(F.split(ring, ","), lambda ps: point(ps[0]) == point(F.element_at(ps, -1)))
+
+    def whole(m: Column) -> Column:
+        return ~m.contains("POLYGON") | F.forall(F.regexp_extract_all(m, F.lit(r"\(([^()]+)\)"), 1), closed)
+
+    return ~t.contains("POLYGON") | F.forall(F.regexp_extract_all(t, F.lit(_LEAF), 0), whole)
 
 
 _CANONICAL = r"""

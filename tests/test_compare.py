@@ -231,3 +231,22 @@ def test_expected_rows(spark, json, rows):
     df = spark.createDataFrame([(json, ["n", "m"])], "j STRING, names ARRAY<STRING>")
     got = df.select(C.expected_rows(F.parse_json("j"), F.col("names"), F.lit(2)).alias("r")).first()["r"]
     assert got == rows
+
+
+def test_only_whole_geometries_decode(spark):
+    good = [
+        "POINT(1 2)", "point z ( 1 2 3 )", "LINESTRING(0 0,1 1)", "POLYGON((0 0,1 0,1 1,0 0))", "POLYGON((0 0,1 0,1 1,0.0 0e0),(1 1,2 1,2 2,1 1))",
+        "MULTIPOINT(1 2,3 4)", "MULTIPOINT((1 2),(3 4))", "MULTILINESTRING((0 0,1 1),(2 2,3 3))", "MULTIPOLYGON(((0 0,1 0,1 1,0 0)),((5 5,6 5,6 6,5 5)))",
+        "GEOMETRYCOLLECTION(POINT(1 2), LINESTRING(0 0,1 1))", "GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(POINT(1 2)),POINT EMPTY)", "SRID=4326;POINT(1 2)",
+        "LINESTRING(" + ",".join(f"{k} {k}" for k in range(20_000)) + ")",
+    ]
+    bad = [
+        "POINT(1 2,3 4)", "POINT(1)", "POINT()", "LINESTRING(1 2)", "LINESTRING(1 2,)", "POLYGON((0 0,1 0,1 1,0 1))", "POLYGON((0 0,1 0,0 0))",
+        "POLYGON(0 0,1 0,1 1,0 0)", "POLYGON((0 0,1 0,1 1,0 0),(1 1,2 1,2 2,9 9))", "MULTIPOINT((1 2,3 4))", "MULTIPOLYGON((0 0,1 0,1 1,0 0))",
+        "GEOMETRYCOLLECTION(foo)", "GEOMETRYCOLLECTION(POINT(1 2,3 4))", "GEOMETRYCOLLECTION(POLYGON((0 0,1 0,1 1,5 5)))", "POINT(1 2))", "POINT(a b)",
+    ]
+    df = spark.createDataFrame([(t, t in good) for t in good + bad], "t STRING, ok BOOLEAN")
+    wrong = df.where(G.decode_geom("t").isNotNull() != F.col("ok")).collect()
+    assert [r.t for r in wrong] == []
+    pair = [("POLYGON((0 0,1 0,1 1,0 1))", "POLYGON((0 0,1 0,1 1,5 5))"), ("GEOMETRYCOLLECTION(foo)", "GEOMETRYCOLLECTION(bar)")]
+    assert {r[0] for r in equal(spark, pair)} == {False}
