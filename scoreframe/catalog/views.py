@@ -52,7 +52,7 @@ SELECT o_orderkey AS id, concat('m_', o_orderstatus) AS model,
          WHEN 5 THEN concat('first', chr(10), 'SELECT 1;', chr(10), 'SELECT p_name FROM part;')
          WHEN 6 THEN concat('Use this:', chr(10), 'select /* c_name, (x */ c_acctbal', chr(10), 'from customer -- nation', chr(10), 'where c_name = ', chr(39), 'it, (', CAST(o_custkey AS STRING), chr(39))
          WHEN 7 THEN concat('``` ```', chr(10), 'trailing words with ', CAST(o_custkey AS STRING))
-         WHEN 8 THEN concat('SELECT ST_Buffer(ST_SetSRID(geom, 4326), ', CAST(o_custkey AS STRING), '), round(', CAST(o_totalprice AS STRING), '::numeric, 2) FROM customer; and', chr(10), 'that is it; done')
+         WHEN 8 THEN concat('SELECT ', CASE o_custkey % 3 WHEN 0 THEN concat('/* don', chr(39), 't (, */ -- it', chr(39), 's (x', chr(10)) WHEN 1 THEN concat(chr(36), chr(36), 'it', chr(39), 's (', chr(36), chr(36), ', ', chr(39), '-- ) ', chr(39), ', ') ELSE '' END, 'ST_Buffer(ST_SetSRID(geom, 4326), ', CAST(o_custkey AS STRING), '), round(', CAST(o_totalprice AS STRING), '::numeric, 2) FROM customer; and', chr(10), 'that is it; done')
          ELSE concat('SELECT AddGeometryColumn(', chr(39), 'part', chr(39), ', ', chr(39), 'p_name', chr(39), ', 4326), ST_EstimatedExtent(', chr(39), 'customer', chr(39), ', ', chr(39), 'geom', chr(39), ') FROM public.part ORDER BY p_name DESC, p_partkey LIMIT 3;') END AS pred_sql
 FROM @orders
 """,

@@ -42,18 +42,33 @@ def stripped(c: str) -> str:
     return f"btrim({c}, '{WHITESPACE}')"
 
 
-def _sanitized(c: str, literal: str = " ") -> str:
-    return (
-        rf"regexp_replace(regexp_replace(regexp_replace({c}, r'(?s)/\*.*?\*/', ' '), "
-        rf"""r'--[^\n\r]*', ' '), r"(?:'[^']*+')++", '{literal}')"""
+# Comments, quoted texts, quoted names and dollar-quoted texts, whichever starts first.
+# \x22, \x24 and \x27 are the double quote, the dollar sign and the quote.
+_TOKEN = (
+    r"(?s)/\*.*?\*/|--[^\n\r]*+|\x27(?:[^\x27]|\x27\x27)*+\x27|\x22(?:[^\x22]|\x22\x22)*+\x22|(\x24\w*\x24).*?\1"
+)
+
+
+def _retold(c: str, told: str) -> str:
+    """The text with a comment as a blank and each other token ``t`` as ``told`` has it.
+
+    One pass from left to right finds the tokens, so a quote in a comment, or two dashes
+    in a quoted text, start nothing.
+    """
+    return let(
+        f"regexp_extract_all({c}, r'{_TOKEN}', 0)",
+        "toks",
+        f"array_join(zip_with(split({c}, r'{_TOKEN}', -1), toks, (g, t) -> concat(g, CASE WHEN t IS NULL THEN '' "
+        f"WHEN startswith(t, '--') OR startswith(t, '/*') THEN ' ' ELSE {told} END)), '')",
     )
 
 
+def _sanitized(c: str, literal: str = " ") -> str:
+    return _retold(c, f"CASE WHEN startswith(t, '\"') THEN t ELSE '{literal}' END")
+
+
 def _masked(c: str) -> str:
-    return (
-        f"array_join(transform(split({c}, \"'\"), (p, i) -> "
-        f"CASE WHEN i % 2 = 1 THEN translate(p, '{_PLAIN}', '{_HIDDEN}') ELSE p END), \"'\")"
-    )
+    return _retold(c, f"translate(t, '{_PLAIN}', '{_HIDDEN}')")
 
 
 def unmasked(c: str) -> str:
@@ -116,6 +131,7 @@ def unquoted(arg: str) -> str:
     )
 
 
+# What counts as a table, an owner and column, or a bare name.
 _FROM = rf'(?i)\b(?:from|join)\b\s+("?[A-Za-z_][\w.]*"?)(?:\s+(?:as\s+)?({_NAME}))?'
 _QUALIFIED = r'\b("?[A-Za-z_][\w$]*"?)\s*\.\s*("?[A-Za-z_][\w$]*"?)\b'
 _BARE = rf"(?U)(?<!\.)\b({_NAME})\b(?!\s*\()"
@@ -239,17 +255,19 @@ def order_spec(name: str) -> Column:
 
 
 def structure_valid(name: str, pieces: str) -> Column:
-    """Whether a text has the shape of a statement: a statement keyword in front, closed
-    quotes, balanced parentheses and no clause left open at its end.
+    """Whether a text has the shape of a statement: a statement keyword in front, closed quotes
+    and comments, balanced parentheses outside them and no clause without content.
 
     ``pieces`` names the pieces of the masked text.
     """
     keywords = "select|with|update|delete|insert|create|drop|alter|values|explain"
     clean = stripped(rf"regexp_replace({_sanitized(name, "0")}, r'[\s;]+\z', '')")
     test = (
-        f"(length({name}) - length(replace({name}, \"'\", ''))) % 2 = 0 "
+        # What is left of a quote or comment sign was never closed.
+        r"NOT regexp_like(regexp_replace(clean, r'\x22[^\x22]*+\x22', 'q'), r'[\x22\x27]|/\*|\x24\w*\x24') "
         "AND element_at(ds, -1) = 0 AND array_min(ds) >= 0 "
         rf"AND regexp_like(clean, r'(?is)\A\(*\s*(?:{keywords})\b\s*\S.*') "
+        r"AND NOT regexp_like(clean, r'(?is)\b(?:from|where|by|on|and|or|join)\s+(?:from|where|group|order|having|limit|join)\b') "
         r"AND NOT regexp_like(clean, r'(?is)(?:,|\b(?:from|where|and|or|by|select|join|on)|[=<>+*/-])\z')"
     )
     depths = f"transform({pieces}, p -> p.depth)"

@@ -116,9 +116,9 @@ def error_pivot(
 ) -> DataFrame:
     """Zero-filled table of classes x models (``rows="type"``) or models x classes.
 
-    Every listed model is shown, also one without errors. The heads of the columns are the
-    error classes, or for ``rows="type"`` the display names in ``heads``, in that order; without
-    ``heads`` Spark looks the names up. ``error_long`` has the same cells as rows.
+    ``rows="model"`` shows every listed model, also one without errors. ``rows="type"`` has a column
+    for each display name in ``heads``, in that order; without ``heads`` Spark looks up the names of
+    the models with errors. ``error_long`` has the same cells as rows.
     """
     lookup = names.select("model", "category", "name", "name_ord")
     if rows == "model":
