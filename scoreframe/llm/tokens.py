@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: Words kept per worker; a full cache starts anew, which changes no result.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def default_tokenizer() -> str:
