@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from scoreframe.llm.common import stored
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Per node ``u`` the least of itself and its neighbours; combines in the map tasks."""
-    return stored(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+def _linked_to_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with ``m``, the least of ``u`` and its neighbours, and ``u, m`` of every node.
+
+    The minimum combines in the map tasks. It gets a key of its own, equal to ``u``, so that the join
+    shuffles both sides and AQE can split the edges of a node that very many others name.
+    """
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = least.select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m")
+    return edges.join(least, "u"), least
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -32,10 +38,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = _print(cur)
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u > v").distinct(), "large")
-        least = _least(large)
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, _ = _linked_to_least(both)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small, least = _linked_to_least(large)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v")
         cur = stored(small.distinct(), "edges")
         now = _print(cur)

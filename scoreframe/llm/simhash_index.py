@@ -135,7 +135,10 @@ def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``a, b``: a spanning forest of the links between the distinct values of ``fp``."""
+    """``a, b``: the links between the distinct values of ``fp``, each list's as a forest.
+
+    A row joins a fingerprint to the least one it reaches within a list, over links verified there.
+    """
     if not 0 < max_bits < 8:
         raise ValueError("max_bits must be from 1 to 7")
     free = list(combinations(range(8), max_bits))
@@ -178,20 +181,20 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fp, digest, component_id``.
+    """One row per row of ``docs``: ``doc_id, fp, digest, component_id, root``.
 
-    ``component_id`` is the least id reachable over links, itself included. Null ids are left out of
-    the minimum. Texts without words share fingerprint 0 and link like any other; repeated rows stay
+    ``component_id`` is the least id reachable over links, itself included; ``root`` is the
+    least fingerprint, which names the component even if ids repeat. Null ids are left out of the minimum. Texts without words share fingerprint 0 and link like any other; repeated rows stay
     rows of one component; an empty table gives an empty result; other columns are not read.
     """
     rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     roots = components(stored(links(rows, max_bits), "links"))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left")
-    rooted = stored(rooted.select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
-    lows = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    named = stored(rooted.join(lows, "root").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", "fp", "digest", "component_id")
+    rooted = rooted.select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy(F.col("root").alias("top")).agg(F.min("low").alias("component_id"))
+    named = rooted.join(lows, F.col("root") == F.col("top")).select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "digest", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -199,10 +202,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of several texts with that id, the one with the least digest stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    found = stored(near_duplicates(docs, id_col, text_col, **options), "near")
     own = found.where("doc_id <=> component_id")
-    first = stored(own.groupBy("component_id").agg(F.min("digest").alias("first")), "first")
-    decided = found.alias("f").join(first.alias("g"), F.expr("f.component_id <=> g.component_id"), "left")
+    first = own.groupBy("root").agg(F.min("digest").alias("first"))
+    decided = found.alias("f").join(first.alias("g"), F.expr("f.root = g.root"), "left")
     decided = decided.select(
         F.col("f.doc_id").alias("_id"),
         F.col("f.digest").alias("_digest"),

@@ -228,10 +228,10 @@ def pack(
     """
     cut = pieces(docs, id_col, text_col, tokenizer_path or default_tokenizer(), width, end_id, with_ids)
     cut = stored(cut if with_ids else cut.drop("ids"), "pieces")
-    counts = stored(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    hist = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = docs.sparkSession.sparkContext.broadcast(_slots(local_search(best_fit(hist, width), width)))
     numbered = cut.join(bases, ["length", "part"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]

@@ -65,7 +65,6 @@ def test_links_by_brute_force(spark):
         fps.add(s ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     edges = simhash_index.links(spark.createDataFrame(signed, "fp long"))
-    assert all(((e.a ^ e.b) % (1 << 64)).bit_count() <= 2 for e in edges.collect())
     got = {r.node % (1 << 64): r.root for r in components(edges).collect()}
     want = brute_components(fps)
     groups = defaultdict(set)
