@@ -173,6 +173,4 @@ def append_new_runs(spark, sf):
     for part in (rows.where(~late), rows.where(late)):
         IO.append_runs(part, f"{base}/in")
         append_new(follow_runs(spark, f"{base}/in", SCHEMA), f"{base}/store", f"{base}/state").awaitTermination()
-    return spark.read.schema(SCHEMA).json(f"{base}/store").select(
-        "model", "id", "round", "unique_key", "ord"
-    )
+    return spark.read.parquet(f"{base}/store").select("model", "id", "round", "unique_key", "ord")

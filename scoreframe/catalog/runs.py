@@ -207,19 +207,23 @@ def batch_predict(spark, sf):
     return made.select("conv_id", "turn", "pred_sql", "tokens_used", "error", timed.alias("timed"))
 
 
-def embed_stub(texts: list[str]) -> list[list[float]]:
-    """Stands for an embedding model: length and number of words."""
-    return [[float(len(t)), float(t.count(" ") + 1)] for t in texts]
+def embed_stub(texts: list[str]) -> tuple[list[list[float]], int]:
+    """Stands for an embedding model: length and number of words; refuses texts that shout."""
+    if any("!!" in t for t in texts):
+        raise ValueError("no shouting")
+    return [[float(len(t)), float(t.count(" ") + 1)] for t in texts], sum(map(len, texts))
 
 
 @query(
     "batch_embed",
     "O27",
-    """SELECT doc_id, CAST(length(text) AS FLOAT) AS v0, CAST(len(string_split(text, ' ')) AS FLOAT) AS v1, CAST(NULL AS VARCHAR) AS embed_error FROM @documents""",
+    """SELECT doc_id, CASE WHEN NOT bad THEN CAST(length(text) AS FLOAT) END AS v0, CASE WHEN NOT bad THEN CAST(len(string_split(text, ' ')) AS FLOAT) END AS v1,
+  CASE WHEN bad THEN 'ValueError: no shouting' END AS embed_error, CASE WHEN bad THEN 0 ELSE length(text) END AS embed_tokens FROM (SELECT *, contains(text, '!!') AS bad FROM @documents)""",
 )
 def batch_embed(spark, sf):
     docs = spark_sql(spark, sf, "SELECT doc_id, text FROM @documents")
-    made = R.batch_embed(docs, embed_stub)
+    # One text per call, so that the tokens can be told row by row.
+    made = R.batch_embed(docs, embed_stub, batch_size=1)
     return made.select(
-        "doc_id", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), "embed_error"
+        "doc_id", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), "embed_error", "embed_tokens"
     )

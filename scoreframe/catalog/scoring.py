@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 from .. import plans as P
 from .cells import COUNTS, EQUAL
 from .metrics import BY_TYPE
+from ..operators import prompts as PR
+from ..session import shared_dir
+from .errors import NAMED
 from .registry import from_view, query, spark_sql
+from .runs import WS, text_sql
 
 
 @query("score_answers", "O30 O31 O32 O41 O101", BY_TYPE)
@@ -170,3 +174,37 @@ def model_report(spark, sf):
             )
         ],
     )
+
+
+def sql_stub(prompt: str) -> tuple[str, int]:
+    """Stands for a model that writes a fenced statement."""
+    return f"```sql\nSELECT {len(prompt)}\n```", 1
+
+
+@query(
+    "generate_runs",
+    "O14 O15 O19 O23 O26 O28 O13",
+    f"""SELECT model, id, CAST(r AS BIGINT) AS round, md5(id || '__' || function || '__' || question || '__' || r) AS unique_key,
+  'SELECT ' || length(trim({text_sql(PR.SQL_PROMPT, question="question")}, {WS})) AS pred_sql
+FROM (SELECT c_custkey AS id, c_mktsegment AS function, c_name AS question FROM @customer), (VALUES ('m_A'), ('m_B')) m(model), range(1, 3) t(r)""",
+)
+def generate_runs(spark, sf):
+    items = spark_sql(spark, sf, "SELECT c_custkey AS id, c_mktsegment AS function, c_name AS question FROM @customer")
+    store, models = shared_dir(spark, "generated"), {"m_A": sql_stub, "m_B": sql_stub}
+    # A first run gets one round done; the second finds it in the store and adds the other.
+    P.generate_runs(items, models, 1, store)
+    schema = "model STRING, id BIGINT, round BIGINT, unique_key STRING, pred_sql STRING"
+    done = spark.read.schema(schema).json(store)
+    P.generate_runs(items, models, 2, store, done)
+    return spark.read.schema(schema).json(store)
+
+
+@query("analyse_errors", "O20 O96 O97 O109 O110", f'SELECT category, name, error_type, n AS "count" FROM ({NAMED})')
+def analyse_errors(spark, sf):
+    rows = from_view(spark, sf, "errors").select("model", "id", "execution_error")
+    store = shared_dir(spark, "labelled")
+    P.label_errors(rows.where("id % 3 = 0"), store, key=("model", "id"))
+    done = spark.read.schema("model STRING, id BIGINT, execution_error STRING, error_type STRING").json(store)
+    P.label_errors(rows, store, done, key=("model", "id"))
+    reports = P.error_reports(spark.read.schema(done.schema).json(store), from_view(spark, sf, "model_names"))
+    return reports["long"]

@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 from ..functions import sqltext as S
 from .order import last_per_key
 
-# Geometry-management functions and where their string arguments name a
-# table (first argument, or second behind a schema) and columns.
-TABLE_FIRST = [
-    "dropgeometrytable", "addgeometrycolumn", "dropgeometrycolumn", "populate_geometry_columns",
-    "updategeometrysrid", "st_estimatedextent",
-]
-TABLE_SECOND = ["find_srid", "recovergeometrycolumn"]
-COLUMNS_SECOND = [
-    "addgeometrycolumn", "dropgeometrycolumn", "updategeometrysrid", "st_estimatedextent",
-]
-COLUMNS_THIRD = [
-    "addgeometrycolumn", "dropgeometrycolumn", "updategeometrysrid", "find_srid",
-    "recovergeometrycolumn",
-]
+# Geometry-management functions with the position of their table argument and the
+# positions their column may have (behind it, or one later when a schema comes first).
+MANAGEMENT = {
+    "addgeometrycolumn": (0, (1, 2)),
+    "dropgeometrycolumn": (0, (1, 2)),
+    "dropgeometrytable": (0, ()),
+    "find_srid": (1, (2,)),
+    "populate_geometry_columns": (0, ()),
+    "recovergeometrycolumn": (1, (2,)),
+    "st_estimatedextent": (0, (1,)),
+    "updategeometrysrid": (0, (1, 2)),
+}
+TABLE_FIRST = [f for f, (table, _) in MANAGEMENT.items() if table == 0]
+TABLE_SECOND = [f for f, (table, _) in MANAGEMENT.items() if table == 1]
+COLUMNS_SECOND = [f for f, (_, columns) in MANAGEMENT.items() if 1 in columns]
+COLUMNS_THIRD = [f for f, (_, columns) in MANAGEMENT.items() if 2 in columns]
+
 
 def _in(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"

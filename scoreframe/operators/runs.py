@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,33 +111,30 @@ def batch_predict(
     prompt: str = "prompt",
     retries: int = 3,
     delay: float = 10.0,
-    concurrency: int | None = None,
+    in_flight: int = 16,
 ) -> DataFrame:
     """Call ``fn(prompt)`` for every row and add text, tokens, error and timing.
 
-    ``fn`` returns text or (text, tokens). It runs inside the tasks, so
-    ``concurrency`` (the number of partitions) limits calls in flight. A failing
-    call becomes the row's ``error``. Calls are not repeatable: store the result with
-    ``append_runs`` and resume with ``pending``.
+    ``fn`` returns text or (text, tokens) and is called from ``in_flight`` threads of each task, so
+    one that waits for a server doesn't hold up the others; rows keep their order. A failing call
+    becomes the row's ``error``. Calls are not repeatable: store the result with ``append_runs`` and
+    resume with ``pending``.
     """
-    if concurrency:
-        df = df.repartition(concurrency)
     schema = T.StructType([*df.schema.fields, *PREDICTION_FIELDS])
     names = [f.name for f in PREDICTION_FIELDS]
 
+    def one(text: str) -> tuple:
+        start = time.time()
+        out, error = _attempt(lambda: fn(text), retries, delay)
+        end = time.time()
+        answer, tokens = out if isinstance(out, tuple) else (out, 0)
+        return answer or "", tokens or 0, error, start, end, end - start, threading.get_ident()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch[prompt]:
-                start = time.time()
-                out, error = _attempt(lambda t=text: fn(t), retries, delay)
-                end = time.time()
-                answer, tokens = out if isinstance(out, tuple) else (out, 0)
-                rows.append(
-                    (answer or "", tokens or 0, error, start, end, end - start, threading.get_ident())
-                )
-            made = pd.DataFrame(rows, columns=names, index=batch.index)
-            yield pd.concat([batch, made], axis=1)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                made = pd.DataFrame(list(pool.map(one, batch[prompt])), columns=names, index=batch.index)
+                yield pd.concat([batch, made], axis=1)
 
     return df.mapInPandas(run, schema)
 
@@ -159,24 +157,35 @@ def batch_embed(
     text: str = "text",
     retries: int = 3,
     delay: float = 10.0,
+    batch_size: int = 64,
 ) -> DataFrame:
-    """Call ``fn(texts)`` once per Arrow batch and add one vector per row.
+    """Call ``fn(texts)`` for up to ``batch_size`` rows at a time and add one vector per row.
 
-    ``embed_tokens`` spreads the tokens of a call: the first row of a batch holds them.
+    A call that fails is made again with each half of its texts, down to single ones, so a text
+    that can't be embedded costs its own row only. ``embed_tokens`` has the tokens of a call in its
+    first row.
     """
     schema = T.StructType([*df.schema.fields, *EMBEDDING_FIELDS])
 
+    def embed(texts: list[str]) -> list[tuple]:
+        out, error = _attempt(lambda: fn(texts), retries, delay)
+        if error is None:
+            vectors, tokens = out if isinstance(out, tuple) else (out, 0)
+            if len(vectors) == len(texts):
+                return [(v, (tokens or 0) if k == 0 else 0, None) for k, v in enumerate(vectors)]
+            error = f"{len(vectors)} vectors for {len(texts)} texts"
+        if len(texts) == 1:
+            return [(None, 0, error)]
+        half = len(texts) // 2
+        return embed(texts[:half]) + embed(texts[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            out, error = _attempt(lambda b=batch: fn(list(b[text])), retries, delay)
-            vectors, tokens = out if isinstance(out, tuple) else (out, 0)
-            n = len(batch)
-            yield batch.assign(
-                vector=list(vectors) if vectors is not None else [None] * n,
-                embed_tokens=[tokens or 0] + [0] * (n - 1),
-                embed_error=pd.Series([error] * n, index=batch.index, dtype=object),
-            )
+            texts = list(batch[text])
+            rows = [r for at in range(0, len(texts), batch_size) for r in embed(texts[at : at + batch_size])]
+            if rows:
+                vectors, tokens, errors = (list(c) for c in zip(*rows))
+                errors = pd.Series(errors, index=batch.index, dtype=object)
+                yield batch.assign(vector=vectors, embed_tokens=tokens, embed_error=errors)
 
     return df.mapInPandas(run, schema)

@@ -1,3 +1,4 @@
+from .runs import error_reports, generate_runs, label_errors
 from .scoring import (
     PASS_RATES,
     execution_records,
@@ -13,7 +14,10 @@ from .scoring import (
 
 __all__ = [
     "PASS_RATES",
+    "error_reports",
     "execution_records",
+    "generate_runs",
+    "label_errors",
     "model_report",
     "prepare_answers",
     "prepare_sql",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.order import dedup_first
 from ..operators.runs import pending
-from ..sources import append_runs
 
 
 def follow_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -16,23 +15,36 @@ def follow_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a store is there, asked of the file system of its path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
 def append_new(
-    stream: DataFrame, store: str, checkpoint: str, key: str = "unique_key", ord_col: str = "ord"
+    stream: DataFrame, store: str, checkpoint: str, key: str = "unique_key", ord_col: str = "ord", parts: int = 64
 ) -> StreamingQuery:
-    """Append what is not stored yet, for all files there are now.
+    """Append what is not stored yet, for all files there are now, to a Parquet store.
 
     The first row of a key within a batch stays. A batch that is repeated after a failure finds
-    its keys stored and adds nothing, so a key is never stored twice.
+    its keys stored and adds nothing, so a key is never stored twice. The store is partitioned
+    by a hash of the key into ``parts`` folders, and a batch reads the model and key columns of
+    those it writes to. Any error but a missing store ends the stream.
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = dedup_first(batch, key, ord_col=ord_col)
-        try:
-            done = batch.sparkSession.read.schema(batch.schema).json(store)
-        except AnalysisException:
-            append_runs(fresh, store)
-            return
-        append_runs(pending(fresh, done, ["model", key]), store)
+        spark = batch.sparkSession
+        fresh = dedup_first(batch, key, ord_col=ord_col).withColumn("part", _part(key, parts))
+        if _exists(spark, store):
+            # At most ``parts`` numbers; they prune the folders that are read.
+            touched = [r["part"] for r in fresh.select("part").distinct().collect()]
+            done = spark.read.schema(fresh.schema).parquet(store).where(F.col("part").isin(touched))
+            fresh = pending(fresh, done, ["part", "model", key])
+        fresh.write.mode("append").partitionBy("part").parquet(store)
 
     return (
         stream.writeStream.foreachBatch(add)
