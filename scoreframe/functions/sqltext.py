@@ -75,14 +75,37 @@ def unmasked(c: str) -> str:
     return f"translate({c}, '{_HIDDEN}', '{_PLAIN}')"
 
 
+_BLOCK = 256
+
+
+def _running_sums(signs: str) -> str:
+    """Prefix sums of an int array: within blocks, then the sums in front of each block.
+
+    An array grows by copying, so one fold over n values would cost n * n; blocks keep it
+    near n for any text that fits a row.
+    """
+    fold = "aggregate({0}, CAST(array() AS ARRAY<INT>), (acc, x) -> concat(acc, array(coalesce(try_element_at(acc, -1), 0) + x)))"
+    return let(
+        f"transform(sequence(0, greatest(size({signs}) - 1, 0), {_BLOCK}), b -> {fold.format(f'slice({signs}, b + 1, {_BLOCK})')})",
+        "blocks",
+        let(
+            fold.format("transform(blocks, b -> coalesce(try_element_at(b, -1), 0))"),
+            "sums",
+            "flatten(transform(blocks, (b, i) -> transform(b, d -> d + coalesce(get(sums, i - 1), 0))))",
+        ),
+    )
+
+
 def _pieces(c: str) -> str:
+    sign = "CASE WHEN startswith(p, '(') THEN 1 WHEN startswith(p, ')') THEN -1 ELSE 0 END"
     return let(
         f"split({c}, r'(?=[()])')",
         "parts",
-        "zip_with(parts, aggregate(parts, CAST(array() AS ARRAY<INT>), (acc, p) -> concat(acc, array("
-        "coalesce(try_element_at(acc, -1), 0) + CASE WHEN startswith(p, '(') THEN 1 "
-        "WHEN startswith(p, ')') THEN -1 ELSE 0 END))), "
-        "(p, d) -> named_struct('text', p, 'depth', d))",
+        let(
+            f"transform(parts, p -> {sign})",
+            "signs",
+            f"zip_with(parts, {_running_sums('signs')}, (p, d) -> named_struct('text', p, 'depth', d))",
+        ),
     )
 
 
@@ -102,18 +125,25 @@ def closed_groups(p: str, lead: str, named: str | None = None) -> str:
         f"x -> CASE WHEN x.depth = get({p}, g.start).depth THEN translate(x.text, ',', '{_ARG_BREAK}') "
         f"ELSE x.text END), ''), 2), '{_ARG_BREAK}'), a -> {stripped('a')}), a -> a <> '')"
     )
-    return f"""
+    # A group ends at the first later piece whose depth is that around it: depths change by one.
+    stop = let(
+        "array_position(slice(ds, k + 2, size(ds)), get(ds, k) - 1)", "n", "CASE WHEN n > 0 THEN int(k + n) END"
+    )
+    return let(
+        f"transform({p}, x -> x.depth)",
+        "ds",
+        f"""
 transform(
   filter(
     transform(
       filter(sequence(1, greatest(size({p}) - 1, 1)),
         k -> startswith(get({p}, k).text, '(') AND {fits}),
-      k -> named_struct('start', k, 'stop',
-        get(filter(sequence(k + 1, greatest(size({p}) - 1, k + 1)), j -> get({p}, j).depth < get({p}, k).depth), 0))),
+      k -> named_struct('start', k, 'stop', {stop})),
     g -> g.stop IS NOT NULL),
   g -> named_struct('start', g.start, 'stop', g.stop,
     'name', regexp_extract(get({p}, g.start - 1).text, r'{lead}', 1), 'items', {items}))
-"""
+""",
+    )
 
 
 def outermost(gs: str) -> str:

@@ -63,7 +63,8 @@ def _management_calls(sql: str) -> str:
     """Closed calls of management functions, none inside another: (fn, args), args unquoted."""
     names = "|".join(sorted({*TABLE_FIRST, *TABLE_SECOND}))
     return S.let(
-        S._pieces(S._masked(f"coalesce({sql}, '')")),
+        # Few texts name such a function; the others are not taken apart.
+        S._pieces(S._masked(rf"CASE WHEN regexp_like({sql}, r'(?i)\b(?:{names})\b') THEN {sql} ELSE '' END")),
         "ps",
         S.let(
             S.closed_groups("ps", rf"(?i)\b({names})\s*\z"),

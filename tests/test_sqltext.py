@@ -223,3 +223,23 @@ def test_comments_and_quotes_hide_what_they_hold(spark):
 def test_clause_shapes(spark):
     df = spark.createDataFrame([("SELECT \"where\" FROM \"from\" WHERE a = 'from where'",)], "pred_sql STRING")
     assert K.with_calls(df).first().structure_valid
+
+
+def test_cost_of_parentheses_is_near_linear(spark):
+    """Ten times the calls in one text cost about ten times the time."""
+    import time
+
+    def took(n):
+        sql = "SELECT " + ", ".join(f"f(g({k}), 'x(')" for k in range(n)) + " FROM t"
+        df = spark.createDataFrame([(sql, "f")], "pred_sql STRING, target STRING").coalesce(1)
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            got = K.with_calls(df, name="c", target="target").select(F.size("c"), F.col("c")[n - 1]["args"][0], "structure_valid").first()
+            best.append(time.perf_counter() - start)
+            assert tuple(got) == (n, f"g({n - 1})", True)
+        return min(best)
+
+    took(20)
+    small, large = took(400), took(4000)
+    assert large < 25 * small + 1
