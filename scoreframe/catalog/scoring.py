@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import plans as P
 from .cells import COUNTS, EQUAL
-from .metrics import BY_TYPE
+from .metrics import BY_TYPE, PASSES
 from ..operators import prompts as PR
 from ..session import shared_dir
 from .errors import NAMED
@@ -143,12 +143,35 @@ def score_references(spark, sf):
     )
 
 
+UNIQUE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, unique_key ORDER BY ord) AS nth FROM $runs WHERE coalesce(unique_key, '') <> '') WHERE nth = 1)"
+RATE = "round(coalesce(CAST({0} AS DOUBLE) / nullif({1}, 0), 0), 4)"
+RIGHT, RAN = "count(*) FILTER (WHERE result_correct = 'correct')", "count(*) FILTER (WHERE executable)"
+# Every row has one text column, which passes if the statement ran.
+REPORT = {
+    "execution": f"""SELECT model, count(*) AS total_sql, {RAN} AS executable_sql_count, {RIGHT} AS correct_sql_count, count(*) AS total_columns, CAST(0 AS BIGINT) AS geometry_columns,
+  count(*) AS text_columns, CAST(0 AS BIGINT) AS st_astext_column_pass, CAST(0 AS BIGINT) AS st_equals_z_column_pass, {RAN} AS value_match_column_pass, {RATE.format(RIGHT, "count(*)")} AS correct_sql_ratio,
+  {RATE.format(RAN, "count(*)")} AS executable_sql_ratio, CAST(0 AS DOUBLE) AS geometry_st_astext_pass_ratio, CAST(0 AS DOUBLE) AS geometry_st_equals_z_pass_ratio, {RATE.format(RAN, "count(*)")} AS text_value_match_pass_ratio
+  FROM {UNIQUE} GROUP BY model""",
+    "with_passn": PASSES.replace("$runs", UNIQUE),
+    "resource": f"""SELECT model, count(*) AS sample_count, CAST(sum(tokens_used) AS BIGINT) AS total_tokens_used, round(CAST(sum(tokens_used) AS DOUBLE) / count(*), 3) AS average_tokens_per_sample,
+  round(sum(duration), 3) AS total_duration_sec FROM {UNIQUE} GROUP BY model""",
+}
+SHOWN = {
+    "execution": ["total_sql", "executable_sql_count", "correct_sql_count", "total_columns", "geometry_columns", "text_columns", "st_astext_column_pass",
+                  "st_equals_z_column_pass", "value_match_column_pass", "correct_sql_ratio", "executable_sql_ratio", "geometry_st_astext_pass_ratio",
+                  "geometry_st_equals_z_pass_ratio", "text_value_match_pass_ratio"],
+    "with_passn": ["num_samples", "pass_1_count", "pass_3_count", "pass_5_count", "pass@1", "pass@3", "pass@5"],
+    "resource": ["sample_count", "total_tokens_used", "average_tokens_per_sample", "total_duration_sec"],
+}
+REPORT_COLUMNS = [(part, c) for part, names in SHOWN.items() for c in names]
+
+
 @query(
     "model_report",
     "O46 O60 O102 O104 O105",
-    """SELECT model, count(*) AS "execution.total_sql", count(*) FILTER (WHERE result_correct = 'correct') AS "execution.correct_sql_count",
-  count(DISTINCT id) AS "with_passn.num_samples", CAST(sum(tokens_used) AS BIGINT) AS "resource.total_tokens_used" FROM (
-  SELECT *, row_number() OVER (PARTITION BY model, unique_key ORDER BY ord) AS rn FROM $runs WHERE coalesce(unique_key, '') <> '') WHERE rn = 1 GROUP BY model""",
+    "SELECT execution.model AS model, " + ", ".join(f'{p}."{c}" AS "{p}.{c}"' for p, c in REPORT_COLUMNS)
+    + f" FROM ({REPORT['execution']}) execution JOIN ({REPORT['with_passn']}) with_passn ON execution.model = with_passn.model"
+    + f" JOIN ({REPORT['resource']}) resource ON execution.model = resource.model",
 )
 def model_report(spark, sf):
     from ..operators.order import dedup_first
@@ -162,18 +185,7 @@ def model_report(spark, sf):
             ),
         }
     )
-    return P.model_report(runs).select(
-        "model",
-        *[
-            F.col(f"`{c}`")
-            for c in (
-                "execution.total_sql",
-                "execution.correct_sql_count",
-                "with_passn.num_samples",
-                "resource.total_tokens_used",
-            )
-        ],
-    )
+    return P.model_report(runs).select("model", *[F.col(f"`{p}.{c}`") for p, c in REPORT_COLUMNS])
 
 
 def sql_stub(prompt: str) -> tuple[str, int]:

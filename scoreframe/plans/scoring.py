@@ -188,7 +188,16 @@ def model_report(
     hits: DataFrame | None = None,
     extra: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """One wide row per model from scored predictions."""
+    """One wide row per model from scored predictions.
+
+    The predictions are stored first, with the columns that count, so that what leads to them
+    (dropping duplicates, comparing results) is worked out once for all parts.
+    """
+    names = {
+        "model", "id", "round", "ord", "executable", "result_correct", "column_type", "result_comparison",
+        "tokens_used", "duration", "start_time", "timestamp",
+    }
+    results = materialize(results.select(*[c for c in results.columns if c in names]), "results")
     parts = {
         "execution": M.execution_summary(results),
         "with_passn": M.stability(M.pass_at_k(results)),
