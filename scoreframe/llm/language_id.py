@@ -120,14 +120,17 @@ def _frequencies(rows: DataFrame, dims: int) -> tuple[int, np.ndarray]:
 
 
 def _sample(rows: DataFrame, dims: int, most: int) -> list:
-    """Counted n-grams of at most ``most`` rows, as even over the labels as they allow."""
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most).collect()}
+    """Counted n-grams of at most ``most`` different texts, as even over the labels as they allow."""
+    # Copies count once: a text that very many rows repeat must not crowd out its language.
+    distinct = F.approx_count_distinct(F.xxhash64("text")).alias("n")
+    common = rows.where("text IS NOT NULL").groupBy("label").agg(distinct).orderBy(F.desc("n"), "label").limit(most)
+    sizes = {r["label"]: r["n"] for r in common.collect()}
     if not sizes:
         return []
     each = max(most // len(sizes), 1)
     # Twice the share is counted, so that texts without letters leave enough; hashes decide, not places.
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 2 * each / n))])
-    rank = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
+    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") < share[F.col("label")] * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,21 +144,23 @@ def _sample(rows: DataFrame, dims: int, most: int) -> list:
 
     counted = chosen.select("label", "rank", "text").mapInArrow(run, "label string, rank long, idx binary, count binary")
     counted = counted.where("octet_length(idx) > 0").withColumn("tie", F.xxhash64("idx", "count"))
+    parts = [F.first(c).alias(c) for c in ("idx", "count")]
+    counted = counted.groupBy("label", "rank", "tie").agg(*parts)
     place = F.expr("row_number() OVER (PARTITION BY label ORDER BY rank, tie)")
     counted = counted.withColumn("place", place).where(F.col("place") <= each)
     return counted.orderBy("place", "label", "rank", "tie").limit(most).collect()
 
 
 def train(
-    docs: DataFrame, learn: Column, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id",
+    docs: DataFrame, learn: Column, text_col: str = "text", label_col: str = "lang",
     dims: int = DIMS, sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Fit on the rows where ``learn`` holds and the label isn't null; ids only pick the sample.
+    """Fit on the rows where ``learn`` holds and the label isn't null; hashes of the texts pick the sample.
 
     Without such rows the model knows no class and predicts ``und``.
     """
     rows = docs.where(learn & docs[label_col].isNotNull()).select(
-        docs[id_col].cast("string").alias("key"), docs[text_col].cast("string").alias("text"), docs[label_col].cast("string").alias("label")
+        docs[text_col].cast("string").alias("text"), docs[label_col].cast("string").alias("label")
     )
     sample = _sample(rows, dims, sample_rows)
     if not sample:

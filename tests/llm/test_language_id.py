@@ -51,8 +51,9 @@ def test_awkward(spark):
 def test_sample_is_bounded_with_a_hot_row(spark):
     rows = [(1, "kato mira", "aa")] * 200 + table(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = language_id._sample(docs.selectExpr("string(doc_id) AS key", "text", "lang AS label"), 256, 30)
+    got = language_id._sample(docs.selectExpr("text", "lang AS label"), 256, 30)
     assert 0 < len(got) <= 30 and {r["label"] for r in got} == set(VOCAB)
+    assert len({(r["idx"], r["count"]) for r in got}) == len(got)
 
 
 def test_ngrams_by_hand():
