@@ -85,7 +85,8 @@ def luhn(digits: Column) -> Column:
         d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
         return s + F.when(d > 9, d - 9).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+    total = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+    return F.when(F.length(digits) > 0, total % 10 == 0).otherwise(False)
 
 
 def _small_parts(value: Column) -> Column:
