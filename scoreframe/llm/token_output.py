@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from scoreframe.llm.common import shared_dir, stored
 from scoreframe.llm.files import reading, writing
@@ -157,35 +156,53 @@ def write_matrices(
     return stored(rows.mapInArrow(run, schema), "segments")
 
 
+class _File:
+    """A file's arrays, read once for all of its segments."""
+
+    def __init__(self, path: str):
+        self.path = path
+        with reading(path) as stream:
+            arrays = (np.lib.format.read_array(stream, allow_pickle=False) for _ in range(4))
+            self.ids, self.bounds, self.cumulative, bits = arrays
+        self.resets = np.unpackbits(bits, axis=1, count=self.ids.shape[1])
+
+    def segment(self, row: int, start: int, end: int) -> tuple[int, int]:
+        """Check sum of a segment's ids and the number of positions marked as starts in it."""
+        cuts = self.cumulative[self.bounds[row] : self.bounds[row + 1]]
+        k = int(np.searchsorted(cuts, start))
+        if cuts[k] != start or cuts[k + 1] != end:
+            raise ValueError(f"{self.path}: row {row} has no segment from {start} to {end}")
+        return zlib.crc32(self.ids[row, start:end].astype("<u4").tobytes()), int(self.resets[row, start:end].sum())
+
+
 def read_matrices(segments: DataFrame) -> DataFrame:
-    """A row per segment of the files named in ``segments``: ``file, row, offset, length, ids_crc32, resets``.
+    """Read the segments back from their files: ``segments`` with ``ids_crc32`` and ``resets``.
 
-    ``resets`` counts the positions within the segment that are marked as starts; it is 1 in a sound file.
+    ``resets`` counts the positions of the segment that are marked as starts; it is 1 in a sound file. A
+    segment the file doesn't have raises. Each file is read by the task that gets its segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file in (f.as_py() for b in batches for f in b.column("file")):
-            with reading(file) as stream:
-                ids, bounds, cumulative, bits = (np.lib.format.read_array(stream, allow_pickle=False) for _ in range(4))
-            resets = np.unpackbits(bits, axis=1, count=ids.shape[1])
-            out = {k: [] for k in ("file", "row", "offset", "length", "ids_crc32", "resets")}
-            for r in range(len(ids)):
-                cuts = cumulative[bounds[r] : bounds[r + 1]].tolist()
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    crc = zlib.crc32(ids[r, a:b].astype("<u4").tobytes())
-                    values = (file, r, a, b - a, crc, int(resets[r, a:b].sum()))
-                    for column, v in zip(out.values(), values, strict=True):
-                        column.append(v)
-            types = {"file": pa.string(), "row": pa.int32(), "resets": pa.int32()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
-
-    files = segments.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file").repartition("file")
-    return files.mapInArrow(run, "file string, row int, offset long, length long, ids_crc32 long, resets int")
+        file = None
+        for batch in batches:
+            crc, resets = [], []
+            places = zip(*(batch.column(c).to_pylist() for c in ("file", "row", "offset", "length")), strict=True)
+            for path, row, offset, length in places:
+                if file is None or file.path != path:
+                    file = _File(path)
+                c, n = file.segment(row, offset, offset + length)
+                crc.append(c)
+                resets.append(n)
+            columns = {n: batch.column(n) for n in names}
+            yield pa.RecordBatch.from_pydict(columns | {"ids_crc32": pa.array(crc, pa.int64()), "resets": pa.array(resets, pa.int32())})
+
+    names = segments.columns
+    dealt = segments.repartition("file").sortWithinPartitions("file")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema)
+    return dealt.mapInArrow(run, f"{kinds}, ids_crc32 long, resets int")
 
 
 def written(docs: DataFrame, **options) -> DataFrame:
-    """Write, read back and join: a row per piece with its place and the check sum of the ids found there."""
-    segments = write_matrices(docs, **options)
-    found = read_matrices(segments)
-    joined = segments.join(found, ["file", "row", "offset", "length"])
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "resets")
+    """Write and read back: a row per piece with its place and the check sum of the ids found there."""
+    found = read_matrices(write_matrices(docs, **options))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "resets")
