@@ -80,19 +80,16 @@ def row_count_gate(spark, sf):
 @query(
     "text_equal",
     "O72",
-    """SELECT p.query_id, p.row_idx, coalesce(lower(trim(p.value)) = lower(trim(g.value)), p.value IS NULL AND g.value IS NULL) AS same
-FROM $cells p JOIN $cells g ON p.query_id = g.query_id AND p.row_idx = g.row_idx AND p.side = 'pred' AND g.side = 'gold' AND p.col_idx = 1 AND g.col_idx = 0""",
+    """SELECT p.query_id, p.row_idx, p.col_idx AS pred_col, g.col_idx AS gold_col, coalesce(lower(trim(p.value)) = lower(trim(g.value)), p.value IS NULL AND g.value IS NULL) AS same
+FROM $cells p JOIN $cells g ON p.query_id = g.query_id AND p.row_idx = g.row_idx AND p.side = 'pred' AND g.side = 'gold'""",
 )
 def text_equal(spark, sf):
     cells = _cells(spark, sf)
-    pick = lambda s, c, n: cells.where((F.col("side") == s) & (F.col("col_idx") == c)).select(
-        "query_id", "row_idx", F.col("value").alias(n)
-    )
-    return (
-        pick("pred", 1, "p")
-        .join(pick("gold", 0, "g"), ["query_id", "row_idx"])
-        .select("query_id", "row_idx", same_text("p", "g").alias("same"))
+    pick = lambda s, c, n: cells.where(F.col("side") == s).select(
+        "query_id", "row_idx", F.col("col_idx").alias(c), F.col("value").alias(n)
     )
+    pairs = pick("pred", "pred_col", "p").join(pick("gold", "gold_col", "g"), ["query_id", "row_idx"])
+    return pairs.select("query_id", "row_idx", "pred_col", "gold_col", same_text("p", "g").alias("same"))
 
 
 # Cell by cell in place. Points have whole coordinates, one of them moved below the grid.
@@ -251,17 +248,34 @@ def multiset_compare(spark, sf):
     return C.multiset_compare(spark_sql(spark, sf, UNORDERED))
 
 
+_CELL = """string_agg('{"c":"' || col_name || '","v":"' || coalesce(%s, '\\u0000') || '"}', ',' ORDER BY col_name)"""
+
+
 @query(
     "normalize_table",
     "O80",
-    """SELECT query_id, side, count(*) AS row_kinds, CAST(sum(1) AS BIGINT) AS n FROM (
-  SELECT DISTINCT query_id, side, row_idx FROM $cells) GROUP BY query_id, side""",
+    f"""SELECT query_id, side, '[' || row || ']' AS row, count(*) AS times FROM (SELECT DISTINCT query_id, side, raw, row FROM (
+  SELECT query_id, side, row_idx, {_CELL % "value"} AS raw, {_CELL % "lower(trim(value))"} AS row FROM $cells GROUP BY 1, 2, 3)) GROUP BY 1, 2, 3""",
 )
 def normalize_table(spark, sf):
-    rows = C.normalize_table(_cells(spark, sf))
-    return rows.groupBy("query_id", "side").agg(
-        F.count("*").alias("row_kinds"), F.sum("times").alias("n")
+    return C.normalize_table(_cells(spark, sf))
+
+
+@query(
+    "ordered_rows",
+    "O79 O80",
+    """SELECT query_id, side, row_idx, CAST(CASE WHEN q % 2 = 0 THEN row_number() OVER (PARTITION BY query_id, side ORDER BY nation DESC, name, row_idx)
+  ELSE row_number() OVER (PARTITION BY query_id, side ORDER BY name DESC, row_idx) END AS INTEGER) AS place FROM (
+  SELECT query_id, side, row_idx, CAST(substr(query_id, 2) AS BIGINT) AS q, max(value) FILTER (WHERE col_name = 'nation') AS nation, max(value) FILTER (WHERE col_name = 'name') AS name
+  FROM $cells GROUP BY 1, 2, 3)""",
+)
+def ordered_rows(spark, sf):
+    cells = _cells(spark, sf)
+    text = F.when(F.substring("query_id", 2, 9).cast("bigint") % 2 == 0, "SELECT 1 ORDER BY nation DESC, name").otherwise(
+        "SELECT 1 ORDER BY none, name DESC LIMIT 3"
     )
+    specs = cells.select("query_id", "side").distinct().withColumn("sql", text).withColumn("spec", spec("sql"))
+    return C.ordered_rows(cells, specs)
 
 
 @query(

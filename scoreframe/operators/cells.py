@@ -169,7 +169,7 @@ def normalize_table(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     Exact repeats of a row count once, as rows of a result set.
     """
-    row = F.transform(F.col("_cells"), lambda c: F.struct(c["col_name"], _shown(c["value"])))
+    row = F.transform("_cells", lambda c: F.struct(c["col_name"].alias("c"), _shown(c["value"]).alias("v")))
     rows = (
         cells.groupBy(*keys, "side", "row_idx")
         .agg(F.array_sort(F.collect_list(F.struct("col_name", "value"))).alias("_cells"))
@@ -183,6 +183,25 @@ def normalize_table(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def ordered_rows(cells: DataFrame, specs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, side, row_idx, place): the rows of a result in the order its text asks for.
+
+    ``specs`` has (keys, side, spec), the array of ``order_spec``. Names that are no columns of the
+    result are skipped; rows that agree on all others keep their order. Results whose spec names none
+    of their columns are left out: ``normalize_table`` is their normal form. Each column is ranked on
+    its own, so that one may rise and another fall.
+    """
+    asked = specs.select(*keys, "side", F.posexplode("spec").alias("_at", "_by"))
+    asked = asked.select(*keys, "side", "_at", F.col("_by.column").alias("col_name"), F.col("_by.ascending").alias("_up"))
+    found = cells.select(*keys, "side", "row_idx", "col_name", "value").join(asked, [*keys, "side", "col_name"])
+    rank = F.dense_rank().over(Window.partitionBy(*keys, "side", "_at").orderBy("value"))
+    signed = F.when(F.col("_up"), rank).otherwise(-rank)
+    rows = found.withColumn("_rank", signed).groupBy(*keys, "side", "row_idx")
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("_at", "_rank"))).alias("_order"))
+    place = F.row_number().over(Window.partitionBy(*keys, "side").orderBy("_order", "row_idx"))
+    return rows.select(*keys, "side", "row_idx", place.alias("place"))
+
+
 def multiset_compare(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, same_rows): whether both results hold the same rows in any order."""
     normal = normalize_table(cells, keys)
