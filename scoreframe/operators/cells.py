@@ -431,15 +431,17 @@ def _text_matches(prints: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def geometry_edges(cells: DataFrame, prints: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Equal pairs of geometry columns with their pass counts.
+    """Equal pairs of classes of geometry columns with their pass counts.
 
-    Only pairs with equal snapped shapes can be equal (equal texts have equal shapes). The
-    cells are read again for those pairs alone, to count text and Z passes: Z has a
-    tolerance, which no fingerprint can express.
+    Columns of one side with the same texts are a class, ``pred_cols`` or ``gold_cols``; its first
+    column stands for it, so many copies of a column cost one comparison. Only pairs with equal
+    snapped shapes can be equal (equal texts have equal shapes). The cells are read again for those
+    pairs alone, to count text and Z passes: Z has a tolerance, which no fingerprint can express.
     """
-    geom = prints.where("is_geom")
+    geom = prints.where("is_geom").groupBy(*keys, "side", "shape_print", "text_print")
+    geom = geom.agg(F.array_sort(F.collect_list("col_idx")).alias("_cols"))
     side = lambda s, name: geom.where(_side(s)).select(
-        *keys, "shape_print", F.col("col_idx").alias(f"{name}_col")
+        *keys, "shape_print", F.col("_cols")[0].alias(f"{name}_col"), F.col("_cols").alias(f"{name}_cols")
     )
     pairs = side(PRED, "pred").join(side(GOLD, "gold"), [*keys, "shape_print"]).drop("shape_print")
     part = lambda s, name: cells.where(_side(s)).select(
@@ -451,6 +453,8 @@ def geometry_edges(cells: DataFrame, prints: DataFrame, keys: Sequence[str] = KE
         .withColumn("is_geom", F.lit(True))
     )
     stats = compare_pairs(rows).groupBy(*keys, "pred_col", "gold_col").agg(
+        F.first("pred_cols").alias("pred_cols"),
+        F.first("gold_cols").alias("gold_cols"),
         F.count("*").alias("total_rows"),
         F.count_if("as_text").alias("ST_AsText_pass"),
         F.count_if("equals").alias("ST_Equals_pass"),
@@ -497,12 +501,19 @@ def match_columns(
     if prints is None:
         prints = materialize(column_prints(cells, keys), "prints")
     edges = geometry_edges(cells, prints, keys)
-    fields = [f for f in edges.schema.fields]
+    fields = [f for f in edges.schema.fields if f.name not in ("pred_cols", "gold_cols")]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        options = pdf.groupby("pred_col")["gold_col"].apply(lambda s: sorted(s)).to_dict()
-        chosen = _pair_off(options)
-        return pdf[[chosen.get(p) == g for p, g in zip(pdf["pred_col"], pdf["gold_col"])]]
+        classes = pdf.to_dict("records")
+        options: dict[int, list[int]] = {}
+        edge: dict[tuple[int, int], dict] = {}
+        for c in classes:
+            for p in c["pred_cols"]:
+                options.setdefault(p, []).extend(c["gold_cols"])
+                edge.update({(p, g): c for g in c["gold_cols"]})
+        chosen = _pair_off({p: sorted(g) for p, g in options.items()})
+        rows = [{**edge[p, g], "pred_col": p, "gold_col": g} for p, g in sorted(chosen.items())]
+        return pd.DataFrame(rows, columns=[f.name for f in fields])
 
     geometry = (
         edges.groupBy(*keys)

@@ -250,3 +250,14 @@ def test_only_whole_geometries_decode(spark):
     assert [r.t for r in wrong] == []
     pair = [("POLYGON((0 0,1 0,1 1,0 1))", "POLYGON((0 0,1 0,1 1,5 5))"), ("GEOMETRYCOLLECTION(foo)", "GEOMETRYCOLLECTION(bar)")]
     assert {r[0] for r in equal(spark, pair)} == {False}
+
+
+def test_many_equal_geometry_columns_cost_one_pair(spark):
+    n = 30
+    rows = [["POINT(1 2)"] * n + ["x"], ["POINT(3 4)"] * n + ["y"]]
+    df = cells(spark, {"q": (rows, rows), "fewer": (rows, [[*r[:n - 1], "POINT Z (1 2 9)"] for r in rows])})
+    prints = C.column_prints(df)
+    assert C.geometry_edges(df, prints).where("query_id = 'q'").count() == 1
+    got = C.match_columns(df, prints=prints).where("query_id = 'q'").collect()
+    assert sorted(r.pred_col for r in got) == sorted(r.gold_col for r in got) == list(range(n + 1))
+    assert verdicts(score_matched(df)) == {"q": "correct", "fewer": "incorrect"}
