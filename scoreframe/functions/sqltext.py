@@ -214,13 +214,8 @@ _SHALLOW = r"\((?:[^()]++|\([^()]*+\))*+\)"
 _TABLE_TEXT = rf"#[ \t]*({_NAME})\s*\(((?:[^()]++|{_SHALLOW})*+)\)"
 
 
-def schema_tables(name: str) -> Column:
-    """array<struct<table, columns>> of ``# name (col type, ...)`` text.
-
-    A group inside another closed table is part of that table. The first definition of a
-    name wins. Texts nested no deeper than column types are, which is nearly all, are read
-    by one regular expression; the others by their pieces, at any depth.
-    """
+def _schema_readers(name: str) -> tuple[str, str, str]:
+    """When the one-expression reader may be used, that reader and the one by pieces, as SQL."""
     column = rf"regexp_extract(btrim(i, '{WHITESPACE}'), r'\A[\"`]?({_NAME})', 1)"
     firsts = lambda tables: let(
         tables,
@@ -247,9 +242,19 @@ def schema_tables(name: str) -> Column:
         ),
     )
     rest = rf"regexp_replace(regexp_replace({name}, r'{_SHALLOW}', ''), r'\([^()]*\)', '')"
-    return F.expr(
-        f"CASE WHEN contains({rest}, '(') OR contains({rest}, ')') THEN {firsts(deep)} ELSE {firsts(shallow)} END"
-    )
+    return f"NOT (contains({rest}, '(') OR contains({rest}, ')'))", firsts(shallow), firsts(deep)
+
+
+def schema_tables(name: str) -> Column:
+    """array<struct<table, columns>> of ``# name (col type, ...)`` text.
+
+    A group inside another closed table is part of that table. The first definition of a
+    name wins. Texts whose parentheses all close and nest no deeper than column types, which is nearly
+    all, are read by one regular expression; the others by their pieces, at any depth. Both give
+    the same tables wherever the first applies.
+    """
+    plain, shallow, deep = _schema_readers(name)
+    return F.expr(f"CASE WHEN {plain} THEN {shallow} ELSE {deep} END")
 
 
 def from_tables(name: str) -> Column:

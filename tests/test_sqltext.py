@@ -243,3 +243,23 @@ def test_cost_of_parentheses_is_near_linear(spark):
     took(20)
     small, large = took(400), took(4000)
     assert large < 25 * small + 1
+
+
+def test_both_schema_readers_agree(spark):
+    import random
+
+    from scoreframe.functions import sqltext as S
+
+    r = random.Random(4)
+    bits = ["# ", "#", "roads", "towns ", " id int", ", ", "name text", "(", ")", " (", ") ", "numeric(10,2)", "geom geometry(Point, 4326)", '"q" int', "\n", "x"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 24))) for _ in range(3000)]
+    texts += [f"# a{k} (id int, g geometry(Point, {k}), n numeric(1,(2))) # b (x int)" for k in range(20)]
+    column = lambda: r.choice(["id int", '"q" int', " n numeric(10,2)", "g geometry(Point, 4326)", "m numeric(1,(2))", "", "# x (y int)"])
+    for _ in range(500):
+        tables = [f"{r.choice(['# ', '#', '', 'x # '])}{r.choice(['a', 'b', 'c_1'])}{r.choice(['', ' '])}({', '.join(column() for _ in range(r.randint(0, 4)))})" for _ in range(3)]
+        texts.append(r.choice([" ", "\n", " (z) "]).join(tables))
+    plain, shallow, deep = S._schema_readers("t")
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").where(F.expr(plain))
+    both = df.select("t", F.expr(shallow).alias("a"), F.expr(deep).alias("b")).cache()
+    wrong = both.where("a != b").take(5)
+    assert not wrong and both.where("size(a) > 0").count() > 100
