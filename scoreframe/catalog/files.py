@@ -59,7 +59,7 @@ def read_with_rejects(spark, sf):
     good, bad = IO.read_with_rejects(spark, _write_text(_lines(spark, sf), "rejects"), SCHEMA)
     names = ["model", "id", "round", "unique_key", "tokens_used"]
     # A rejected line is kept as it was; what it still shows of its fields is read with patterns.
-    text = lambda c: F.regexp_extract("line", f'"{c}":"?([^",]*)', 1).alias(c)
+    text = lambda c: F.nullif(F.regexp_extract("line", f'"{c}":"?([^",]*)', 1), F.lit("null")).alias(c)
     number = lambda c, t: F.regexp_extract("line", f'"{c}":([0-9]+)', 1).cast(t).alias(c)
     shown = [text("model"), text("id"), number("round", "int"), text("unique_key"), number("tokens_used", "bigint")]
     return good.select(F.lit("good").alias("kind"), *names).unionAll(bad.select(F.lit("bad"), *shown))
