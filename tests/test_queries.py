@@ -1,12 +1,13 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every query of the catalog against its SQL on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
+from scoreframe.catalog import load_all
 from tests.oracle import DATA, connect, differences, duck_rows, spark_rows
 
 SF = f"{DATA}/sf0.001"
-QUERIES = entry.queries()
+QUERIES = {name: entry.queries()[name] for name in load_all()}
 ORACLES = entry.oracle_sql()
 
 
