@@ -144,7 +144,8 @@ def norm_ident(spark, sf):
 @query(
     "sanitize_sql",
     "O43",
-    """SELECT id, regexp_replace(regexp_replace(regexp_replace(pred_sql, '/\\*.*?\\*/', ' ', 'gs'), '--[^\\n\\r]*', ' ', 'g'), '(?:''[^'']*'')+', ' ', 'g') AS clean
+    # One alternation: whichever token starts first hides the others.
+    r"""SELECT id, regexp_replace(pred_sql, '/\*.*?\*/|--[^\n\r]*|''(?:[^'']|'''')*''|[$][$].*?[$][$]', ' ', 'gs') AS clean
 FROM $sqltext""",
 )
 def sanitize_sql(spark, sf):

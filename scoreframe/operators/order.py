@@ -27,6 +27,8 @@ def with_stretch(df: DataFrame, ord_col: str, parts: int | None = None) -> DataF
         return df.withColumn("_stretch", F.struct(F.col(ord_col)["file"], F.col(ord_col)["block"]))
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.approxQuantile(ord_col, [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    if not cuts:
+        return df.withColumn("_stretch", F.lit(0.0))
     bounds = [-math.inf, *sorted(set(cuts)), math.inf]
     number = df.withColumn("_number", F.col(ord_col).cast("double"))
     cut = Bucketizer(splits=bounds, inputCol="_number", outputCol="_stretch", handleInvalid="keep")

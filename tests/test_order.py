@@ -50,8 +50,8 @@ def test_last_per_key(spark):
 def test_running_index_and_sortedness_across_stretches(spark):
     data = rows()
     df = spark.createDataFrame(data, DDL).repartition(6)
-    for width in (1, 13, 10_000):
-        got = R.running_index(df, ["model"], ["ord"], "i", width).collect()
+    for parts in (1, 7, 200):
+        got = R.running_index(df, ["model"], ["ord"], "i", parts).collect()
         by_model = {}
         for r in sorted(got, key=lambda r: r["ord"]):
             by_model.setdefault(r["model"], []).append(r["i"])
@@ -59,7 +59,7 @@ def test_running_index_and_sortedness_across_stretches(spark):
         want = {}
         for r in data:
             want.setdefault((r[0], r[1]), []).append(r[2])
-        flags = R.is_sorted_within(df, ["model", "id"], width=width).collect()
+        flags = R.is_sorted_within(df, ["model", "id"], parts=parts).collect()
         assert {(r[0], r[1]): r[2] for r in flags} == {k: v == sorted(v) for k, v in want.items()}
 
 
@@ -73,7 +73,7 @@ def test_pass_at_k_by_item_and_by_position(spark):
         mine = [v for (m, _), v in items.items() if m == r["model"]]
         assert r["num_samples"] == len(mine)
         assert [r[f"pass_{k}_count"] for k in (1, 3, 5)] == [sum(any(v[:k]) for v in mine) for k in (1, 3, 5)]
-    for r in M.pass_at_k(df, order=("ord",), positional=True, width=97).collect():
+    for r in M.pass_at_k(df, order=("ord",), positional=True, parts=9).collect():
         mine = [x[4] == "correct" for x in data if x[0] == r["model"]]
         groups = [mine[i * 5 : i * 5 + 5] for i in range(len(mine) // 5)]
         assert r["num_samples"] == len(groups)
