@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from scoreframe.llm.common import LOWER, UPPER, stored
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: Blocked pages a rule needs besides its share, so that chance makes no rule of a few pages.
+MIN_PAGES = 20
 #: Path segments and query keys that become tokens.
 DEPTH, KEYS = 3, 4
 BLOCKED = "!block"
@@ -63,13 +65,17 @@ def tokens(url: Column) -> Column:
 
 def mine_rules(
     labelled: DataFrame, url_col: str = "url", block_col: str = "block",
-    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """``items, key, confidence, support`` of each rule; rows without host or label teach nothing."""
+    """``items, key, confidence, support`` of each rule; rows without host or label teach nothing.
+
+    A set with the block label has to be on ``min_pages`` pages and on the share ``min_support`` of all.
+    """
     rows = labelled.select(tokens(labelled[url_col]).alias("t"), labelled[block_col].cast("boolean").alias("b"))
     rows = rows.where("size(t) > 0 AND b IS NOT NULL")
     rows = stored(rows.select(F.when(F.col("b"), F.array_append("t", F.lit(BLOCKED))).otherwise(F.col("t")).alias("items")), "urls")
-    sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(rows).freqItemsets
+    share = min(max(min_support, min_pages / max(rows.count(), 1)), 1.0)
+    sets = FPGrowth(itemsCol="items", minSupport=share).fit(rows).freqItemsets
     sets = stored(sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "sets")
     blocked = sets.where(F.array_contains("items", BLOCKED) & (F.size("items") > 1))
     blocked = blocked.select(F.array_remove("items", BLOCKED).alias("items"), F.col("n").alias("blocked"))

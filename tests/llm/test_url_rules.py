@@ -49,13 +49,14 @@ def test_mined_rules_against_counts(spark):
         rows.append((k, f"http://{sub}.site{k % 5}.org/{word}/{k}?{key}=1", bad))
     rows += [(900, None, True), (901, "http://x.org/", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, block boolean")
-    mined = url_rules.mine_rules(pages, min_support=0.02, min_confidence=0.8).collect()
+    mined = url_rules.mine_rules(pages, min_support=0.02, min_confidence=0.8, min_pages=1).collect()
     sets = [(set(t), b) for t, b in pages.select(url_rules.tokens(pages.url).alias("t"), "block").where("size(t) > 0 AND block IS NOT NULL").collect()]
     assert {"path:win", "key:ref"} in [set(m["items"]) for m in mined]
     for m in mined:
         fits = [b for t, b in sets if t >= set(m["items"])]
         assert m.support == len(fits) and abs(m.confidence - sum(fits) / len(fits)) < 1e-9
         assert m.confidence >= 0.8 and sum(fits) >= 0.02 * len(sets) and m.key in m["items"]
+    assert url_rules.mine_rules(pages.limit(40)).count() == 0
     rules = spark.createDataFrame(mined, "items array<string>, confidence double, support long, key string")
     got = {x.page_id: x.verdict for x in url_rules.judge(pages, rules, rules=[]).collect()}
     for k, url, _ in rows[:400]:
