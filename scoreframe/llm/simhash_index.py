@@ -188,7 +188,12 @@ def near_duplicates(
     rows of one component; an empty table gives an empty result; other columns are not read.
     """
     rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    roots = components(stored(links(rows, max_bits), "links"))
+    return joined(rows, stored(links(rows, max_bits), "links"))
+
+
+def joined(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id, fp, digest`` rows with ``component_id`` and ``root`` by the links ``a, b`` between values of ``fp``."""
+    roots = components(edges)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left")
     rooted = rooted.select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -202,7 +207,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of several texts with that id, the one with the least digest stays.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, **options), "near")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names their component in ``found``."""
+    found = stored(found, "near")
     own = found.where("doc_id <=> component_id")
     first = own.groupBy("root").agg(F.min("digest").alias("first"))
     decided = found.alias("f").join(first.alias("g"), F.expr("f.root = g.root"), "left")
