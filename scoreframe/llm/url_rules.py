@@ -5,8 +5,9 @@ and sets whose share of blocked pages (confidence) and number of pages (support)
 become rules. An inverted index keeps each rule under its rarest token; a page's tokens find the
 rules, which are then checked whole.
 
-At scale: supports come from all labelled pages. A URL has at most ``3 + DEPTH + KEYS`` tokens, which
-bounds the frequent sets. Rules are matched against distinct token sets, in which numbers are folded,
+At scale: supports come from all labelled pages. Every host label, path segment and query key is a
+token; the mining is bounded by support alone: FP-growth first drops the tokens below it, which
+changes no frequent set. Rules are matched against distinct token sets, in which numbers are folded,
 so the pages of one large site count once; only sets that a rule fits are joined back to the pages.
 """
 
@@ -21,8 +22,6 @@ from scoreframe.llm.common import LOWER, UPPER, stored
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 #: Blocked pages a rule needs besides its share, so that chance makes no rule of a few pages.
 MIN_PAGES = 20
-#: Path segments and query keys that become tokens.
-DEPTH, KEYS = 3, 4
 BLOCKED = "!block"
 
 #: Host, path, verdict.
@@ -45,18 +44,22 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def tokens(url: Column) -> Column:
-    """Sorted, distinct tokens of a URL: ending, domain, first host label, path segments, query keys."""
+    """Sorted, distinct tokens of a URL: ending, domain, first and all other host labels, path segments, query keys."""
     host, path = host_and_path(url)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
-    segments = F.slice(F.filter(F.split(F.lower(path), "/"), lambda s: s != ""), 1, DEPTH)
+    labels = F.split(host, r"\.")
+    # The first and the last label have tokens of their own.
+    labels = F.filter(F.slice(labels, 2, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: x != "")
+    segments = F.filter(F.split(F.lower(path), "/"), lambda s: s != "")
     keys = F.transform(F.split(query, "&"), lambda p: F.lower(F.substring_index(p, "=", 1)))
-    keys = F.slice(F.array_sort(F.array_distinct(F.filter(keys, lambda k: k != ""))), 1, KEYS)
+    keys = F.filter(keys, lambda k: k != "")
     parts = [
         F.array(
             F.concat(F.lit("end:"), F.substring_index(host, ".", -1)),
             F.concat(F.lit("domain:"), F.substring_index(host, ".", -2)),
             F.concat(F.lit("first:"), F.substring_index(host, ".", 1)),
         ),
+        F.transform(labels, lambda x: F.concat(F.lit("label:"), x)),
         F.transform(segments, lambda s: F.concat(F.lit("path:"), F.regexp_replace(s, "[0-9]+", "#"))),
         F.transform(keys, lambda k: F.concat(F.lit("key:"), k)),
     ]

@@ -72,3 +72,18 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([(1, "http://a.b/c", "x"), (2, "http://a.b/d", "x"), (3, "http://a.b/e", "x")], "page_id long, url string, html string")
     assert {(r.page_id, r.block) for r in url_rules.labelled_pages(pages, labels).collect()} == {(1, True), (2, False)}
+
+
+def test_every_part_of_a_url_can_tell(spark):
+    """Inner host labels, deep segments and late keys make rules, which pages are judged by."""
+    urls = {
+        "label": ("http://m.casino-win.example.com/a/{}", "http://m.calm.example.com/a/{}"),
+        "path": ("http://a.org/1/2/3/4/bets/{}", "http://a.org/1/2/3/4/news/{}"),
+        "key": ("http://a.org/?a=1&b=1&c=1&d=1&zwin={}", "http://a.org/?a=1&b=1&c=1&d=1&zzz={}"),
+    }
+    rows = [(u.format(k), bad == 0) for pair in urls.values() for bad, u in enumerate(pair) for k in range(30)]
+    pages = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(rows)], "page_id long, url string, block boolean")
+    mined = url_rules.mine_rules(pages, min_confidence=0.99).cache()
+    assert {"label:casino-win", "path:bets", "key:zwin"} <= {i for m in mined.collect() for i in m["items"] if len(m["items"]) == 1}
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, mined, rules=[]).collect()}
+    assert all((got[k] == "block") == bad for k, (_, bad) in enumerate(rows))
