@@ -9,7 +9,7 @@ it are confirmed, selects further spans; the fixed ones always stay.
 Everything on the main path is a column expression: candidates are found in the row of their
 document, the trees become nested conditions, and no text is shuffled or meets Python. Texts are read
 once; what is written for the later steps is the candidates alone. The trees are fitted on at most
-``SAMPLE`` candidates chosen by hash; patterns are anchored at the start of a run of their characters,
+``SAMPLE`` candidates, the thresholds on counts of all others; patterns are anchored at the start of a run of their characters,
 so a long run without a match takes time in proportion to its length.
 """
 
@@ -185,18 +185,23 @@ class Booster:
 
 
 def fit(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Booster:
-    """Trees on a bounded sample of the candidates, thresholds on a quarter of it that isn't fitted.
+    """Trees on a bounded sample of the candidates, thresholds on all candidates that aren't fitted.
 
-    A candidate is confirmed if it overlaps a valid fixed span of its kind. Kinds whose candidates are
+    A candidate is confirmed if it overlaps a valid fixed span of its kind. The sample takes different
+    values and contexts, evenly per kind, and leaves a quarter of them out. Kinds whose candidates are
     all of one sort, or too few to calibrate, get no threshold.
     """
-    rows = found.select("doc_id", "base", F.explode("wide").alias("s"))
-    rank = F.xxhash64("doc_id", "s.kind", "s.start", "s.value")
-    chosen = rows.withColumn("rank", rank).orderBy("rank").limit(sample)
+    rows = found.select("base", F.explode("wide").alias("s"))
     label = F.exists("base", lambda b: _overlap(b, F.col("s"))).cast("double")
-    chosen = stored(chosen.select("s", "rank", label.alias("label"), F.array(*features(F.col("s"))).alias("x")), "sample")
+    # What the features see: copies of a value in its context have one rank.
+    rank = F.xxhash64("s.kind", "s.value", "s.left", "s.right")
+    rows = rows.select("s", rank.alias("rank"), label.alias("label"))
+    apart = rows.where(F.pmod("rank", F.lit(4)) > 0).groupBy("s.kind", "rank")
+    apart = stored(apart.agg(F.min("s").alias("s"), F.max("label").alias("label")), "different")
+    parts = [apart.where(F.col("kind") == k).orderBy("rank").limit(sample // len(KINDS)) for k in KINDS]
+    chosen = reduce(DataFrame.unionByName, parts)
+    fitted = stored(chosen.select("rank", "label", F.array(*features(F.col("s"))).alias("x")), "sample")
     n = len(features(F.col("s")))
-    fitted = chosen.where(F.pmod("rank", F.lit(4)) > 0)
     if fitted.select("label").distinct().count() < 2:
         return Booster([], [], {})
     names = [f"f{k}" for k in range(n)]
@@ -204,7 +209,7 @@ def fit(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     flat = VectorAssembler(inputCols=names, outputCol="features").transform(flat)
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=STEP, seed=7, cacheNodeIds=False).fit(flat.select("label", "features"))
     booster = Booster([t._java_obj.rootNode() for t in model.trees], model.treeWeights, {})
-    aside = chosen.where(F.pmod("rank", F.lit(4)) == 0)
+    aside = rows.join(F.broadcast(fitted.select("rank")), "rank", "left_anti")
     step = F.floor(booster.score(F.col("s")) * 200).cast("int")
     table = aside.select("s.kind", step.alias("step"), "label").groupBy("kind", "step")
     table = table.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()

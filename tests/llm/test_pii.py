@@ -109,3 +109,16 @@ def test_plan_stays_native(spark):
     plan = pii.candidates(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert hashlib.sha256(b"").hexdigest() == docs.limit(1).select(F.sha2(pii.digest(F.array().cast("array<struct<kind:string,start:int,end:int>>")), 256)).first()[0]
+
+
+def test_thresholds_cover_all_candidates(spark):
+    """A rare kind keeps its threshold however small the sample, and copies of a text take one place in it."""
+    rows = table()[: len(TEXTS) + 400 + 300]
+    rows += [(10_000 + k, "card 4111 1111 1111 1111 or version 3.7.9.1200 of 2025") for k in range(2000)]
+    found = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    booster = pii.fit(found, sample=200, precision=0.9)
+    assert {"ip", "email"} <= set(booster.thresholds)
+    aside = found.select("base", F.explode("wide").alias("s")).where("s.kind = 'ip'")
+    good = F.exists("base", lambda b: pii._overlap(b, F.col("s"))).cast("int")
+    over = aside.where(booster.score(F.col("s")) >= booster.thresholds["ip"]).agg(F.count(good), F.avg(good)).first()
+    assert over[0] >= 20 and over[1] >= 0.85
