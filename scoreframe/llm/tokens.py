@@ -1,10 +1,4 @@
-"""Token ids of whole texts with a public tokenizer, through a cache of words.
-
-The byte-level tokenizers split a text at every single space that stands between two other
-characters, whatever stands around it. So the ids of a text are the ids of its words (each with its
-space) put end to end, and a word's ids, once known, are looked up. Words beside other white space
-stay joined to their neighbours and are encoded whole.
-"""
+"""Token ids of whole texts with a public byte-level tokenizer."""
 
 from __future__ import annotations
 
@@ -12,9 +6,6 @@ import json
 import re
 from array import array
 
-#: Words kept per worker; a full cache starts anew, which changes no result.
-CACHE_WORDS = 200_000
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -22,10 +13,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: A space beside other white space is no boundary between words.
-_ODD = re.compile(r" \s|[^\S ] ")
-
-
 def _byte_of() -> dict[str, int]:
     """The printable characters byte-level vocabularies write bytes with: themselves, or 256 and up in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -33,7 +20,11 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class WordTokenizer:
+#: White space as the pattern knows it, in runs too long for its engine's stack.
+_LONG_BLANK = re.compile("([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,})")
+
+
+class TextTokenizer:
     """Ids as little-endian unsigned 32-bit bytes.
 
     ``path`` is the JSON file of a byte-level BPE tokenizer whose ids follow the order of its merges.
@@ -50,51 +41,36 @@ class WordTokenizer:
         vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in special}
         ranks = {bytes(map(byte_of.__getitem__, k)): v for k, v in vocab.items()}
         self.bpe = tiktoken.Encoding(
-            "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
+            "texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
-        self.special, self.size = tuple(special), max(*ranks.values(), *special.values(), 0) + 1
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, chunk: str) -> bytes:
-        if any(s in chunk for s in self.special):
-            ids = self.bpe.encode(chunk, allowed_special="all")
-        else:
-            ids = self.bpe.encode_ordinary(chunk)
-        return array("I", ids).tobytes()
-
-    def _chunks(self, text: str) -> list[str]:
-        """Words without the space before them; those beside other white space stay joined."""
-        parts = text.split(" ")
-        if _ODD.search(text):
-            joined, run = [], [parts[0]]
-            for before, part in zip(parts, parts[1:], strict=False):
-                if not before or not part or before[-1].isspace() or part[0].isspace():
-                    run.append(part)
-                else:
-                    joined.append(" ".join(run))
-                    run = [part]
-            return [*joined, " ".join(run)]
-        return parts
+        self.size = max(*ranks.values(), *special.values(), 0) + 1
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        first, *rest = self._chunks(text)
         try:
-            return self._encode(first) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for c in rest:
-                if c not in known:
-                    known[c] = self._encode(" " + c)
-            return self._encode(first) + b"".join(map(known.__getitem__, rest))
+            return self._encode(text)
+        except ValueError:
+            return self._encode_blank_runs(text)
+
+    def _encode(self, text: str) -> bytes:
+        return self.bpe.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+
+    def _encode_blank_runs(self, text: str) -> bytes:
+        """The same ids by parts: a run of white space is one token group but for its last character,
+        which goes to what follows, or all of it at the end of the text."""
+        parts, out = _LONG_BLANK.split(text), []
+        for k in range(1, len(parts), 2):
+            run, last = parts[k], parts[k + 1] == "" and k + 2 == len(parts)
+            out.append(self._encode(parts[k - 1]))
+            out.append(array("I", self.bpe._encode_single_piece(run if last else run[:-1])).tobytes())
+            parts[k + 1] = parts[k + 1] if last else run[-1] + parts[k + 1]
+        return b"".join([*out, self._encode(parts[-1])])
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[str, TextTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str) -> TextTokenizer:
     """One per Python worker."""
     if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
+        _LOADED[path] = TextTokenizer(path)
     return _LOADED[path]

@@ -27,6 +27,16 @@ def test_ids_equal_the_library(reference):
     assert [np.frombuffer(tok.encode(t), "<u4").tolist() for t in texts] == want
 
 
+@pytest.mark.parametrize("size", [50_000, 1_000_000])
+def test_ids_of_long_words_and_runs(reference, size):
+    r = random.Random(2)
+    word = "".join(r.choice("abcdefgh") for _ in range(size))
+    texts = [word, "x" * size, "a" + " " * size + "b \n", "\n" * size, "a" + "\u3000" * size + "\x1cb <|endoftext|>" + "\t" * size]
+    tok = tokenizer(default_tokenizer())
+    for t in texts:
+        assert np.frombuffer(tok.encode(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids
+
+
 def ids(reference, text):
     return [*reference.encode(text or "", add_special_tokens=False).ids, 2]
 
