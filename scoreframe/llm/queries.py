@@ -17,6 +17,7 @@ from scoreframe.llm import (
     swap_packing,
     token_output,
     url_rules,
+    vector_codes,
     warc_revisit,
 )
 from scoreframe.llm.common import table
@@ -146,3 +147,47 @@ def op8_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(pii_boosting.of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in pii_boosting.KINDS]
     base, spans = pii_boosting.digest(F.col("base")), pii_boosting.digest(F.col("spans"))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query
+def op11_value_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    sums = vector_codes.label_errors(found)
+    rows = found.alias("f").join(sums.alias("s"), F.expr("f.label <=> s.label"))
+    return rows.select(
+        F.col("f.id").alias("vec_id"), vector_codes.hex_code(F.col("f.codes")).alias("code"), "f.error", "s.label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"),
+    )
+
+
+def _codes_sql() -> str:
+    """The same rounds, written out: parts, start, then assignment and means six times."""
+    assign = """a{k} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d FROM (
+    SELECT v.vec_id, v.p, v.x, b.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.c[i]) * (v.x[i] - b.c[i])))::BIGINT AS d
+    FROM v JOIN b{k} b USING (p)) GROUP BY vec_id, p)"""
+    mean = """m{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, e, i, (s - ((s % n) + n) % n) // n AS m FROM (
+      SELECT p, e, i, sum(y)::BIGINT AS s, count(*) AS n FROM (
+        SELECT p, e, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY p, e, i)) GROUP BY p, e),
+b{n} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (p, e))"""
+    rounds = ",\n".join(f"{assign.format(k=k)},\n{mean.format(k=k, n=k + 1)}" for k in range(6))
+    return f"""
+WITH w AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT vec_id, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM w, (SELECT unnest(range(8)) AS p)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM w ORDER BY vec_id LIMIT 16)),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM v JOIN s USING (vec_id)),
+{rounds},
+{assign.format(k=6)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM r JOIN w USING (vec_id), h
+"""
+
+
+SQL["op11_value_dictionary_codes"] = _codes_sql()
