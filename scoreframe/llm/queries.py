@@ -11,6 +11,7 @@ from scoreframe.llm import (
     block_naming,
     cotraining,
     decontaminate,
+    divergence,
     language_id,
     pii_boosting,
     simhash_index,
@@ -191,3 +192,40 @@ FROM r JOIN w USING (vec_id), h
 
 
 SQL["op11_value_dictionary_codes"] = _codes_sql()
+
+
+@query
+def op12_transducer_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_transducer_divergence"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+kept AS MATERIALIZED (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
+voc AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS MATERIALIZED (SELECT lang, source, coalesce(any_value(v), 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN voc USING (lang) GROUP BY lang, source),
+cnt AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(n, 0) AS n, v FROM (SELECT g.lang, g.source, k.term, g.v FROM grp g JOIN kept k USING (lang)) LEFT JOIN cnt USING (lang, source, term)),
+p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM dense),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+telling AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM telling)
+  WHERE rank <= 10)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked
+"""
