@@ -32,6 +32,7 @@ def test_ids_of_long_words_and_runs(reference, size):
     r = random.Random(2)
     word = "".join(r.choice("abcdefgh") for _ in range(size))
     texts = [word, "x" * size, "a" + " " * size + "b \n", "\n" * size, "a" + "\u3000" * size + "\x1cb <|endoftext|>" + "\t" * size]
+    texts += ["b" + " " * size + "<|endoftext|> c", " " * size]
     tok = tokenizer(default_tokenizer())
     for t in texts:
         assert np.frombuffer(tok.encode(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids
