@@ -77,3 +77,26 @@ def z_equal(spark, sf):
     return _both(spark, sf).select(
         "id", G.z_equal(G.z_values("a"), G.z_values("b")).alias("same")
     )
+
+
+@query("same_point_set", "O70", "SELECT id, id % 4 <> 2 AS line_same, id % 4 <> 2 AS area_same, false AS mixed FROM $shape_cuts")
+def same_point_set(spark, sf):
+    cuts = from_view(spark, sf, "shape_cuts")
+    shapes = cuts.select("id", *[G.decode_geom(c).alias(c) for c in ("line", "area", "line_cut", "area_cut")])
+    return shapes.select(
+        "id",
+        G.geom_equal("line", "line_cut").alias("line_same"),
+        G.geom_equal("area", "area_cut").alias("area_same"),
+        G.geom_equal("line", "area_cut").alias("mixed"),
+    )
+
+
+@query(
+    "decode_nested",
+    "O68",
+    """SELECT id, CASE WHEN whole THEN repeat('GEOMETRYCOLLECTION(', n) || 'LINESTRING(0.0 0.0 1.0,1.0 ' || id || '.0 2.0),' ||
+  repeat('GEOMETRYCOLLECTION(POINT(1.0 2.0)),', n) || 'POINT(' || id || '.0 ' || n || '.0)' || repeat(')', n) END AS shown FROM $nested_geoms""",
+)
+def decode_nested(spark, sf):
+    decoded = from_view(spark, sf, "nested_geoms").withColumn("w", G.decode_geom("shape"))
+    return decoded.select("id", G.canonical_text("w").alias("shown"))

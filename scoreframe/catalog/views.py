@@ -195,3 +195,28 @@ SELECT o_orderkey AS id, concat('m_', o_orderstatus) AS model,
 FROM @orders
 """,
 )
+view(
+    "shape_cuts",
+    """
+SELECT id, k, concat('LINESTRING(0 0,', 4 * k, ' 8)') AS line, concat('POLYGON((0 0,', 6 * k, ' 0,', 6 * k, ' 6,0 6,0 0))') AS area,
+       CASE id % 4
+         WHEN 0 THEN concat('MULTILINESTRING((', 4 * k, ' 8,', 2 * k, ' 4),(0 0,', 2 * k, ' 4))')
+         WHEN 1 THEN concat('MULTILINESTRING((0 0,', 3 * k, ' 6),(', 4 * k, ' 8,', k, ' 2),(0 0,', 4 * k, ' 8))')
+         WHEN 2 THEN concat('MULTILINESTRING((0 0,', k, ' 2),(', 2 * k, ' 4,', 4 * k, ' 8))')
+         ELSE concat('LINESTRING(0 0,', k, ' 2,', 2 * k, ' 4,', 3 * k, ' 6,', 4 * k, ' 8)') END AS line_cut,
+       CASE id % 4
+         WHEN 0 THEN concat('POLYGON((0 0,', k, ' 0,', 2 * k, ' 0,', 6 * k, ' 0,', 6 * k, ' 1,', 6 * k, ' 6,0 6,0 3,0 0))')
+         WHEN 1 THEN concat('MULTIPOLYGON(((0 0,', 2 * k, ' 0,', 2 * k, ' 6,0 6,0 0)),((', 2 * k, ' 0,', 6 * k, ' 0,', 6 * k, ' 6,', 2 * k, ' 6,', 2 * k, ' 0)))')
+         WHEN 2 THEN concat('POLYGON((0 0,', k, ' 1,', 6 * k, ' 0,', 6 * k, ' 6,0 6,0 0))')
+         ELSE concat('POLYGON((', 6 * k, ' 6,', 6 * k, ' 2,', 6 * k, ' 0,', k, ' 0,0 0,0 6,', 6 * k, ' 6))') END AS area_cut
+FROM (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey % 1000 + 1 AS BIGINT) AS k FROM @orders)
+""",
+)
+view(
+    "nested_geoms",
+    """
+SELECT id, n, whole, concat(repeat('GeometryCollection (', n), 'LINESTRING Z (0 0 1, 1 ', id, ' 2), ', repeat('GEOMETRYCOLLECTION(POINT(1 2)),', n), 'POINT(',
+         id, ' ', n, ')', repeat(' )', CASE WHEN whole THEN n ELSE n - 1 END)) AS shape
+FROM (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey * 2 + 1 AS INT) AS n, c_custkey % 5 <> 0 AS whole FROM @customer)
+""",
+)

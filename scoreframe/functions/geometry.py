@@ -1,20 +1,17 @@
-"""Geometry cells: recognition, decoding and comparison.
+"""Geometry cells: recognition, decoding and comparison, as column expressions.
 
-A cell is turned into WKT text, its numbers are written in one form, and the
-comparisons work on arrays of coordinates. Equality is coordinate-wise: shapes
-that cover the same area with extra collinear vertices, or split into parts
-differently, count as different.
+A cell is turned into WKT text (binary cells byte by byte, on the JVM), its numbers are written in one
+form, and the comparisons work on arrays of grid cells. Shapes are equal as sets of points: extra
+vertices on an edge, the direction and start of a ring, and the split into parts make no difference.
 """
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .sqltext import let as sql_let
+from .sqltext import running_sums, stripped
 from .text import let, strip
 
 _KINDS = "POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION"
@@ -51,64 +48,6 @@ def is_geometry(c: Column | str) -> Column:
     return is_wkt(c) | is_hex_wkb(c)
 
 
-def _wkb_text(data: bytes, at: int = 0, nested: bool = False) -> tuple[str, int]:
-    """WKT of the (E)WKB value at ``at`` and the offset behind it."""
-    order = "<" if data[at] == 1 else ">"
-    (code,) = struct.unpack_from(order + "I", data, at + 1)
-    at += 5
-    if code & 0x20000000:
-        at += 4
-    iso, kind = divmod(code & 0x0FFFFFFF, 1000)
-    has_z = bool(code & 0x80000000) or iso in (1, 3)
-    has_m = bool(code & 0x40000000) or iso in (2, 3)
-    dims = 2 + has_z + has_m
-
-    def count() -> int:
-        nonlocal at
-        (n,) = struct.unpack_from(order + "I", data, at)
-        at += 4
-        return n
-
-    def points(n: int) -> str:
-        nonlocal at
-        values = struct.unpack_from(f"{order}{n * dims}d", data, at)
-        at += 8 * n * dims
-        return ", ".join(
-            " ".join(map(repr, values[i : i + dims])) for i in range(0, n * dims, dims)
-        )
-
-    if kind == 1:
-        body = points(1)
-    elif kind == 2:
-        body = points(count())
-    elif kind == 3:
-        body = ", ".join(f"({points(count())})" for _ in range(count()))
-    else:
-        members = []
-        for _ in range(count()):
-            text, at = _wkb_text(data, at, nested=kind != 7)
-            members.append(text)
-        body = ", ".join(members)
-    if nested:
-        return f"({body})", at
-    tag = " ZM" if has_z and has_m else " Z" if has_z else " M" if has_m else ""
-    return f"{WKB_NAMES[kind]}{tag} ({body})", at
-
-
-def _wkb_or_none(value: str | None) -> str | None:
-    try:
-        data = bytes.fromhex(value)
-        text, end = _wkb_text(data)
-        return text if end == len(data) else None
-    except (TypeError, ValueError, KeyError, IndexError, struct.error):
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def _hex_to_wkt(s: pd.Series) -> pd.Series:
-    return s.map(_wkb_or_none)
-
-
 # The expressions below are SQL text: they are long, and one parse builds them far
 # faster than call by call. {c} is the column, {grid} the grid size. The idiom
 # get(transform(array(x), v -> ...), 0) works x out once.
@@ -133,12 +72,12 @@ _BODIES = {
     "MULTILINESTRING": _list_of(_LINE),
     "MULTIPOLYGON": _list_of(_AREA),
 }
-_MEMBER = "(?:" + "|".join(rf"{k}{_DIMS}\s*{body}" for k, body in _BODIES.items()) + rf"|(?:{_KINDS}){_DIMS}\s+EMPTY)"
-# Collections may hold collections, four levels deep.
-_SHAPE_TEXT = _MEMBER
-for _ in range(4):
-    _SHAPE_TEXT = rf"(?:{_MEMBER}|GEOMETRYCOLLECTION{_DIMS}\s*{_list_of(_SHAPE_TEXT)})"
-_VALID = rf"\A{_SHAPE_TEXT}\z"
+# A whole member that holds no other one. Marks stand for members that are whole.
+_MEMBER = (
+    "(?<![A-Z])(?:" + "|".join(rf"{k}{_DIMS}\s*{body}" for k, body in _BODIES.items()) + rf"|(?:{_KINDS}){_DIMS}\s+EMPTY)"
+)
+_MARK = "\ue010"
+_COLLECTION = rf"GEOMETRYCOLLECTION{_DIMS}\s*\(\s*{_MARK}(?:\s*,\s*{_MARK})*+\s*\)"
 _LEAF = (
     r"(?:MULTI)?(?:POINT|LINESTRING|POLYGON)(?:\s*(?:ZM|Z|M))?\s*"
     r"\((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+\)"
@@ -151,19 +90,144 @@ def _sql(text: str, name: str, **parts: object) -> Column:
     return F.expr(text)
 
 
-def decode_geom(c: Column | str) -> Column:
-    """Upper-case WKT of a geometry cell without SRID; null when it cannot be decoded.
+#: Steps of a block of the fold below.
+_STEPS = 256
 
-    A point has one position, a line at least two, a ring at least four and ends where it starts;
-    the members of a collection (up to four levels) must be whole as well. Every geometry is taken as SRID 4326. Only hex values travel to Python.
+
+def _wkb_text(c: str) -> str:
+    """SQL for the WKT of a hex (E)WKB value: a fold over a stack of members that are still to be read.
+
+    A frame says how many items are left and what they are: rings (0), members without a name (1) or
+    with one (2). A step reads one item or closes a frame, and notes what to write: a text and where the
+    positions behind it lie (n of them; -1 for a point, 0 for none). A fold copies its state at every step, so
+    positions are read afterwards, and steps are taken in blocks with notes of their own. Null unless the bytes are used up
+    exactly.
     """
-    c = strip(_col(c))
-    hexa = is_hex_wkb(c)
-    text = F.coalesce(
-        _hex_to_wkt(F.when(hexa, c)),
-        F.when(~hexa, F.regexp_replace(F.upper(c), r"\ASRID=\d+;\s*", "")),
+    names = ", ".join(f"'{WKB_NAMES[k]}'" for k in sorted(WKB_NAMES))
+    frame = "STRUCT<left: INT, mode: INT, le: BOOLEAN, dims: INT, first: BOOLEAN>"
+
+    def swapped(text: str, le: str, size: int) -> str:
+        groups, back = "(..)" * size, "".join(f"${k}" for k in range(size, 0, -1))
+        return f"IF({le}, regexp_replace({text}, '{groups}', '{back}'), {text})"
+
+    def count(le: str, at: str) -> str:
+        return f"CAST(conv({swapped(f'hex(substring(b, {at} + 1, 4))', le, 4)}, 16, 10) AS BIGINT)"
+
+    # A double from its bits; every step is exact.
+    fraction = "CAST(conv(substr(h, 4), 16, 10) AS BIGINT) / 4503599627370496D"
+    double = sql_let(
+        "CAST(conv(substr(h, 1, 3), 16, 10) AS INT)",
+        "e",
+        f"IF(e % 2048 = 2047, 'NAN', string((IF(e >= 2048, -1D, 1D) * (IF(e % 2048 = 0, 0D, 1D) + {fraction})) "
+        "* power(2D, greatest(e % 2048, 1) - 1023)))",
+    )
+
+    def points(at: str, n: str, le: str, dims: str) -> str:
+        run = f"hex(substring(b, int({at}) + 1, int({n} * {dims} * 8)))"
+        values = f"transform(regexp_extract_all({swapped(run, le, 8)}, '.{{16}}', 0), h -> {double})"
+        return sql_let(values, "v", f"array_join(transform(sequence(0, int({n}) - 1), i -> array_join(transform(sequence(0, {dims} - 1), j -> get(v, i * {dims} + j)), ' ')), ', ')")
+
+    fail = "named_struct('at', s.at, 'st', s.st, 'out', s.out, 'ok', false)"
+    below = "slice(s.st, 1, size(s.st) - 1)"
+    rest = f"concat({below}, array(named_struct('left', top.left - 1, 'mode', top.mode, 'le', top.le, 'dims', top.dims, 'first', false)))"
+
+    def note(text: str, at: str = "0", n: str = "0", dims: str = "0", le: str = "true") -> str:
+        return f"named_struct('text', {text}, 'at', int({at}), 'n', int({n}), 'dims', int({dims}), 'le', {le})"
+
+    def done(at: str, written: str, stack: str = rest) -> str:
+        return f"named_struct('at', int({at}), 'st', {stack}, 'out', concat(s.out, array({written})), 'ok', true)"
+
+    sep = "IF(top.first, '', ', ')"
+    ring = sql_let(
+        count("top.le", "s.at"),
+        "n",
+        f"IF(n IS NULL OR n = 0 OR s.at + 4 + n * top.dims * 8 > length(b), {fail}, "
+        + done("s.at + 4 + n * top.dims * 8", note(sep, "s.at + 4", "n", "top.dims", "top.le"))
+        + ")",
+    )
+    pushed = f"concat({rest}, array(named_struct('left', int(n), 'mode', CASE k WHEN 3 THEN 0 WHEN 7 THEN 2 ELSE 1 END, 'le', le, 'dims', d, 'first', true)))"
+    several = sql_let(
+        count("le", "p"),
+        "n",
+        f"CASE WHEN n IS NULL OR p + 4 > length(b) THEN {fail} "
+        f"WHEN n = 0 THEN {done('p + 4', note("concat(lead, 'EMPTY')"))} "
+        f"WHEN k > 2 THEN IF(n * 4 > length(b) - p - 4, {fail}, {done('p + 4', note("concat(lead, '(')"), pushed)}) "
+        f"WHEN p + 4 + n * d * 8 > length(b) THEN {fail} "
+        f"ELSE {done('p + 4 + n * d * 8', note('lead', 'p + 4', 'n', 'd', 'le'))} END",
+    )
+    body = (
+        f"CASE WHEN k < 1 OR k > 7 OR iso > 3 THEN {fail} WHEN k > 1 THEN {several} WHEN p + d * 8 > length(b) THEN {fail} "
+        f"ELSE {done('p + d * 8', note('lead', 'p', '-1', 'd', 'le'))} END"
+    )
+    tag = f"concat(element_at(array({names}), k), IF(z, ' Z', ''), IF(m, IF(z, 'M', ' M'), ''), ' ')"
+    lead = f"concat({sep}, IF(top.mode = 1 OR k < 1 OR k > 7, '', {tag}))"
+    # In the order they are worked out: each value may use those before it.
+    header = body
+    for name, value in (
+        ("lead", lead),
+        ("d", "2 + int(z) + int(m)"),
+        ("p", "s.at + 5 + IF(code & 536870912 > 0, 4, 0)"),
+        ("m", "code & 1073741824 > 0 OR iso IN (2, 3)"),
+        ("z", "code & 2147483648 > 0 OR iso IN (1, 3)"),
+        ("iso", "int((code & 268435455) div 1000)"),
+        ("k", "int((code & 268435455) % 1000)"),
+        ("code", count("le", "s.at + 1")),
+        ("le", "hex(substring(b, s.at + 1, 1)) = '01'"),
+    ):
+        header = sql_let(value, name, header)
+    end = note("IF(size(s.st) = 1, '', ')')")
+    step = sql_let(
+        "element_at(s.st, -1)",
+        "top",
+        f"CASE WHEN top.left = 0 THEN {done('s.at', end, below)} WHEN s.at + IF(top.mode = 0, 4, 9) > length(b) THEN {fail} "
+        f"WHEN top.mode = 0 THEN {ring} ELSE {header} END",
+    )
+    notes = "CAST(array() AS ARRAY<STRUCT<text: STRING, at: INT, n: INT, dims: INT, le: BOOLEAN>>)"
+    first = "named_struct('left', 1, 'mode', 2, 'le', true, 'dims', 2, 'first', true)"
+    start = f"named_struct('at', 0, 'st', CAST(array({first}) AS ARRAY<{frame}>), 'out', {notes}, 'ok', true)"
+    over = "NOT {0}.ok OR size({0}.st) = 0"
+    block = (
+        f"aggregate(sequence(1, {_STEPS}), named_struct('at', o.at, 'st', o.st, 'out', {notes}, 'ok', true), "
+        f"(s, _) -> IF({over.format('s')}, s, {step}))"
     )
-    return let(text, lambda t: F.when(F.regexp_like(t, F.lit(_VALID)) & _rings_closed(t), t))
+    joined = sql_let(block, "s", "named_struct('at', s.at, 'st', s.st, 'out', concat(o.out, s.out), 'ok', s.ok)")
+    # Every member or ring has four bytes of its own, and closes once.
+    fold = f"aggregate(sequence(0, length(b) div {2 * _STEPS}), {start}, (o, _) -> IF({over.format('o')}, o, {joined}))"
+    read = sql_let(points("x.at", "abs(x.n)", "x.le", "x.dims"), "q", "IF(x.n < 0 AND regexp_like(q, 'NAN( NAN)+'), 'EMPTY', concat('(', q, ')'))")
+    told = f"transform(r.out, x -> IF(x.n = 0, x.text, concat(x.text, {read})))"
+    whole = sql_let(fold, "r", f"IF(r.ok AND size(r.st) = 0 AND r.at = length(b), array_join({told}, ''), NULL)")
+    return f"IF(length({c}) % 2 = 0, {sql_let(f'unhex({c})', 'b', whole)}, NULL)"
+
+
+def decode_geom(name: str) -> Column:
+    """Upper-case WKT of a column of geometry cells without SRID; null where a cell cannot be decoded.
+
+    A point has one position, a line at least two, a ring at least four and ends where it starts;
+    the members of a collection, nested to any depth, must be whole as well. Every geometry is taken as SRID 4326. A
+    binary point without numbers is EMPTY.
+    """
+    value = stripped(f"`{name}`")
+    binary = sql_let(f"IF(regexp_like({value}, r'{HEX_WKB_PATTERN}'), {value}, NULL)", "hx", _wkb_text("hx"))
+    hexa, c = is_hex_wkb(strip(name)), strip(name)
+    text = F.coalesce(F.expr(binary), F.when(~hexa, F.regexp_replace(F.upper(c), r"\ASRID=\d+;\s*", "")))
+    return let(text, lambda t: F.when(_whole(t) & _rings_closed(t), t))
+
+
+def _whole(t: Column) -> Column:
+    """Whether a text is one geometry: whole members become marks, and so do collections of marks, from
+    the inside out, until nothing changes."""
+    marked = F.regexp_replace(t, _MEMBER, _MARK)
+
+    def reduced(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(
+            let(F.regexp_replace(s["t"], _COLLECTION, _MARK), lambda r: F.struct(r.alias("t"), (r == s["t"]).alias("done")))
+        )
+
+    def folded(m: Column) -> Column:
+        start = F.struct(m.alias("t"), (m == _MARK).alias("done"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(F.split(m, "GEOMETRYCOLLECTION"))), start, reduced)["t"]
+
+    return ~t.contains(_MARK) & (let(marked, lambda m: F.when(m == _MARK, m).otherwise(folded(m))) == _MARK)
 
 
 def _rings_closed(t: Column) -> Column:
@@ -202,48 +266,88 @@ def canonical_text(name: str) -> Column:
 
 _GROUPS = r"regexp_extract_all(m, r'\(([^()]+)\)', 1)"
 
-# Grid cells of one coordinate list g, repeated neighbours once.
+# Grid cells of one coordinate list g; a number beyond the grid makes the whole form null.
 _SNAP = r"""
-get(transform(array(transform(split(g, ','), p -> transform(
-    slice(split(trim(p), r'\s+'), 1, 2), v -> bigint(round(try_cast(v AS DOUBLE) / {grid}D))))),
-  a -> filter(a, (p, i) -> i = 0 OR NOT (p <=> get(a, i - 1)))), 0)
+transform(split(g, ','), p -> get(transform(array(transform(slice(split(trim(p), r'\s+'), 1, 2),
+  v -> try_cast(round(try_cast(v AS DOUBLE) / {grid}D) AS DECIMAL(15, 0)))),
+  xy -> named_struct('x', bigint(get(xy, 0)), 'y', bigint(get(xy, 1)))), 0))
 """
 
-# A closed list of cells from its least cell on, in the lesser direction.
-_RING = r"""
-get(transform(array({snap}), s -> get(transform(array(slice(s, 1, greatest(size(s) - 1, 0))), o ->
-  CASE WHEN size(o) = 0 THEN o ELSE array_min(transform(array(o, reverse(o)), d ->
-    concat(slice(d, int(array_position(d, array_min(d))), size(d)),
-           slice(d, 1, int(array_position(d, array_min(d))) - 1)))) END), 0)), 0)
+_GCD = """
+aggregate(
+  sequence(1, IF(dx = 0 OR dy = 0, 1, int(3 + 2.1 * ln(double(greatest(dx, abs(dy))))))),
+  named_struct('a', dx, 'b', abs(dy)),
+  (s, _) -> IF(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> IF(s.b = 0, s.a, s.b))
 """
 
-_SHAPE = r"""
-get(transform(array(regexp_extract_all({c}, r'{leaf}', 0)), ms -> concat(
-  string(array_sort(array_distinct(flatten(flatten(transform(
-    filter(ms, m -> contains(substring_index(m, '(', 1), 'POINT')),
-    m -> transform({groups}, g -> {snap}))))))),
-  string(array_sort(flatten(transform(
-    filter(ms, m -> contains(substring_index(m, '(', 1), 'LINESTRING')),
-    m -> transform({groups}, g -> get(transform(array({snap}), s -> least(s, reverse(s))), 0)))))),
-  string(array_sort(flatten(transform(
-    filter(ms, m -> contains(substring_index(m, '(', 1), 'POLYGON')),
-    m -> transform(split(m, r'\)\s*\)\s*,\s*\(\s*\('), part -> get(transform(array(transform(
-      regexp_extract_all(part, r'(?:\A|\()\s*([-+.,\dE\s]+?)\s*(?:\)|\z)', 1), g -> {ring})),
-      rs -> concat(slice(rs, 1, 1), array_sort(slice(rs, 2, greatest(size(rs), 1))))), 0))))))
-)), 0)
+# The stretches between neighbours of a list s of cells: the straight line each lies on, as its reduced
+# direction (ux, uy) and its cross product c with any point of the line, and the two ends in order.
+_STRETCHES = f"""
+transform(
+  filter(zip_with(slice(s, 1, greatest(size(s) - 1, 0)), slice(s, 2, greatest(size(s) - 1, 0)),
+                  (p, q) -> named_struct('lo', least(p, q), 'hi', greatest(p, q))), e -> e.lo <> e.hi),
+  e -> {sql_let("e.hi.x - e.lo.x", "dx", sql_let("e.hi.y - e.lo.y", "dy", sql_let(_GCD, "k", sql_let(
+      "dx div k", "ux", sql_let("dy div k", "uy",
+      "named_struct('line', named_struct('ux', ux, 'uy', uy, 'c', CAST(ux AS DECIMAL(16, 0)) * CAST(e.lo.y AS DECIMAL(16, 0)) - CAST(uy AS DECIMAL(16, 0)) * CAST(e.lo.x AS DECIMAL(16, 0))), 'lo', e.lo, 'hi', e.hi)")))))})
 """
 
+# Covered by any stretch: ends in order along each line, starts first, kept where the first stretch
+# begins or the last one ends. Stretches that touch or overlap become one.
+_UNION = sql_let(
+    "sort_array(flatten(transform(es, e -> array(named_struct('line', e.line, 'at', e.lo, 'close', 0), "
+    "named_struct('line', e.line, 'at', e.hi, 'close', 1)))))",
+    "ends",
+    sql_let(
+        "transform(ends, e -> IF(e.close = 0, 1, -1))",
+        "signs",
+        f"transform(filter(zip_with(ends, {running_sums('signs')}, (e, d) -> named_struct('e', e, 'edge', d = 1 - e.close)), "
+        "o -> o.edge), o -> o.e)",
+    ),
+)
+
+# The edge of an area: what an odd number of rings run along. An end that two stretches of one line
+# share cancels out, and so does an edge between two parts.
+_BORDER = sql_let(
+    "sort_array(flatten(transform(es, e -> array(named_struct('line', e.line, 'at', e.lo), named_struct('line', e.line, 'at', e.hi)))))",
+    "ends",
+    sql_let(
+        "filter(sequence(0, size(ends)), i -> i = 0 OR i = size(ends) OR get(ends, i) <> get(ends, i - 1))",
+        "runs",
+        "transform(filter(zip_with(slice(runs, 1, size(runs) - 1), slice(runs, 2, size(runs)), "
+        "(i, j) -> named_struct('i', i, 'n', j - i)), r -> r.n % 2 = 1), r -> get(ends, r.i))",
+    ),
+)
+
+_LISTS = r"transform(flatten(transform(filter(ms, m -> contains(substring_index(m, '(', 1), '{kind}')), m -> {groups})), g -> {snap})"
+
+_SHAPE = sql_let(
+    "regexp_extract_all({c}, r'{leaf}', 0)",
+    "ms",
+    sql_let(
+        "array(flatten({points}), flatten({lines}), flatten({rings}))",
+        "all",
+        "IF({c} IS NULL OR exists(flatten(all), p -> p.x IS NULL OR p.y IS NULL), NULL, concat_ws('/', string(sort_array(array_distinct(get(all, 0)))), "
+        + sql_let("flatten(transform({lines}, s -> {stretches}))", "es", f"string({_UNION})")
+        + ", "
+        + sql_let("flatten(transform({rings}, s -> {stretches}))", "es", f"string({_BORDER})")
+        + "))",
+    ),
+)
+
 
 def snapped_form(name: str, grid: float = 1e-5) -> Column:
-    """Order-free form of the decoded shape on the grid, as text.
+    """The decoded shape on the grid as a set of points, in a normal form, as text.
 
-    Points become a sorted set, lines run in their lesser direction, rings start at
-    their least point; holes, parts and members are sorted. Single and multi
-    types with the same content agree.
+    Points become a sorted set. Lines become the longest straight stretches they cover, however they are
+    cut, directed or repeated; a line within one cell covers nothing. An area becomes the longest
+    straight stretches of its border, so that neither the vertices on an edge, nor where a ring starts and
+    how it turns, nor a cut into parts matters. Single and multi types agree. Null for numbers of 10^15 cells or more.
     """
-    ring = _RING.replace("{snap}", _SNAP)
-    shape = _SHAPE.replace("{ring}", ring).replace("{snap}", _SNAP).replace("{groups}", _GROUPS)
-    return _sql(shape, name, leaf=_LEAF, grid=repr(float(grid)))
+    lists = {part: _LISTS.replace("{kind}", kind) for part, kind in (("points", "POINT"), ("lines", "LINESTRING"), ("rings", "POLYGON"))}
+    text = _SHAPE
+    for part, value in {**lists, "stretches": _STRETCHES, "snap": _SNAP, "groups": _GROUPS}.items():
+        text = text.replace("{" + part + "}", value)
+    return _sql(text, name, leaf=_LEAF, grid=repr(float(grid)))
 
 
 _Z = r"""

@@ -78,15 +78,17 @@ def unmasked(c: str) -> str:
 _BLOCK = 256
 
 
-def _running_sums(signs: str) -> str:
+def running_sums(signs: str) -> str:
     """Prefix sums of an int array: within blocks, then the sums in front of each block.
 
     An array grows by copying, so one fold over n values would cost n * n; blocks keep it
     near n for any text that fits a row.
     """
     fold = "aggregate({0}, CAST(array() AS ARRAY<INT>), (acc, x) -> concat(acc, array(coalesce(try_element_at(acc, -1), 0) + x)))"
+    # A slice copies the whole array, so a block is read by place.
+    block = f"transform(sequence(b, greatest(least(b + {_BLOCK}, size({signs})) - 1, b)), i -> get({signs}, i))"
     return let(
-        f"transform(sequence(0, greatest(size({signs}) - 1, 0), {_BLOCK}), b -> {fold.format(f'slice({signs}, b + 1, {_BLOCK})')})",
+        f"transform(sequence(0, greatest(size({signs}) - 1, 0), {_BLOCK}), b -> {fold.format(block)})",
         "blocks",
         let(
             fold.format("transform(blocks, b -> coalesce(try_element_at(b, -1), 0))"),
@@ -104,7 +106,7 @@ def _pieces(c: str) -> str:
         let(
             f"transform(parts, p -> {sign})",
             "signs",
-            f"zip_with(parts, {_running_sums('signs')}, (p, d) -> named_struct('text', p, 'depth', d))",
+            f"zip_with(parts, {running_sums('signs')}, (p, d) -> named_struct('text', p, 'depth', d))",
         ),
     )
 

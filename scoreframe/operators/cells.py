@@ -239,12 +239,8 @@ def compare_positional(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
 def compare_pairs(pairs: DataFrame) -> DataFrame:
     """Strategy results for rows (pred, gold, is_geom)."""
     geom = F.col("is_geom")
-    decoded = pairs.withColumns(
-        {
-            "_p": G.decode_geom(F.when(geom, F.col("pred"))),
-            "_g": G.decode_geom(F.when(geom, F.col("gold"))),
-        }
-    )
+    shown = pairs.withColumns({"_pt": F.when(geom, F.col("pred")), "_gt": F.when(geom, F.col("gold"))})
+    decoded = shown.withColumns({"_p": G.decode_geom("_pt"), "_g": G.decode_geom("_gt")}).drop("_pt", "_gt")
     false = F.lit(False)
     return decoded.withColumns(
         {
@@ -330,9 +326,9 @@ def geometry_columns(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, side, col_idx, is_geom): all non-blank cells decode and at least one does."""
     value = strip(F.col("value"))
     filled = F.coalesce(value, F.lit("")) != ""
-    decoded = G.decode_geom(F.when(G.is_geometry(value), value)).isNotNull()
     return (
-        cells.select(*keys, "side", "col_idx", filled.alias("_filled"), decoded.alias("_geom"))
+        cells.withColumn("_text", F.when(G.is_geometry(value), value))
+        .select(*keys, "side", "col_idx", filled.alias("_filled"), G.decode_geom("_text").isNotNull().alias("_geom"))
         .groupBy(*keys, "side", "col_idx")
         .agg(
             (F.bool_and(~F.col("_filled") | F.col("_geom")) & F.bool_or("_geom")).alias("is_geom")
@@ -366,8 +362,8 @@ def column_prints(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         "col_name",
         _shown(F.col("value")).alias("_text"),
         (F.coalesce(value, F.lit("")) != "").alias("_filled"),
-        G.decode_geom(F.when(G.is_geometry(value), value)).alias("_wkt"),
-    ).select(
+        F.when(G.is_geometry(value), value).alias("_geometry"),
+    ).withColumn("_wkt", G.decode_geom("_geometry")).select(
         "*",
         F.coalesce(G.canonical_text("_wkt"), F.lit(_NULL)).alias("_ewkt"),
         F.coalesce(G.snapped_form("_wkt"), F.lit(_NULL)).alias("_shape"),
