@@ -55,6 +55,35 @@ def arg_types(spark, sf):
     return typed.select("id", F.array_join(short, "|").alias("types"))
 
 
+# Expressions around the numbers, dates and texts of an order; the last kind names a column.
+EXPRESSIONS = """SELECT o_orderkey AS id, CASE o_orderkey % 9
+    WHEN 0 THEN concat(CAST(o_custkey AS STRING), ' + ', CAST(o_totalprice AS STRING), ' * 2')
+    WHEN 1 THEN concat(chr(39), o_orderstatus, ' (', chr(39), ' || ', CAST(o_custkey AS STRING), '::text')
+    WHEN 2 THEN concat('ST_Buffer(ST_GeomFromText(', chr(39), 'POINT(1 2)', chr(39), ', 4326), (', CAST(o_custkey AS STRING), ' + 1) * 2)')
+    WHEN 3 THEN concat('(', CAST(o_custkey AS STRING), ' / 2) < ', CAST(o_totalprice AS STRING), ' OR g.geom IS NULL')
+    WHEN 4 THEN concat('CASE WHEN ', CAST(o_custkey AS STRING), ' > 5 THEN 3000000000 ELSE ', CAST(o_custkey AS STRING), ' END')
+    WHEN 5 THEN concat('DATE ', chr(39), '1995-01-01', chr(39), ' - CAST(', chr(39), '1994-01-01', chr(39), ' AS date)')
+    WHEN 6 THEN concat('ARRAY[', CAST(o_custkey AS STRING), ', ', CAST(o_totalprice AS STRING), ']')
+    WHEN 7 THEN concat('area(', CAST(o_custkey AS STRING), ')::numeric(10,2) + 1.5::float8')
+    ELSE concat('g.geom + ', CAST(o_custkey AS STRING)) END AS expr
+FROM @orders"""
+
+
+@query(
+    "expression_types",
+    "O83",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'numeric' WHEN 1 THEN 'text' WHEN 2 THEN 'geometry' WHEN 4 THEN 'bigint'
+  WHEN 5 THEN 'integer' WHEN 6 THEN 'numeric[]' WHEN 7 THEN 'double precision' ELSE 'ERROR' END AS kind FROM @orders""",
+)
+def expression_types(spark, sf):
+    returns = spark_sql(
+        spark, sf, "SELECT DISTINCT concat('ST_', CASE WHEN p_size > 10 THEN 'GeomFromText' ELSE 'Buffer' END) AS function_name, 'geometry' AS return_type FROM @part"
+    )
+    rows = spark_sql(spark, sf, EXPRESSIONS).withColumn("args", F.array("expr"))
+    typed = K.arg_types(rows, ["id"], returns)
+    return typed.select("id", F.substring_index(F.col("actual_arg_types")[0], ":", 1).alias("kind"))
+
+
 def _typed(spark, sf):
     return from_view(spark, sf, "typed_calls").withColumn("actual_arg_types", F.split("types", ","))
 

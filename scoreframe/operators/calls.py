@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
+from ..functions.exprtypes import expression_type
 
 UNKNOWN_TYPE = "ERROR: type of the expression is not known"
 _TEXTS = "array<string>"
@@ -59,37 +60,41 @@ def first_call(df: DataFrame, target: str = "function_name_used", sql: str = "pr
     )
 
 
+_RETURNS = "array<struct<types:array<string>,returned:string>>"
+
+
+def return_lists(returns: DataFrame) -> DataFrame:
+    """One row per function: ``_fn`` and ``_returns``, its different return types by parameter types.
+
+    ``returns`` has (function_name, return_type) and may have input_types, the parameters of that overload.
+    """
+    types = F.col("input_types") if "input_types" in returns.columns else F.lit(None).cast(_TEXTS)
+    one = F.struct(types.alias("types"), F.col("return_type").alias("returned"))
+    return returns.groupBy(F.lower("function_name").alias("_fn")).agg(F.collect_set(one).alias("_returns"))
+
+
 def arg_types(
-    df: DataFrame, keys: Sequence[str], returns: DataFrame | None = None, args: str = "args"
+    df: DataFrame, keys: Sequence[str] = (), returns: DataFrame | None = None, args: str = "args"
 ) -> DataFrame:
-    """Add ``actual_arg_types``: the type of each argument taken alone.
+    """Add ``actual_arg_types``: the type of each argument taken alone, from the inside out.
 
-    Casts and literals are read from the text. A call has the type that ``returns``
-    (function_name, return_type) gives its function. All else, such as a column, has an
-    ``ERROR`` type. Of several return types of one name the least counts. ``keys`` identify a row.
+    Casts, literals, operators, CASE and ARRAY are typed by rule, calls by ``returns`` (see
+    :func:`return_lists`; of overloads that fit equally well the least type counts). All else, such as a column or an
+    operator next to one, has an ``ERROR`` type. Rows with nested calls meet the functions they name in one join and come
+    back together by a number of their own, so the calls are parsed once; ``keys`` isn't needed any more and is kept for callers.
     """
-    literal = S.literal_type("a")
+    known = f"map<string,{_RETURNS}>"
     if returns is None:
-        return df.withColumn(
-            "actual_arg_types",
-            F.expr(f"transform({args}, a -> coalesce({literal}, '{UNKNOWN_TYPE}'))"),
-        )
-    table = returns.groupBy(F.lower("function_name").alias("_fn")).agg(F.min("return_type").alias("_returned"))
-    named = (
-        df.select(*keys, F.posexplode_outer(args).alias("_pos", "_arg"))
-        .where("_arg IS NOT NULL")
-        .select(*keys, "_pos", F.expr(rf"lower(regexp_extract(_arg, r'{S.CALL_ARG}', 1))").alias("_fn"))
-        .where("_fn != ''")
-        .join(table, "_fn")
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_set(F.struct("_pos", "_returned"))).alias("_by_pos"))
-    )
-    typed = f"transform({args}, (a, i) -> coalesce({literal}, try_element_at(_by_pos, i), '{UNKNOWN_TYPE}'))"
-    return (
-        df.join(named, list(keys), "left")
-        .withColumn("actual_arg_types", F.expr(typed))
-        .drop("_by_pos")
-    )
+        found = df.withColumn("_known", F.expr(f"CAST(map() AS {known})"))
+    else:
+        called = rf"array_distinct(transform(regexp_extract_all(array_join({args}, ' '), r'([A-Za-z_][\w.]*)\s*\(', 1), n -> lower(n)))"
+        rows = df.withColumn("_n", F.monotonically_increasing_id()).withColumn("_fn", F.explode_outer(F.expr(called)))
+        rows = rows.select("_n", "_fn", F.struct(*df.columns).alias("_row")).join(return_lists(returns), "_fn", "left")
+        entry = F.when(F.col("_returns").isNotNull(), F.struct("_fn", "_returns"))
+        found = rows.groupBy("_n").agg(F.first("_row").alias("_row"), F.map_from_entries(F.collect_list(entry)).alias("_known"))
+        found = found.select("_row.*", "_known")
+    typed = f"transform({args}, a -> coalesce({expression_type('a', '_known')}, '{UNKNOWN_TYPE}'))"
+    return found.withColumn("actual_arg_types", F.expr(typed)).drop("_known")
 
 
 # --- matching against signatures ---------------------------------------------------------------
