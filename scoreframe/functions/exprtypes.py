@@ -72,7 +72,7 @@ def _atoms(a: str) -> str:
     text = _replaced(text, rf"(?i)(?<![\w.{_A}{_CAST}])current_date(?![\w.])", f"{_A}date{_Z}")
     text = _replaced(text, rf"(?i)(?<![\w.{_A}{_CAST}])current_timestamp(?![\w.])", f"{_A}timestamptz{_Z}")
     text = _replaced(text, r"\(\s*\*\s*\)", f"({_A}any{_Z})")
-    name = rf"(?i)(?<![\w.{_A}{_CAST}{_BLANK}])(?!(?:{_WORDS})\b)[A-Za-z_][\w.$]*+(?!\s*[(\w])(?:{_A}\?{_Z})?"
+    name = rf"(?i)(?<![\w.{_A}{_CAST}{_BLANK}])(?!(?:{_WORDS})\b)[A-Za-z_][\w.$]*+(?!\s*\()(?:{_A}\?{_Z})?"
     return _replaced(text, name, f"{_A}?{_Z}")
 
 
