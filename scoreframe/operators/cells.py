@@ -6,6 +6,7 @@ side ``pred`` or ``gold``. The expected result of a syntax item is the gold side
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Sequence
 
 import pandas as pd
@@ -183,23 +184,53 @@ def normalize_table(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def ordered_rows(cells: DataFrame, specs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def ordered_rows(cells: DataFrame, specs: DataFrame, keys: Sequence[str] = KEYS, parts: int | None = None) -> DataFrame:
     """(keys, side, row_idx, place): the rows of a result in the order its text asks for.
 
     ``specs`` has (keys, side, spec), the array of ``order_spec``. Names that are no columns of the
     result are skipped; rows that agree on all others keep their order. Results whose spec names none
-    of their columns are left out: ``normalize_table`` is their normal form. Each column is ranked on
-    its own, so that one may rise and another fall.
+    of their columns are left out: ``normalize_table`` is their normal form.
+
+    A row's sort key is one byte string: each value escaped and ended, with all its bits turned over where the column
+    falls, then the row's number. A range sort deals the keys of a result, however long, over all tasks; each task numbers
+    its stretch, and the rows in front of a stretch come from one count per result and stretch. ``parts`` is the number of
+    stretches, by default that of shuffle partitions.
     """
     asked = specs.select(*keys, "side", F.posexplode("spec").alias("_at", "_by"))
     asked = asked.select(*keys, "side", "_at", F.col("_by.column").alias("col_name"), F.col("_by.ascending").alias("_up"))
     found = cells.select(*keys, "side", "row_idx", "col_name", "value").join(asked, [*keys, "side", "col_name"])
-    rank = F.dense_rank().over(Window.partitionBy(*keys, "side", "_at").orderBy("value"))
-    signed = F.when(F.col("_up"), rank).otherwise(-rank)
-    rows = found.withColumn("_rank", signed).groupBy(*keys, "side", "row_idx")
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("_at", "_rank"))).alias("_order"))
-    place = F.row_number().over(Window.partitionBy(*keys, "side").orderBy("_order", "row_idx"))
-    return rows.select(*keys, "side", "row_idx", place.alias("place"))
+    rows = found.groupBy(*keys, "side", "row_idx")
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_up").alias("up"), F.col("value").alias("v")))).alias("_by"))
+    rows = materialize(rows.select(*keys, "side", "row_idx", _sort_key(F.col("_by")).alias("_key")), "sort-keys")
+    order = [*keys, "side", "_key", "row_idx"]
+    n = parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Stored, since where the stretches are cut comes from a sample.
+    dealt = materialize(dealt.select(*keys, "side", "row_idx", "_key", F.spark_partition_id().alias("_stretch")), "stretches")
+    within = F.row_number().over(Window.partitionBy(*keys, "side", "_stretch").orderBy("_key", "row_idx"))
+    counts = dealt.groupBy(*keys, "side", "_stretch").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys, "side").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "side", "_stretch", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for c in [*keys, "side", "_stretch"]:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}"))
+    placed = dealt.withColumn("_within", within).alias("r").join(counts.alias("c"), same)
+    return placed.select(
+        *[F.col(f"r.{c}").alias(c) for c in (*keys, "side", "row_idx")], (F.col("c._before") + F.col("r._within")).cast("int").alias("place")
+    )
+
+
+def _sort_key(by: Column) -> Column:
+    """Hex digits that compare as the values do, column after column, nulls first where the column rises.
+
+    A value is its bytes in hex, two digits each; digits below 0 end it, so that a value sorts in front of those it starts.
+    Turned over digit by digit, the same text sorts the other way round.
+    """
+    rising = lambda e: F.coalesce(F.concat(F.lit("1"), F.hex(F.encode(e["v"], "UTF-8")), F.lit("!")), F.lit("0!"))
+    # "!" ends a rising value below all digits; "~" ends a falling one above them.
+    falling = lambda e: F.translate(rising(e), "0123456789ABCDEF!", "FEDCBA9876543210~")
+    place = lambda e: F.lpad(e["_at"].cast("string"), 5, "0")
+    return F.array_join(F.transform(by, lambda e: F.concat(place(e), F.when(e["up"], rising(e)).otherwise(falling(e)))), "")
 
 
 def multiset_compare(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -460,29 +491,55 @@ def geometry_edges(cells: DataFrame, prints: DataFrame, keys: Sequence[str] = KE
     return stats.where(full("ST_AsText_pass") | (full("ST_Equals_pass") & full("ST_Z_pass")))
 
 
-def _pair_off(edges: dict[int, list[int]]) -> dict[int, int]:
-    """Maximum matching pred -> gold by augmenting paths found breadth first."""
-    owner: dict[int, int] = {}
-    match: dict[int, int] = {}
-    for start in sorted(edges):
-        came_from: dict[int, int] = {}
-        queue, free = [start], None
-        while queue and free is None:
-            p = queue.pop(0)
-            for g in edges[p]:
-                if g in came_from:
-                    continue
-                came_from[g] = p
-                if g not in owner:
-                    free = g
-                    break
-                queue.append(owner[g])
-        while free is not None:
-            p = came_from[free]
-            previous = match.get(p)
-            match[p], owner[free] = free, p
-            free = previous
-    return match
+def _flows(edges: list[tuple[int, int]], supply: dict[int, int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many columns of each predicted class go to each gold class, as many as possible in all.
+
+    Classes have capacities, their numbers of columns. Each round finds a shortest path from a class
+    with columns left to one with room left, taking back what it needs to, and sends along it all that
+    it bears; so the work grows with the pairs of classes and not with their columns.
+    """
+    options: dict[int, list[int]] = {}
+    for p, g in sorted(edges):
+        options.setdefault(p, []).append(g)
+    flow: dict[tuple[int, int], int] = {}
+    holders: dict[int, set[int]] = {g: set() for g in room}
+    left, free = dict(supply), dict(room)
+    for start in options:
+        while left[start]:
+            came_from: dict[int, int] = {}
+            through: dict[int, int | None] = {start: None}
+            queue, end = deque([start]), None
+            while queue and end is None:
+                p = queue.popleft()
+                for g in options[p]:
+                    if g in came_from:
+                        continue
+                    came_from[g] = p
+                    if free[g]:
+                        end = g
+                        break
+                    for q in sorted(holders[g]):
+                        if q not in through:
+                            through[q] = g
+                            queue.append(q)
+            if end is None:
+                break
+            path, g = [], end
+            while g is not None:
+                p = came_from[g]
+                path.append((p, g, through[p]))
+                g = through[p]
+            n = min([left[start], free[end], *(flow[p, back] for p, _, back in path if back is not None)])
+            left[start] -= n
+            free[end] -= n
+            for p, g, back in path:
+                flow[p, g] = flow.get((p, g), 0) + n
+                holders[g].add(p)
+                if back is not None:
+                    flow[p, back] -= n
+                    if not flow[p, back]:
+                        holders[back].discard(p)
+    return {k: n for k, n in flow.items() if n}
 
 
 def match_columns(
@@ -491,33 +548,37 @@ def match_columns(
     """Every predicted column with a gold column of its own where one can be had.
 
     (keys, pred_col, gold_col, column_type, pass counts). Text columns are matched by
-    counting. The few geometry pairs, one row per pair of columns, are matched per query.
+    counting. Geometry columns are matched by classes of equal columns, a row per pair of classes in a
+    query's group; which column of a class goes where is numbered afterwards.
     ``prints`` are used several times: pass a stored table, or none to have one stored.
     """
     if prints is None:
         prints = materialize(column_prints(cells, keys), "prints")
     edges = geometry_edges(cells, prints, keys)
-    fields = [f for f in edges.schema.fields if f.name not in ("pred_cols", "gold_cols")]
+    taken = [T.StructField(c, T.IntegerType()) for c in ("_n", "_pred_at", "_gold_at")]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        classes = pdf.to_dict("records")
-        options: dict[int, list[int]] = {}
-        edge: dict[tuple[int, int], dict] = {}
-        for c in classes:
-            for p in c["pred_cols"]:
-                options.setdefault(p, []).extend(c["gold_cols"])
-                edge.update({(p, g): c for g in c["gold_cols"]})
-        chosen = _pair_off({p: sorted(g) for p, g in options.items()})
-        rows = [{**edge[p, g], "pred_col": p, "gold_col": g} for p, g in sorted(chosen.items())]
-        return pd.DataFrame(rows, columns=[f.name for f in fields])
-
-    geometry = (
-        edges.groupBy(*keys)
-        .applyInPandas(solve, T.StructType(fields))
-        .withColumns(
-            {"column_type": F.lit("geometry"), "value_match_pass": F.lit(0).cast("bigint")}
-        )
-    )
+        pairs = list(zip(pdf["pred_col"].tolist(), pdf["gold_col"].tolist(), strict=True))
+        size = lambda c: dict(zip(pdf[f"{c}_col"].tolist(), pdf[f"{c}_cols"].map(len).tolist(), strict=True))
+        flow = _flows(pairs, size("pred"), size("gold"))
+        used: Counter[tuple[str, int]] = Counter()
+        columns: list[tuple[int, int, int]] = []
+        for p, g in pairs:
+            n = flow.get((p, g), 0)
+            columns.append((n, used["pred", p], used["gold", g]))
+            used["pred", p] += n
+            used["gold", g] += n
+        out = pdf.assign(**{f.name: [c[k] for c in columns] for k, f in enumerate(taken)})
+        return out[out["_n"] > 0]
+
+    solved = edges.groupBy(*keys).applyInPandas(solve, T.StructType([*edges.schema.fields, *taken]))
+    part = lambda c: F.slice(f"{c}_cols", F.col(f"_{c}_at") + 1, F.col("_n"))
+    rest = [c for c in edges.columns if c not in (*keys, "pred_col", "gold_col", "pred_cols", "gold_cols")]
+    numbered = solved.select(*keys, F.explode(F.arrays_zip(part("pred").alias("p"), part("gold").alias("g"))).alias("_pair"), *rest)
+    geometry = numbered.select(
+        *keys, F.col("_pair.p").alias("pred_col"), F.col("_pair.g").alias("gold_col"), *rest,
+        F.lit("geometry").alias("column_type"), F.lit(0).cast("bigint").alias("value_match_pass"),
+    )
     return _text_matches(prints, keys).unionByName(geometry)
 
 
