@@ -165,7 +165,7 @@ def test_augmenting_matching_is_maximum():
         edges = {p: [g for g in range(m) if rnd.random() < 0.4] for p in range(n)}
         pairs = [(p, g) for p, gs in edges.items() for g in gs]
         flow = C._flows(pairs, {p: 1 for p, _ in pairs}, {g: 1 for _, g in pairs})
-        match = dict(flow)
+        match = dict([*flow])
         assert set(flow.values()) <= {1} and len(match) == len(flow)
         assert len(set(match.values())) == len(match)
         assert all(g in edges[p] for p, g in match.items())
