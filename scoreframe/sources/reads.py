@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 CORRUPT = "_corrupt_record"
 
 
@@ -68,19 +70,79 @@ def _parse_lines(spark, path, schema) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def read_signatures(spark: SparkSession, path: str) -> DataFrame:
-    """Scan one JSON array of function signatures; ``sig_ord`` is the listed order.
+def read_json_array(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file, idx, item``: the objects of files that are one JSON array of objects each, as texts.
 
-    ``variadic`` may be a JSON boolean or the text "True"/"False".
+    A file is read in blocks, cut behind every closing brace. Whether a cut lies in a quoted text, and how deep, depends on all
+    that is in front of it: each block says what it does to either state, those sums are put together per file, and the cuts
+    of a block then know where they stand. So one long file is the work of many tasks, and only an element's own text
+    meets in one place. A file that isn't such an array raises.
     """
-    rows = spark.read.text(path, wholetext=True).select(
-        F.posexplode(
-            F.from_json(
-                "value",
-                "array<struct<function_name: string, input_types: array<string>, variadic: string>>",
-            )
-        ).alias("sig_ord", "s")
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "^\ufeff", "").alias("value"),
+    )
+    # Escaped characters count for nothing; what is left of quoted texts goes by how the piece begins.
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    outside = lambda t: F.regexp_replace(t, r'"[^"]*(?:"|\z)', "")
+    level = lambda t: F.length(F.regexp_replace(t, r"[^{\[]", "")) - F.length(F.regexp_replace(t, r"[^}\]]", ""))
+    near = Window.partitionBy("file", "block").orderBy("row")
+    before = near.rowsBetween(Window.unboundedPreceding, -1)
+    cut = pieces.withColumn("_bare", bare).select(
+        "file", "block", "row", "value",
+        F.length(F.regexp_replace("_bare", '[^"]', "")).alias("quotes"),
+        level(outside(F.col("_bare"))).alias("plain"),
+        level(outside(F.regexp_replace("_bare", r'\A[^"]*(?:"|\z)', ""))).alias("quoted"),
+    )
+    cut = cut.withColumn("_in", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    # What a piece and the brace behind it add to the depth, for a block that begins outside a quoted text or inside one.
+    for name, flip in (("_out0", 0), ("_out1", 1)):
+        inside = (F.col("_in") + flip) % 2 == 1
+        ends_inside = (F.col("_in") + flip + F.col("quotes")) % 2 == 1
+        cut = cut.withColumn(name, F.when(inside, F.col("quoted")).otherwise(F.col("plain")) - F.when(ends_inside, 0).otherwise(1))
+    sums = cut.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("odd"), F.sum("_out0").alias("d0"), F.sum("_out1").alias("d1"))
+    listed = sums.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "odd", "d0", "d1"))).alias("_b"))
+    # A file has few blocks; the state in front of each is a fold over those before it.
+    states = """aggregate(_b, named_struct('at', CAST(array() AS ARRAY<STRUCT<block: BIGINT, odd: BIGINT, depth: BIGINT>>), 'odd', 0L, 'depth', 0L),
+      (s, b) -> named_struct('at', concat(s.at, array(named_struct('block', b.block, 'odd', s.odd, 'depth', s.depth))),
+        'odd', (s.odd + b.odd) % 2, 'depth', s.depth + IF(s.odd = 0, b.d0, b.d1)))"""
+    states = listed.select("file", F.expr(states).alias("_s"))
+    # The last piece has no brace behind it, which was counted all the same.
+    whole = (F.col("_s.odd") == 0) & (F.col("_s.depth") == -1)
+    broken = F.raise_error(F.concat(F.lit("no JSON array of objects: "), F.col("file")))
+    states = states.select("file", F.explode(F.when(whole, F.col("_s.at")).otherwise(broken)).alias("_p"))
+    states = states.select("file", F.col("_p.block").alias("block"), F.col("_p.odd").alias("_odd"), F.col("_p.depth").alias("_depth"))
+    known = cut.join(states, ["file", "block"])
+    step = F.when(F.col("_odd") == 0, F.col("_out0")).otherwise(F.col("_out1"))
+    depth = F.col("_depth") + F.sum(step).over(near.rowsBetween(Window.unboundedPreceding, 0))
+    ends = (depth == 1) & ((F.col("_in") + F.col("_odd") + F.col("quotes")) % 2 == 0)
+    known = materialize(known.select("file", "block", "row", "value", ends.cast("int").alias("_end")), "pieces")
+    far = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = known.groupBy("file", "block").agg(F.sum("_end").alias("_n"))
+    firsts = firsts.select("file", "block", F.coalesce(F.sum("_n").over(far), F.lit(0)).alias("_first"))
+    idx = F.col("_first") + F.coalesce(F.sum("_end").over(before), F.lit(0))
+    numbered = known.join(firsts, ["file", "block"]).withColumn("idx", idx.cast("int"))
+    items = numbered.groupBy("file", "idx").agg(
+        F.array_sort(F.collect_list(F.struct("block", "row", "value"))).alias("_v"), F.max("_end").alias("_whole")
     )
+    text = F.array_join(F.transform("_v", lambda v: v["value"]), "}")
+    lead = F.when(F.col("idx") == 0, r"\[").otherwise(",")
+    tail = F.when(F.col("idx") == 0, r"\A\s*\[\s*\]\s*\z").otherwise(r"\A\s*\]\s*\z")
+    items = items.select("file", "idx", "_whole", text.alias("_t"), lead.alias("_lead"), tail.alias("_tail"))
+    item = F.regexp_extract("_t", r"(?s)\A\s*[\[,]\s*(\{.*)\z", 1)
+    fits = F.when(F.col("_whole") == 1, F.regexp_like("_t", F.concat(F.lit(r"(?s)\A\s*"), F.col("_lead"), F.lit(r"\s*\{.*"))))
+    fits = fits.otherwise(F.regexp_like("_t", F.col("_tail")))
+    checked = items.where(F.when(fits, F.col("_whole") == 1).otherwise(broken.cast("boolean")))
+    return checked.select("file", "idx", F.concat(item, F.lit("}")).alias("item"))
+
+
+def read_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """Scan JSON arrays of function signatures; ``sig_ord`` is the listed order in its file.
+
+    ``variadic`` may be a JSON boolean or the text "True"/"False". A file is split between tasks, see :func:`read_json_array`.
+    """
+    fields = "struct<function_name: string, input_types: array<string>, variadic: string>"
+    rows = read_json_array(spark, path).select(F.from_json("item", fields).alias("s"), F.col("idx").alias("sig_ord"))
     return rows.select(
         "s.function_name",
         "s.input_types",
