@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Every character Python's str.strip() removes.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -34,16 +32,64 @@ def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+def _entity_tables() -> tuple[str, str, str]:
+    """As texts for ``str_to_map``: names that end with a semicolon, those that need none, and code
+    points by number that stand for another character; with a pattern of the second, longest first."""
+    pairs = lambda d: _NEXT.join(f"{k}{_IS}{v}" for k, v in d.items())
+    closed = {k: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    open_ = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
+    # The bytes 80 to 9F are read as that code page has them, where it has them.
+    page = {str(k): v for k in range(0x80, 0xA0) if (v := bytes([k]).decode("cp1252", "ignore"))}
+    return pairs(closed), pairs(open_), pairs(page)
+
+
+# Private-use characters between the entries of a table.
+_IS, _NEXT = "\ue030", "\ue031"
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def unescape(c: Column | str) -> Column:
-    """Decode HTML entities. Only texts with an ampersand travel to Python."""
-    c = _col(c)
-    has_entity = F.contains(c, F.lit("&"))
-    return F.coalesce(F.when(~has_entity, c), _unescape(F.when(has_entity, c)))
+    """Decode HTML entities, by the rules for text in a page: names with or without their semicolon
+    (the longest that is known), decimal and hexadecimal numbers. Texts without an ampersand are left as they are."""
+    closed, open_, page = (F.str_to_map(F.lit(t), F.lit(_NEXT), F.lit(_IS)) for t in _entity_tables())
+    known = "^(?:" + "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True)) + ")"
+
+    def character(n: Column) -> Column:
+        """The character of a code point; those that are no text have none."""
+        byte = F.try_element_at(page, n.cast("string"))
+        control = ((n < 32) & ~n.isin(9, 10, 12, 13)) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        utf32 = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return (
+            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n == 13, "\r")
+            .when(byte.isNotNull(), byte)
+            .when(n.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D), utf32)
+            .when(control, "")
+            .otherwise(utf32)
+        )
+
+    def number(t: Column) -> Column:
+        digits = F.regexp_extract(t, "[0-9a-fA-F]+", 0)
+        # More than ten digits are beyond all characters, whatever they are.
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        base = F.when(F.lower(F.substring(t, 2, 1)) == "x", F.conv(short, 16, 10)).otherwise(short)
+        return let(F.when(F.length(short) > 10, F.lit(0x110000)).otherwise(base.cast("bigint")), character)
+
+    def name(t: Column) -> Column:
+        exact = F.try_element_at(closed, t)
+        prefix = F.regexp_extract(t, known, 0)
+        part = F.concat(F.try_element_at(open_, prefix), F.substr(t, F.length(prefix) + 1))
+        return F.coalesce(exact, F.when(prefix != "", part), F.concat(F.lit("&"), t))
+
+    def decoded(m: Column) -> Column:
+        return F.when(m.startswith("#"), number(m)).otherwise(name(m))
+
+    def all_of(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1))
+        put = F.zip_with(F.split(t, _ENTITY, -1), found, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(decoded(m))))
+        return F.array_join(put, "")
+
+    return let(_col(c), lambda t: F.when(F.contains(t, F.lit("&")), all_of(t)).otherwise(t))
 
 
 def strip_think(c: Column | str, tolerant: bool = False) -> Column:
