@@ -134,24 +134,23 @@ class _Bins:
         return best[1]
 
 
-#: Exchanges the search makes at most. They are counted in patterns, not documents, so the number
-#: needed doesn't grow with the corpus; every packing on the way is whole.
-EXCHANGES = 20_000
+def local_search(bins: Counter[Pattern], width: int) -> Counter[Pattern]:
+    """Raise the sum of squared fills by exchanges until the bound is met or no exchange gains.
 
-
-def local_search(bins: Counter[Pattern], width: int, exchanges: int = EXCHANGES) -> Counter[Pattern]:
-    """Raise the sum of squared fills by exchanges until the bound is met or no exchange gains."""
+    Every exchange raises that sum, so the search ends. It works on patterns of bins, whose number depends
+    on the lengths that occur and not on the corpus.
+    """
     total = sum(sum(p) * n for p, n in bins.items())
     least = -(-total // width)
     state, count = _Bins(bins, width), sum(bins.values())
     gained = True
-    while gained and count > least and exchanges > 0:
+    while gained and count > least:
         gained = False
         heap = [(sum(p), p) for p in state.bins if sum(p) < width]
         heapify(heap)
-        while heap and count > least and exchanges > 0:
+        while heap and count > least:
             _, donor = heappop(heap)
-            while state.bins[donor] and count > least and exchanges > 0 and (found := state.exchange(donor)):
+            while state.bins[donor] and count > least and (found := state.exchange(donor)):
                 other, given, got = found
                 n = state.bins[donor] // 2 if other == donor else min(state.bins[donor], state.bins[other])
                 state.drop(donor, n)
@@ -160,7 +159,7 @@ def local_search(bins: Counter[Pattern], width: int, exchanges: int = EXCHANGES)
                 state.add(rest, n)
                 state.add(_without(other, given, got), n)
                 count -= n * (not rest)
-                gained, exchanges = True, exchanges - 1
+                gained = True
                 if rest:
                     heappush(heap, (sum(rest), rest))
     return state.bins

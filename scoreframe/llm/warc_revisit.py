@@ -162,7 +162,8 @@ def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
 
     kind = pa.schema([(k, pa.int64() if k == "payload_bytes" else pa.string()) for k in (
         "record_id", "record_type", "page_id", "payload_bytes", "payload_digest", "refers_to")])
-    files = manifest.select("archive").repartition("archive")
+    # An explicit number: a few paths would else end up in one task, whatever their archives hold.
+    files = manifest.select("archive").repartition(max(manifest.count(), 1))
     found = files.mapInArrow(run, RECORD.format(id="string"))
     return found.withColumn("page_id", F.col("page_id").cast(id_type))
 
@@ -170,8 +171,11 @@ def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """The records with ``refers_to`` as the id of the response's page; revisits of unknown records raise no error but get null."""
     records = stored(records, "records")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     first = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("page_id").alias("to_page")
     )
-    found = records.join(first, "refers_to", "left")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("to_page").alias("refers_to"))
+    # Records that refer to nothing stay out of the join, where they would all have one key.
+    found = records.where("refers_to IS NOT NULL").join(first, "refers_to", "left").select(*names, F.col("to_page").alias("refers_to"))
+    alone = records.where("refers_to IS NULL").select(*names, F.lit(None).cast(records.schema["page_id"].dataType).alias("refers_to"))
+    return found.unionByName(alone)
