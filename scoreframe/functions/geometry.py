@@ -327,9 +327,9 @@ _SHAPE = sql_let(
         "array(flatten({points}), flatten({lines}), flatten({rings}))",
         "all",
         "IF({c} IS NULL OR exists(flatten(all), p -> p.x IS NULL OR p.y IS NULL), NULL, concat_ws('/', string(sort_array(array_distinct(get(all, 0)))), "
-        + sql_let("flatten(transform({lines}, s -> {stretches}))", "es", f"string({_UNION})")
+        + f"IF(size(get(all, 1)) = 0, '[]', {sql_let('flatten(transform({lines}, s -> {stretches}))', 'es', f'string({_UNION})')})"
         + ", "
-        + sql_let("flatten(transform({rings}, s -> {stretches}))", "es", f"string({_BORDER})")
+        + f"IF(size(get(all, 2)) = 0, '[]', {sql_let('flatten(transform({rings}, s -> {stretches}))', 'es', f'string({_BORDER})')})"
         + "))",
     ),
 )
