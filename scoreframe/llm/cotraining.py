@@ -5,8 +5,10 @@ Two classifiers see different things of a document: its words and shape, and its
 several rounds each labels the unlabelled documents it is surest of, for the other to learn from.
 Both are then calibrated on labelled documents that neither has seen, and their log odds are added.
 
-At scale: the classifiers are fitted on a bounded sample (``LABELLED`` and ``UNLABELLED`` rows, chosen
-by hashes); all documents are scored, whole, in their tasks with broadcast weights. Only ids,
+At scale: every round scores all unlabelled documents, whole, in their tasks with broadcast weights.
+A histogram over all of them says where a view's surest share begins; the share grows with the rounds.
+Of the documents beyond it and of the labelled ones a bounded number, chosen by hashes, is fitted
+(``LABELLED``, and ``TAUGHT`` per view and round; a row's text view has at most ``WORDS + 8`` entries). Only ids,
 metadata and one number per document meet the page table in a shuffle, never texts.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm.common import LOWER_BYTES, stored, texts
 from scoreframe.llm.decontaminate import word_hashes
-from scoreframe.llm.linear import Sparse, ftrl, logits, softmax, temperature
+from scoreframe.llm.linear import Sparse, ftrl, logits, temperature
 from scoreframe.llm.url_rules import tokens as url_tokens
 
-#: Rows of the fitting sample, at most.
-LABELLED, UNLABELLED = 4000, 6000
+#: Rows that are fitted, at most: labelled ones, and qualified ones that a view teaches the other in a round.
+LABELLED, TAUGHT = 4000, 3000
+#: Rounds, and the share of all unlabelled documents that a view teaches in the first; round k takes k times that.
 ROUNDS, TEACH = 3, 0.05
+#: Steps of the histogram per unit of log odds, and where it ends.
+STEPS, END = 16, 40
 WORDS, SHAPES, META = 1 << 14, 64, 1 << 12
 #: Byte classes whose shares describe a text's shape; fixed values.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"|", b"#$%&*+<=>@^_~{}[]\\/", b"\n", b".,;:", b" "]
@@ -94,10 +100,13 @@ class Model:
     meta: View
     prior: float
 
-    def score(self, text_odds: float, meta_odds: float) -> float:
+    def score(self, text_odds: Column, meta_odds: Column) -> Column:
         """Both views' calibrated log odds, the prior that both hold counted once."""
-        z = np.clip(text_odds + meta_odds - self.prior, -500, 500)
-        return float(1 / (1 + np.exp(-z)))
+        return sigmoid(text_odds + meta_odds - self.prior)
+
+
+def sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
 
 
 def _fit(x: Sparse, y: np.ndarray, share: np.ndarray, dims: int) -> View:
@@ -105,76 +114,168 @@ def _fit(x: Sparse, y: np.ndarray, share: np.ndarray, dims: int) -> View:
     return View(w, bias)
 
 
-def _surest(p: np.ndarray, free: np.ndarray, good_share: float, teach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows a view teaches: its surest of both classes, in the proportion of the labels."""
-    rows = np.flatnonzero(free)
-    n = max(int(len(rows) * teach), 2)
-    ranked = rows[np.argsort(p[rows], kind="stable")]
-    good = max(int(round(n * good_share)), 1)
-    bad = max(n - good, 1)
-    low, high = ranked[:bad], ranked[::-1][:good]
-    low, high = low[p[low] < 0.5], high[p[high] > 0.5]
-    return np.concatenate([low, high]), np.concatenate([np.zeros(len(low), np.int64), np.ones(len(high), np.int64)])
+def step(odds: Column) -> Column:
+    return F.floor(F.greatest(F.least(odds, F.lit(END)), F.lit(-END)) * STEPS).cast("int")
 
 
-def cotrain(
-    views: tuple[Sparse, Sparse], label: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS, teach: float = TEACH
-) -> Model:
-    """``label`` is -1 where unknown; ``aside`` marks labelled rows kept for calibration."""
-    dims = (WORDS + SHAPES, META)
-    known = (label >= 0) & ~aside
-    good = float(np.clip(label[known].mean() if known.any() else 0.5, 0.01, 0.99))
-    taught = [np.where(known, label, -1) for _ in views]
-    fitted = []
-    for k in range(rounds + 1):
-        fitted = []
-        for x, y, d in zip(views, taught, dims, strict=True):
-            rows = np.flatnonzero(y >= 0)
-            share = np.where(known[rows], 1.0, 0.3)
-            fitted.append(_fit(x.take(rows), y[rows], share, d))
-        if k == rounds:
-            break
-        for me, other in ((0, 1), (1, 0)):
-            p = softmax(logits(views[me], fitted[me].weights, fitted[me].bias))[:, 1]
-            rows, y = _surest(p, (label < 0) & (taught[other] < 0), good, teach)
-            taught[other][rows] = y
-    test = np.flatnonzero(aside)
-    for x, view in zip(views, fitted, strict=True):
-        view.heat = temperature(logits(x.take(test), view.weights, view.bias), label[test])
-    return Model(fitted[0], fitted[1], float(np.log(good / (1 - good))))
+def cut_offs(counts: dict[int, int], good_share: float, teach: float) -> tuple[int | None, int | None]:
+    """The last step of a view's surest rejections and the first of its surest approvals.
 
+    ``counts`` are all unlabelled documents by step. Both ends hold their part of the share ``teach``, in the
+    proportion of the labels, in whole steps on their side of even odds; an end without rows is None.
+    """
+    n = max(int(sum(counts.values()) * teach), 2)
+    good = max(round(n * good_share), 1)
 
-def _sample(rows: DataFrame, labels: DataFrame, most: tuple[int, int]) -> list:
-    """Both views of a bounded sample: rows by the order of a hash, labelled and not."""
-    known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
-    known = known.agg(F.max("quality").cast("int").alias("label"))
-    ids = rows.select("_id").where("_id IS NOT NULL").distinct().join(known, "_id", "left")
-    ids = ids.withColumn("rank", F.xxhash64("_id"))
-    parts = [
-        ids.where(cond).orderBy("rank", "_id").limit(n)
-        for cond, n in (("label IS NOT NULL", most[0]), ("label IS NULL", most[1]))
-    ]
-    chosen = stored(parts[0].unionByName(parts[1]), "sample")
-    # Of rows that share an id one is used, so that the sample stays bounded.
-    picked = rows.join(F.broadcast(chosen), "_id").select("_id", "label", "rank", "meta", "text")
+    def walk(steps: list[int], most: int) -> int | None:
+        at, seen = None, 0
+        for k in steps:
+            if seen >= most:
+                break
+            at, seen = k, seen + counts[k]
+        return at
+
+    low = walk(sorted(k for k in counts if k < 0), max(n - good, 1))
+    return low, walk(sorted((k for k in counts if k >= 0), reverse=True), good)
+
+
+def surest(pool: DataFrame, good_share: float, teach: float, most: int = TAUGHT) -> DataFrame:
+    """``_id, rank, text_y, meta_y``: the labels that the text view and the meta view teach, null where a view teaches none.
+
+    ``pool`` has ``_id, text_odds, meta_odds`` of all unlabelled documents. Of those that qualify, at
+    most ``most`` per view are kept, by a hash, both classes in the proportion of the labels.
+    """
+    pool = pool.where("_id IS NOT NULL").withColumn("rank", F.xxhash64("_id"))
+    views = ("text", "meta")
+    table = reduce(DataFrame.unionByName, [pool.select(F.lit(v).alias("view"), step(F.col(f"{v}_odds")).alias("step")) for v in views])
+    table = table.groupBy("view", "step").count().collect()
+    parts = []
+    for v in views:
+        odds = F.col(f"{v}_odds")
+        low, high = cut_offs({r["step"]: r["count"] for r in table if r["view"] == v}, good_share, teach)
+        good = min(max(round(most * good_share), 1), most - 1)
+        ends = ((0, low, (odds < 0) & (step(odds) <= F.lit(low)), most - good), (1, high, (odds > 0) & (step(odds) >= F.lit(high)), good))
+        for y, end, beyond, n in ends:
+            labels = [F.lit(y if w == v else None).cast("int").alias(f"{w}_y") for w in views]
+            if end is not None:
+                # Rows that share an id are one.
+                ids = pool.where(beyond).groupBy("_id", "rank").agg(F.lit(None))
+                parts.append(ids.orderBy("rank", "_id").limit(n).select("_id", "rank", *labels))
+    if not parts:
+        return pool.select("_id", "rank", F.lit(0).alias("text_y"), F.lit(0).alias("meta_y")).limit(0)
+    return reduce(DataFrame.unionByName, parts).groupBy("_id", "rank").agg(F.max("text_y").alias("text_y"), F.max("meta_y").alias("meta_y"))
+
+
+def _labelled(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """A bounded number of labelled rows, by the order of a hash."""
+    ids = rows.select("_id").join(known, "_id").groupBy("_id").agg(F.max("label").alias("label"))
+    ids = ids.withColumn("rank", F.xxhash64("_id")).orderBy("rank", "_id").limit(most)
+    return ids.select("_id", "rank", F.col("label").alias("text_y"), F.col("label").alias("meta_y"))
+
+
+@dataclass
+class Rows:
+    """Fitting rows: both views, and the label each view gives or has."""
+
+    text: Sparse
+    meta: Sparse
+    text_y: np.ndarray
+    meta_y: np.ndarray
+
+
+def gather(rows: DataFrame, extra: DataFrame, chosen: DataFrame) -> Rows:
+    """Both views of a bounded number of rows, in the order of their ranks; of rows that share an id one is used."""
+    chosen = stored(chosen, "chosen")
+    picked = rows.join(F.broadcast(chosen), "_id").select("_id", "rank", "text_y", "meta_y", _buckets(F.col("own")).alias("meta"), "text")
+    names = ["_id", "rank", "text_y", "meta_y", "meta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_view(t) for t in texts(batch.column("text"))]
             idx = pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary())
             val = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
-            columns = [batch.column(c) for c in ("_id", "label", "rank", "meta")]
-            yield pa.RecordBatch.from_arrays([*columns, idx, val], ["_id", "label", "rank", "meta", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), idx, val], [*names, "idx", "val"])
 
     kind = picked.schema["_id"].dataType.simpleString()
-    views = picked.mapInArrow(run, f"_id {kind}, label int, rank long, meta array<int>, idx binary, val binary")
-    one = views.groupBy("_id").agg(F.min(F.struct("rank", "label", "meta", "idx", "val")).alias("v"))
-    return one.select("v.*").orderBy("rank").collect()
+    views = picked.mapInArrow(run, f"_id {kind}, rank long, text_y int, meta_y int, meta array<int>, idx binary, val binary")
+    one = views.groupBy("_id").agg(F.min(F.struct("rank", "text_y", "meta_y", "meta", "idx", "val")).alias("v"))
+    found = one.select("v.*").orderBy("rank").collect()
+    pages = extra.join(F.broadcast(chosen.select(F.col("_id").alias("_page"), "rank")), "_page")
+    page_of = {r["rank"]: r["b"] for r in pages.select("rank", _buckets(F.col("_page_tokens")).alias("b")).collect()}
+    ys = [np.array([-1 if r[c] is None else r[c] for r in found], np.int64) for c in ("text_y", "meta_y")]
+    text = Sparse.of([(np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], "<f4").astype(float)) for r in found])
+    return Rows(text, Sparse.of([meta_view([*r["meta"], *page_of.get(r["rank"], [])]) for r in found]), *ys)
+
+
+def fit_views(known: Rows, aside: np.ndarray, taught: Rows | None) -> tuple[View, View]:
+    """Each view on the labelled rows not set aside and on what the other one taught, which counts less."""
+    own, fitted = np.flatnonzero(~aside), []
+    for x, y, more, lessons, dims in (
+        (known.text, known.text_y, taught and taught.text, taught and taught.meta_y, WORDS + SHAPES),
+        (known.meta, known.meta_y, taught and taught.meta, taught and taught.text_y, META),
+    ):
+        rows, label, share = x.take(own), y[own], np.ones(len(own))
+        if taught is not None:
+            given = np.flatnonzero(lessons >= 0)
+            rows = Sparse.of([rows.row(k) for k in range(len(rows))] + [more.row(k) for k in given.tolist()])
+            label, share = np.concatenate([label, lessons[given]]), np.concatenate([share, np.full(len(given), 0.3)])
+        fitted.append(_fit(rows, label, share, dims))
+    return fitted[0], fitted[1]
+
+
+def both_odds(rows: DataFrame, extra: DataFrame, views: tuple[View, View] | None) -> DataFrame:
+    """``_id, text_odds, meta_odds`` of every row of whole texts; without views all are even."""
+    shared = rows.sparkSession.sparkContext.broadcast(views)
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = shared.value
+            odds = [v[0].odds(text_view(t)) if v else 0.0 for t in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("own"), pa.array(odds, pa.float64())], ["_id", "own", "text_odds"]
+            )
+
+    def by_meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = shared.value
+            odds = [v[1].odds(meta_view(b)) if v else 0.0 for b in batch.column("meta").to_pylist()]
+            columns = [batch.column("_id"), batch.column("text_odds"), pa.array(odds, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "text_odds", "meta_odds"])
+
+    scored = rows.mapInArrow(by_text, f"_id {kind}, own array<string>, text_odds double")
+    both = _buckets(F.concat("own", F.coalesce("_page_tokens", F.array().cast("array<string>"))))
+    joined = scored.join(extra, scored["_id"] == extra["_page"], "left").select("_id", "text_odds", both.alias("meta"))
+    return joined.mapInArrow(by_meta, f"_id {kind}, text_odds double, meta_odds double")
+
+
+def cotrain(
+    rows: DataFrame, extra: DataFrame, labels: DataFrame, rounds: int = ROUNDS, teach: float = TEACH,
+    labelled: int = LABELLED, taught: int = TAUGHT,
+) -> Model | None:
+    """Fitted and calibrated views; None without labels of both classes. ``rows`` has ``_id, own, text``."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    known = known.agg(F.max("quality").cast("int").alias("label"))
+    own = gather(rows, extra, _labelled(rows, known, labelled))
+    if len({*own.text_y.tolist()}) < 2:
+        return None
+    aside = np.arange(1, len(own.text_y) + 1) % 5 == 0
+    left = own.text_y[~aside]
+    good = float(np.clip(left.mean(), 0.01, 0.99))
+    free = rows.join(known, "_id", "left_anti")
+    views = fit_views(own, aside, None)
+    for k in range(rounds):
+        pool = stored(both_odds(free, extra, views), "pool")
+        views = fit_views(own, aside, gather(rows, extra, surest(pool, good, min(teach * (k + 1), 0.5), taught)))
+    test = np.flatnonzero(aside)
+    for x, view in zip((own.text, own.meta), views, strict=True):
+        view.heat = temperature(logits(x.take(test), view.weights, view.bias), own.text_y[test])
+    return Model(*views, float(np.log(good / (1 - good))))
 
 
 def score(
     docs: DataFrame, labels: DataFrame, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    rounds: int = ROUNDS, labelled: int = LABELLED, unlabelled: int = UNLABELLED,
+    rounds: int = ROUNDS, labelled: int = LABELLED, taught: int = TAUGHT,
 ) -> DataFrame:
     """One row per document: ``doc_id, score_text, score_meta, score, keep`` (score of 0.5 or more).
 
@@ -183,48 +284,12 @@ def score(
     Repeated rows get equal scores; other columns are not read.
     """
     rows = docs.select(
-        docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text"), _own_tokens(docs, text_col).alias("own")
+        docs[id_col].alias("_id"), _own_tokens(docs, text_col).alias("own"), docs[text_col].cast("string").alias("text")
     )
     extra = stored(page_tokens(pages), "page_meta")
-    ids = rows.select("_id", "own", "text")
-    both = F.concat("own", F.coalesce("_page_tokens", F.array().cast("array<string>")))
-    # Texts stay where they are: the sample is joined to the page metadata by its few ids.
-    sample_rows = ids.withColumn("meta", _buckets(F.col("own")))
-    sample = _sample(sample_rows, labels, (labelled, unlabelled))
-    wanted = docs.sparkSession.createDataFrame([(r["rank"],) for r in sample], "rank long")
-    page_of = extra.withColumn("rank", F.xxhash64("_page")).join(F.broadcast(wanted), "rank")
-    page_of = {r["rank"]: r["b"] for r in page_of.select("rank", _buckets(F.col("_page_tokens")).alias("b")).collect()}
-    label = np.array([-1 if r["label"] is None else r["label"] for r in sample], np.int64)
-    model = None
-    if len({*label[label >= 0].tolist()}) == 2:
-        text = Sparse.of([(np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], "<f4").astype(float)) for r in sample])
-        meta = Sparse.of([meta_view([*r["meta"], *page_of.get(r["rank"], [])]) for r in sample])
-        order = np.cumsum(label >= 0)
-        model = cotrain((text, meta), label, (label >= 0) & (order % 5 == 0), rounds)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["_id"].dataType.simpleString()
-
-    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = shared.value
-            odds = [m.text.odds(text_view(t)) if m else 0.0 for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("own"), pa.array(odds, pa.float64())], ["_id", "own", "odds"]
-            )
-
-    def by_meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigmoid = lambda z: float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-        for batch in batches:
-            m, odds = shared.value, batch.column("odds").to_pylist()
-            other = [m.meta.odds(meta_view(b)) if m else 0.0 for b in batch.column("meta").to_pylist()]
-            total = [m.score(a, b) if m else 0.5 for a, b in zip(odds, other, strict=True)]
-            columns = [[sigmoid(z) for z in odds], [sigmoid(z) for z in other], total]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), *(pa.array(c, pa.float64()) for c in columns)],
-                ["doc_id", "score_text", "score_meta", "score"],
-            )
-
-    scored = rows.mapInArrow(by_text, f"_id {kind}, own array<string>, odds double")
-    joined = scored.join(extra, scored["_id"] == extra["_page"], "left").select("_id", "odds", _buckets(both).alias("meta"))
-    out = joined.mapInArrow(by_meta, f"doc_id {kind}, score_text double, score_meta double, score double")
+    model = cotrain(rows, extra, labels, rounds, TEACH, labelled, taught)
+    odds = both_odds(rows, extra, (model.text, model.meta) if model else None)
+    text, meta = F.col("text_odds"), F.col("meta_odds")
+    total = model.score(text, meta) if model else F.lit(0.5)
+    out = odds.select(F.col("_id").alias("doc_id"), sigmoid(text).alias("score_text"), sigmoid(meta).alias("score_meta"), total.alias("score"))
     return out.withColumn("keep", F.col("score") >= 0.5)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scoreframe.llm import cotraining
 from scoreframe.llm.linear import Sparse
@@ -31,21 +32,74 @@ def test_scores(spark):
     assert all(0 <= g.score <= 1 for g in got)
 
 
-def test_rounds_teach_the_weaker_view():
-    """The text view has labels enough, the other view learns most from what it is taught."""
-    r = np.random.default_rng(2)
-    n = 600
-    y = r.integers(0, 2, n)
-    text = Sparse.of([(np.array([y[k], 2 + r.integers(0, 30)]), np.ones(2)) for k in range(n)])
-    meta = Sparse.of([(np.array([10 * y[k] + r.integers(0, 10)]), np.ones(1)) for k in range(n)])
-    label = np.where(np.arange(n) < 24, y, -1)
-    aside = (np.arange(n) < 24) & (np.arange(n) % 4 == 0)
+def brute_cut_offs(odds, good_share, teach):
+    """Rows beyond the cut-offs, from the sorted odds themselves."""
+    n = max(int(len(odds) * teach), 2)
+    good = max(round(n * good_share), 1)
+    of = lambda z: int(np.floor(np.clip(z, -cotraining.END, cotraining.END) * cotraining.STEPS))
+    low = sorted(z for z in odds if of(z) < 0)[: max(n - good, 1)]
+    high = sorted((z for z in odds if of(z) >= 0), reverse=True)[:good]
+    return (
+        {k for k, z in enumerate(odds) if low and z < 0 and of(z) <= of(low[-1])},
+        {k for k, z in enumerate(odds) if high and z > 0 and of(z) >= of(high[-1])},
+    )
+
+
+def test_surest_by_brute_force(spark):
+    """Every unlabelled row has a say in the cut-offs; the bound holds only for what is fitted."""
+    r = np.random.default_rng(5)
+    text, meta = r.normal(0.5, 2, 900), np.round(r.normal(-1, 1, 900), 1)
+    pool = spark.createDataFrame([(k, float(text[k]), float(meta[k])) for k in range(900)], "_id long, text_odds double, meta_odds double")
+    for share, teach in ((0.7, 0.1), (0.1, 0.4), (0.5, 0.001)):
+        got = cotraining.surest(pool.repartition(5), share, teach, 100_000).collect()
+        for view, odds in (("text_y", text), ("meta_y", meta)):
+            low, high = brute_cut_offs(odds.tolist(), share, teach)
+            assert {g["_id"] for g in got if g[view] == 0} == low and {g["_id"] for g in got if g[view] == 1} == high
+    some = cotraining.surest(pool, 0.7, 0.2, 20).collect()
+    assert 20 <= len(some) <= 40
+    assert sum(g.text_y == 1 for g in some) == 14 and sum(g.text_y == 0 for g in some) == 6
+    one_sided = pool.select("_id", F.lit(0.0).alias("text_odds"), F.lit(3.0).alias("meta_odds"))
+    assert {(g.text_y, g.meta_y) for g in cotraining.surest(one_sided, 0.5, 0.1, 50).collect()} == {(None, 1)}
+    assert cotraining.surest(pool.limit(0), 0.5, 0.1).count() == 0
+
+
+def test_one_round_by_hand():
+    """Views learn from labelled rows that aren't set aside and from the other's lessons, not from their own."""
+    text = Sparse.of([(np.array([k % 2]), np.ones(1)) for k in range(20)])
+    meta = Sparse.of([(np.array([10 + k % 2]), np.ones(1)) for k in range(20)])
+    y = np.arange(20) % 2
+    known, aside = cotraining.Rows(text, meta, y, y), np.arange(20) >= 16
+    text_lessons, meta_lessons = np.array([1, -1, 0]), np.array([-1, 0, 0])
+    more = Sparse.of([(np.array([30 + k]), np.ones(1)) for k in range(3)])
+    taught = cotraining.Rows(more, more, text_lessons, meta_lessons)
+    views = cotraining.fit_views(known, aside, taught)
+    # The text view is taught by the meta view's labels, with a weight of 0.3.
+    for view, x, own, dims in ((views[0], text, meta_lessons, cotraining.WORDS + cotraining.SHAPES), (views[1], meta, text_lessons, cotraining.META)):
+        rows = [x.row(k) for k in range(16)] + [more.row(k) for k in range(3) if own[k] >= 0]
+        want = cotraining._fit(Sparse.of(rows), np.r_[y[:16], own[own >= 0]], np.r_[np.ones(16), np.full((own >= 0).sum(), 0.3)], dims)
+        assert np.array_equal(view.weights, want.weights) and np.array_equal(view.bias, want.bias)
+        # A row that only the other view didn't teach leaves no weight.
+        assert all((np.abs(view.weights[30 + k]).max() > 0) <= (own[k] >= 0) for k in range(3))
+
+
+def test_rounds_teach_the_weaker_view(spark):
+    """Metadata too varied for the few labels is learnt from what the text view teaches."""
+    r = random.Random(3)
+    docs, labels, truth = [], [], {}
+    for k in range(1200):
+        truth[k] = r.random() < 0.5
+        text = " ".join(r.choice(["calm", "plain"] if truth[k] else ["buy", "now"]) for _ in range(8))
+        docs.append((k, text, f"s{2 * r.randrange(20) + truth[k]}"))
+        if k < 40:
+            labels.append((k, int(truth[k]), 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
     right = []
-    for rounds in (0, 4):
-        m = cotraining.cotrain((text, meta), label, aside, rounds=rounds, teach=0.2)
-        odds = np.array([m.meta.odds(meta.row(k)) for k in range(24, n)])
-        right.append(((odds > 0) == y[24:]).mean())
-    assert right[1] >= right[0] and right[1] > 0.95
+    for rounds in (0, 3):
+        got = cotraining.score(df, known, pages, rounds=rounds).collect()
+        right.append(np.mean([(g.score_meta > 0.5) == truth[g.doc_id] for g in got if g.doc_id >= 40]))
+    assert right[1] > 0.9 and right[1] > right[0] + 0.1
 
 
 def test_awkward(spark):
