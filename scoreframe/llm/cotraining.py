@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreframe.llm.common import LOWER_BYTES, stored, texts
@@ -56,6 +56,9 @@ def text_view(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([idx, shape]), np.concatenate([val, np.full(len(shape), 0.5)])
 
 
+_NOTHING = np.empty(0, np.int64), np.empty(0)
+
+
 def meta_view(buckets: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
     idx = np.unique(np.array(buckets or [], np.int64))
     return idx, np.full(len(idx), 1 / max(np.sqrt(len(idx)), 1))
@@ -149,21 +152,22 @@ def surest(pool: DataFrame, good_share: float, teach: float, most: int = TAUGHT)
     views = ("text", "meta")
     table = reduce(DataFrame.unionByName, [pool.select(F.lit(v).alias("view"), step(F.col(f"{v}_odds")).alias("step")) for v in views])
     table = table.groupBy("view", "step").count().collect()
-    parts = []
+    taught = []
     for v in views:
         odds = F.col(f"{v}_odds")
         low, high = cut_offs({r["step"]: r["count"] for r in table if r["view"] == v}, good_share, teach)
         good = min(max(round(most * good_share), 1), most - 1)
-        ends = ((0, low, (odds < 0) & (step(odds) <= F.lit(low)), most - good), (1, high, (odds > 0) & (step(odds) >= F.lit(high)), good))
-        for y, end, beyond, n in ends:
-            labels = [F.lit(y if w == v else None).cast("int").alias(f"{w}_y") for w in views]
+        for y, end, beyond, n in ((0, low, (odds < 0) & (step(odds) <= F.lit(low)), most - good), (1, high, (odds > 0) & (step(odds) >= F.lit(high)), good)):
             if end is not None:
-                # Rows that share an id are one.
-                ids = pool.where(beyond).groupBy("_id", "rank").agg(F.lit(None))
-                parts.append(ids.orderBy("rank", "_id").limit(n).select("_id", "rank", *labels))
-    if not parts:
-        return pool.select("_id", "rank", F.lit(0).alias("text_y"), F.lit(0).alias("meta_y")).limit(0)
-    return reduce(DataFrame.unionByName, parts).groupBy("_id", "rank").agg(F.max("text_y").alias("text_y"), F.max("meta_y").alias("meta_y"))
+                taught.append(F.when(beyond, F.struct(F.lit(v).alias("view"), F.lit(y).alias("y"), F.lit(n).alias("n"))))
+    kind = "array<struct<view:string,y:int,n:int>>"
+    given = F.array_compact(F.array(*taught)) if taught else F.array()
+    # Rows that share an id are one. Spark applies the limit in the map tasks too, so a class sends n rows per task.
+    rows = pool.select("_id", "rank", F.inline(given.cast(kind))).groupBy("view", "y", "n", "_id", "rank").agg(F.lit(None))
+    place = F.row_number().over(Window.partitionBy("view", "y").orderBy("rank", "_id"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= F.lit(most)).where("place <= n")
+    labels = [F.max(F.when(F.col("view") == v, F.col("y"))).alias(f"{v}_y") for v in views]
+    return rows.groupBy("_id", "rank").agg(*labels)
 
 
 def _labelled(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:
@@ -175,7 +179,7 @@ def _labelled(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:
 
 @dataclass
 class Rows:
-    """Fitting rows: both views, and the label each view gives or has."""
+    """Fitting rows: both views, and the label each view gives or has (-1: none). Without the meta view's label the text view is empty."""
 
     text: Sparse
     meta: Sparse
@@ -191,7 +195,9 @@ def gather(rows: DataFrame, extra: DataFrame, chosen: DataFrame) -> Rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_view(t) for t in texts(batch.column("text"))]
+            # The text view learns from the meta view's labels; other rows need no text here.
+            wanted = batch.column("meta_y").is_valid().to_pylist()
+            found = [text_view(t) if w else _NOTHING for t, w in zip(texts(batch.column("text")), wanted, strict=True)]
             idx = pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary())
             val = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), idx, val], [*names, "idx", "val"])
@@ -199,12 +205,19 @@ def gather(rows: DataFrame, extra: DataFrame, chosen: DataFrame) -> Rows:
     kind = picked.schema["_id"].dataType.simpleString()
     views = picked.mapInArrow(run, f"_id {kind}, rank long, text_y int, meta_y int, meta array<int>, idx binary, val binary")
     one = views.groupBy("_id").agg(F.min(F.struct("rank", "text_y", "meta_y", "meta", "idx", "val")).alias("v"))
-    found = one.select("v.*").orderBy("rank").collect()
     pages = extra.join(F.broadcast(chosen.select(F.col("_id").alias("_page"), "rank")), "_page")
     page_of = {r["rank"]: r["b"] for r in pages.select("rank", _buckets(F.col("_page_tokens")).alias("b")).collect()}
-    ys = [np.array([-1 if r[c] is None else r[c] for r in found], np.int64) for c in ("text_y", "meta_y")]
-    text = Sparse.of([(np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], "<f4").astype(float)) for r in found])
-    return Rows(text, Sparse.of([meta_view([*r["meta"], *page_of.get(r["rank"], [])]) for r in found]), *ys)
+    ys, ptr, idx, val, meta = ([], []), [0], bytearray(), bytearray(), []
+    # One part of the rows at a time, so that the driver holds them once.
+    for r in one.select("v.*").orderBy("rank").toLocalIterator():
+        idx += r["idx"]
+        val += r["val"]
+        ptr.append(len(idx) // 4)
+        meta.append(meta_view([*r["meta"], *page_of.get(r["rank"], [])]))
+        for y, c in zip(ys, ("text_y", "meta_y"), strict=True):
+            y.append(-1 if r[c] is None else r[c])
+    text = Sparse(np.array(ptr), np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f4"))
+    return Rows(text, Sparse.of(meta), *[np.array(y, np.int64) for y in ys])
 
 
 def fit_views(known: Rows, aside: np.ndarray, taught: Rows | None) -> tuple[View, View]:
