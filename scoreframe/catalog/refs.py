@@ -138,12 +138,16 @@ LAST_PRED = f"""SELECT model, id, arg_max(lower(t1), ord) AS t1, arg_max(trim(c1
 def _pred_refs(spark, sf):
     from .registry import spark_sql
 
-    rows = spark_sql(spark, sf, PRED_REFS)
+    # Where a record lies in its table settles equal orders: the first one counts, as in the SQL.
+    placed = PRED_REFS.replace(" FROM @", ", _metadata.file_path AS file, _metadata.row_index AS place FROM @")
+    rows = spark_sql(spark, sf, placed)
     none = F.array().cast("array<string>")
     return rows.select(
         "model",
         "id",
         "ord",
+        "file",
+        "place",
         F.array(
             F.struct(F.col("t1").alias("table"), F.when(F.col("blank"), none).otherwise(F.array("c1", F.lit(" c9 "))).alias("columns")),
             F.struct(F.col("t2").alias("table"), none.alias("columns")),
@@ -177,7 +181,7 @@ def _hits(spark, sf, strict):
         "id",
         F.array(F.struct(F.col("t1").alias("table"), F.array("c1", "c2").alias("columns"))).alias("tables"),
     )
-    return R.hit_rates(_pred_refs(spark, sf), gold, ord_col="ord", strict=strict)
+    return R.hit_rates(_pred_refs(spark, sf), gold, ord_col="ord", strict=strict, ties=("file", "place"))
 
 
 @query("hit_rates", "O108", _hit_sql("NOT p.blank"))

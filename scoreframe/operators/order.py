@@ -92,9 +92,9 @@ def dedup_first(
     )
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], ord_col: str = "ord") -> DataFrame:
-    """Last row per key; rows with a null key are dropped."""
-    w = Window.partitionBy(*keys).orderBy(F.col(ord_col).desc())
+def last_per_key(df: DataFrame, keys: Sequence[str], ord_col: str = "ord", ties: Sequence[str] = ()) -> DataFrame:
+    """Last row per key; rows with a null key are dropped. Of rows that tie, the least by ``ties`` stays."""
+    w = Window.partitionBy(*keys).orderBy(F.col(ord_col).desc(), *ties)
     return (
         df.dropna(subset=list(keys))
         .withColumn("_rn", F.row_number().over(w))

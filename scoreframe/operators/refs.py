@@ -189,14 +189,16 @@ def hit_rates(
     key: str = "id",
     ord_col: str | None = None,
     strict: bool = False,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Micro-averaged recall of gold tables and columns over the matched ids.
 
     Ids without predicted references are skipped; ``strict`` counts them as misses. With
-    ``ord_col`` the last record of (by, key) counts. Gold has one record per id.
+    ``ord_col`` the last record of (by, key) counts, of equal ones the least by ``ties``. Gold has
+    one record per id.
     """
     if ord_col:
-        pred = last_per_key(pred, [*by, key], ord_col)
+        pred = last_per_key(pred, [*by, key], ord_col, ties)
     tables = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p["table"]))
     p = pred.select(*by, key, S.ref_pairs("tables").alias("_p"))
     g = gold.select(key, S.ref_pairs("tables").alias("_g"))

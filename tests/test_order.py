@@ -47,6 +47,14 @@ def test_last_per_key(spark):
     assert {(r[0], r[1]): r[5] for r in got} == want
 
 
+def test_last_per_key_settles_ties(spark):
+    """Of rows of one order the least by ``ties`` stays, whichever way they come."""
+    data = [("m", 1, 5, k) for k in range(20)]
+    for rows in (data, data[::-1]):
+        df = spark.createDataFrame(rows, "model string, id int, ord int, place int").coalesce(1)
+        assert [r.place for r in R.last_per_key(df, ["model", "id"], "ord", ["place"]).collect()] == [0]
+
+
 def test_running_index_and_sortedness_across_stretches(spark):
     data = rows()
     df = spark.createDataFrame(data, DDL).repartition(6)
