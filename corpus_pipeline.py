@@ -26,8 +26,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group joined by links of five-word Jaccard similarity 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group joined by SimHash fingerprints of at most two differing bits, or by
+    links of five-word Jaccard similarity 0.8 or more."""
+    return near_copies.drop_simhash_and_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm.common import LOWER_BYTES, segments, stored, texts
+from scoreframe.llm import simhash_index
 from scoreframe.llm.simhash_index import SEED, SPACES, _hashes, joined, keep_least
 
 WIDTH = 5
@@ -61,8 +62,11 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, digest, keys`` per row; ``fp`` names the set of shingles, one without words has no keys."""
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: bool = False) -> DataFrame:
+    """``doc_id, fp, digest, keys`` per row; ``fp`` names the set of shingles, one without words has no keys.
+
+    ``prints`` adds ``print``, the SimHash fingerprint, from the same reading of the texts.
+    """
     rows = docs.select(
         docs[id_col].alias("doc_id"),
         F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("digest"),
@@ -72,9 +76,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, marks = [], [], []
             for t in texts(batch.column("text")):
                 h = shingles(t)
+                if prints:
+                    marks.append(simhash_index.fingerprint(t))
                 nodes.append(_node(h))
                 keys.append(band_keys(h))
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
@@ -82,9 +88,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column("digest"),
                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *keys]))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest", "keys"])
+            if prints:
+                columns.append(pa.array(np.array(marks, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest", "keys", *["print"] * prints])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long, digest string, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long, digest string, keys array<long>" + ", print long" * prints)
 
 
 def _lists(rows: DataFrame) -> DataFrame:
@@ -224,3 +232,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component of near copies, that with the least id, with all its columns."""
     return keep_least(docs, near_copies(docs, id_col, text_col), id_col, text_col)
+
+
+def simhash_and_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The groups of ``simhash_index.near_duplicates``, joined further by links of near copies.
+
+    One row per row of ``docs``, as both return. Rows are found by their SimHash fingerprints; the exact
+    comparison of shingle sets joins groups whose fingerprints differ in more bits. A fingerprint and a set
+    that share a row are linked, so a row lies in one component of both kinds of links.
+    """
+    rows = stored(sketches(docs, id_col, text_col, prints=True), "sketches")
+    edges = stored(simhash_index.links(rows.select(F.col("print").alias("fp"))), "links")
+    edges = edges.unionByName(stored(links(docs, rows, id_col, text_col), "links"))
+    edges = edges.unionByName(rows.select(F.col("print").alias("a"), F.col("fp").alias("b")).distinct())
+    return joined(rows.select("doc_id", "fp", "digest"), edges)
+
+
+def drop_simhash_and_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that with the least id, with all its columns."""
+    return keep_least(docs, simhash_and_near_copies(docs, id_col, text_col), id_col, text_col)

@@ -1,8 +1,10 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
+from scoreframe.llm import simhash_index
 from scoreframe.llm.common import stored
 
 from . import awkward
@@ -52,6 +54,23 @@ def test_near(stages):
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(want))
 
 
+def test_near_by_simhash(spark):
+    """Texts of one fingerprint but unlike five-word sets leave one row, as texts of like sets do."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(900)]
+    # Each shingle of three words often enough for all bits, a tail of others for the sets.
+    base = " ".join(words[:3] * 400)
+    long = " ".join(words[100:300])
+    texts = [base + " " + " ".join(r.sample(words, 12)) for _ in range(4)] + [long, long + " end"] + [" ".join(r.sample(words, 60)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash_index.fingerprint(t.encode()) for t in texts]
+    assert all((prints[0] ^ p).bit_count() <= 2 for p in prints[:4])
+    want, _ = least_ids(list(enumerate(texts)))
+    assert len(set(want[:4])) == 4
+    got = corpus_pipeline.without_near_copies(spark, docs, SF).collect()
+    assert sorted(g.doc_id for g in got) == [0, 4, *range(6, 11)]
+
+
 def test_benchmark(spark, stages):
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     want = [r.doc_id for r in stages[3].collect() if not leaks(r.text, bench)[1]]
