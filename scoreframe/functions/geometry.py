@@ -77,7 +77,9 @@ _MEMBER = (
     "(?<![A-Z])(?:" + "|".join(rf"{k}{_DIMS}\s*{body}" for k, body in _BODIES.items()) + rf"|(?:{_KINDS}){_DIMS}\s+EMPTY)"
 )
 _MARK = "\ue010"
-_COLLECTION = rf"GEOMETRYCOLLECTION{_DIMS}\s*\(\s*{_MARK}(?:\s*,\s*{_MARK})*+\s*\)"
+_OPEN = "\ue011"
+_HEAD = rf"GEOMETRYCOLLECTION{_DIMS}\s*\(\s*"
+_COLLECTION = rf"{_OPEN}{_MARK}(?:,{_MARK})*+\)"
 _LEAF = (
     r"(?:MULTI)?(?:POINT|LINESTRING|POLYGON)(?:\s*(?:ZM|Z|M))?\s*"
     r"\((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+\)"
@@ -206,11 +208,13 @@ def decode_geom(name: str) -> Column:
     the members of a collection, nested to any depth, must be whole as well. Every geometry is taken as SRID 4326. A
     binary point without numbers is EMPTY.
     """
-    value = stripped(f"`{name}`")
-    binary = sql_let(f"IF(regexp_like({value}, r'{HEX_WKB_PATTERN}'), {value}, NULL)", "hx", _wkb_text("hx"))
-    hexa, c = is_hex_wkb(strip(name)), strip(name)
-    text = F.coalesce(F.expr(binary), F.when(~hexa, F.regexp_replace(F.upper(c), r"\ASRID=\d+;\s*", "")))
-    return let(text, lambda t: F.when(_whole(t) & _rings_closed(t), t))
+    # The value is trimmed and recognised once; a trim walks the whole text.
+    text = sql_let(
+        stripped(f"`{name}`"),
+        "hx",
+        rf"IF(regexp_like(hx, r'{HEX_WKB_PATTERN}'), {_wkb_text('hx')}, regexp_replace(upper(hx), r'\ASRID=\d+;\s*', ''))",
+    )
+    return let(F.expr(text), lambda t: F.when(_whole(t) & _rings_closed(t), t))
 
 
 def _whole(t: Column) -> Column:
@@ -218,16 +222,21 @@ def _whole(t: Column) -> Column:
     the inside out, until nothing changes."""
     marked = F.regexp_replace(t, _MEMBER, _MARK)
 
+    def short(m: Column) -> Column:
+        """One character for the head of a collection, no blanks where they may stand: each step reads less."""
+        return F.regexp_replace(F.regexp_replace(m, _HEAD, _OPEN), r"\s*([,)])\s*(?![^,)])", "$1")
+
     def reduced(s: Column, _: Column) -> Column:
         return F.when(s["done"], s).otherwise(
             let(F.regexp_replace(s["t"], _COLLECTION, _MARK), lambda r: F.struct(r.alias("t"), (r == s["t"]).alias("done")))
         )
 
     def folded(m: Column) -> Column:
-        start = F.struct(m.alias("t"), (m == _MARK).alias("done"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(F.split(m, "GEOMETRYCOLLECTION"))), start, reduced)["t"]
+        start = F.struct(m.alias("t"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(F.split(m, _OPEN))), start, reduced)["t"]
 
-    return ~t.contains(_MARK) & (let(marked, lambda m: F.when(m == _MARK, m).otherwise(folded(m))) == _MARK)
+    collected = let(marked, lambda m: F.when(m == _MARK, m).otherwise(let(short(m), folded)))
+    return ~t.contains(_MARK) & ~t.contains(_OPEN) & (collected == _MARK)
 
 
 def _rings_closed(t: Column) -> Column:
@@ -245,17 +254,20 @@ def _rings_closed(t: Column) -> Column:
     return ~t.contains("POLYGON") | F.forall(F.regexp_extract_all(t, F.lit(_LEAF), 0), whole)
 
 
-_CANONICAL = r"""
-get(transform(array(array_join(
-  transform(
-    regexp_extract_all(
-      regexp_replace(regexp_replace(regexp_replace({c}, r'\s+', ' '), r'(?<=[A-Z])\s*(?:ZM|Z)(?=\s*\()', ''), r'\s*([(),])\s*', '$1'),
-      '[(), ]|[^(), ]+', 0),
-    n -> coalesce(string(try_cast(n AS DOUBLE)), n)),
-  '')),
-  j -> CASE WHEN startswith(j, 'MULTIPOINT')
-            THEN regexp_replace(regexp_replace(j, r'\),\(', ','), r'\(\((.*)\)\)', '($1)') ELSE j END), 0)
-"""
+# What stands between blanks, commas and parentheses, but is no word; a cast of every word would
+# throw and catch an error each.
+_VALUE = r"(?<![^(), ])(?!(?!NAN|INF)[A-Z]++(?![^(), ]))[^(), ]++"
+
+_CANONICAL = sql_let(
+    r"regexp_replace(regexp_replace(regexp_replace({c}, r'\s+', ' '), r'(?<=[A-Z])\s*(?:ZM|Z)(?=\s*\()', ''), r'\s*([(),])\s*', '$1')",
+    "t",
+    sql_let(
+        f"array_join(zip_with(split(t, r'{_VALUE}', -1), regexp_extract_all(t, r'{_VALUE}', 0), "
+        "(g, n) -> IF(n IS NULL, g, concat(g, coalesce(string(try_cast(n AS DOUBLE)), n)))), '')",
+        "j",
+        r"CASE WHEN startswith(j, 'MULTIPOINT') THEN regexp_replace(regexp_replace(j, r'\),\(', ','), r'\(\((.*)\)\)', '($1)') ELSE j END",
+    ),
+)
 
 
 def canonical_text(name: str) -> Column:
@@ -266,12 +278,13 @@ def canonical_text(name: str) -> Column:
 
 _GROUPS = r"regexp_extract_all(m, r'\(([^()]+)\)', 1)"
 
-# Grid cells of one coordinate list g; a number beyond the grid makes the whole form null.
-_SNAP = r"""
-transform(split(g, ','), p -> get(transform(array(transform(slice(split(trim(p), r'\s+'), 1, 2),
-  v -> try_cast(round(try_cast(v AS DOUBLE) / {grid}D) AS DECIMAL(15, 0)))),
-  xy -> named_struct('x', bigint(get(xy, 0)), 'y', bigint(get(xy, 1)))), 0))
+# Grid cells of one coordinate list g, rounded half away from zero; a number beyond the grid makes
+# the whole form null.
+_CELLS = r"""
+transform(transform(regexp_extract_all(g, r'([^\s,]++)\s++([^\s,]++)[^,]*+', {n}), t -> try_cast(t AS DOUBLE) / {grid}D),
+  v -> IF(abs(rint(v)) < 1e15D, bigint(IF(abs(v - rint(v)) = 0.5D, v + 0.5D * signum(v), rint(v))), NULL))
 """
+_SNAP = f"zip_with({_CELLS.replace('{n}', '1')}, {_CELLS.replace('{n}', '2')}, (x, y) -> named_struct('x', x, 'y', y))"
 
 _GCD = """
 aggregate(
@@ -280,22 +293,30 @@ aggregate(
   (s, _) -> IF(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> IF(s.b = 0, s.a, s.b))
 """
 
+# The cross product of a direction (ux, uy) and the point it starts from, as text.
+_CROSS = (
+    "IF(abs(double(ux) * double(e.ly)) < 2e18D AND abs(double(uy) * double(e.lx)) < 2e18D, string(ux * e.ly - uy * e.lx), "
+    "string(CAST(ux AS DECIMAL(16, 0)) * CAST(e.ly AS DECIMAL(16, 0)) - CAST(uy AS DECIMAL(16, 0)) * CAST(e.lx AS DECIMAL(16, 0))))"
+)
+
 # The stretches between neighbours of a list s of cells: the straight line each lies on, as its reduced
-# direction (ux, uy) and its cross product c with any point of the line, and the two ends in order.
+# direction (ux, uy) and its cross product with any point of the line, and the two ends in order. Texts
+# and numbers lie side by side, because an order of structs inside structs is built anew at every comparison.
 _STRETCHES = f"""
 transform(
   filter(zip_with(slice(s, 1, greatest(size(s) - 1, 0)), slice(s, 2, greatest(size(s) - 1, 0)),
-                  (p, q) -> named_struct('lo', least(p, q), 'hi', greatest(p, q))), e -> e.lo <> e.hi),
-  e -> {sql_let("e.hi.x - e.lo.x", "dx", sql_let("e.hi.y - e.lo.y", "dy", sql_let(_GCD, "k", sql_let(
+                  (p, q) -> IF(p.x < q.x OR p.x = q.x AND p.y < q.y, named_struct('lx', p.x, 'ly', p.y, 'hx', q.x, 'hy', q.y),
+                               named_struct('lx', q.x, 'ly', q.y, 'hx', p.x, 'hy', p.y))), e -> e.lx <> e.hx OR e.ly <> e.hy),
+  e -> {sql_let("e.hx - e.lx", "dx", sql_let("e.hy - e.ly", "dy", sql_let(_GCD, "k", sql_let(
       "dx div k", "ux", sql_let("dy div k", "uy",
-      "named_struct('line', named_struct('ux', ux, 'uy', uy, 'c', CAST(ux AS DECIMAL(16, 0)) * CAST(e.lo.y AS DECIMAL(16, 0)) - CAST(uy AS DECIMAL(16, 0)) * CAST(e.lo.x AS DECIMAL(16, 0))), 'lo', e.lo, 'hi', e.hi)")))))})
+      f"named_struct('line', concat_ws(' ', ux, uy, {_CROSS}), 'lx', e.lx, 'ly', e.ly, 'hx', e.hx, 'hy', e.hy)")))))})
 """
 
 # Covered by any stretch: ends in order along each line, starts first, kept where the first stretch
 # begins or the last one ends. Stretches that touch or overlap become one.
 _UNION = sql_let(
-    "sort_array(flatten(transform(es, e -> array(named_struct('line', e.line, 'at', e.lo, 'close', 0), "
-    "named_struct('line', e.line, 'at', e.hi, 'close', 1)))))",
+    "sort_array(flatten(transform(es, e -> array(named_struct('line', e.line, 'x', e.lx, 'y', e.ly, 'close', 0), "
+    "named_struct('line', e.line, 'x', e.hx, 'y', e.hy, 'close', 1)))))",
     "ends",
     sql_let(
         "transform(ends, e -> IF(e.close = 0, 1, -1))",
@@ -308,7 +329,7 @@ _UNION = sql_let(
 # The edge of an area: what an odd number of rings run along. An end that two stretches of one line
 # share cancels out, and so does an edge between two parts.
 _BORDER = sql_let(
-    "sort_array(flatten(transform(es, e -> array(named_struct('line', e.line, 'at', e.lo), named_struct('line', e.line, 'at', e.hi)))))",
+    "sort_array(flatten(transform(es, e -> array(concat_ws(' ', e.line, e.lx, e.ly), concat_ws(' ', e.line, e.hx, e.hy)))))",
     "ends",
     sql_let(
         "filter(sequence(0, size(ends)), i -> i = 0 OR i = size(ends) OR get(ends, i) <> get(ends, i - 1))",
@@ -324,12 +345,13 @@ _SHAPE = sql_let(
     "regexp_extract_all({c}, r'{leaf}', 0)",
     "ms",
     sql_let(
-        "array(flatten({points}), flatten({lines}), flatten({rings}))",
+        "array({points}, {lines}, {rings})",
         "all",
-        "IF({c} IS NULL OR exists(flatten(all), p -> p.x IS NULL OR p.y IS NULL), NULL, concat_ws('/', string(sort_array(array_distinct(get(all, 0)))), "
-        + f"IF(size(get(all, 1)) = 0, '[]', {sql_let('flatten(transform({lines}, s -> {stretches}))', 'es', f'string({_UNION})')})"
+        "IF({c} IS NULL OR exists(all, part -> exists(part, g -> exists(g, p -> p.x IS NULL OR p.y IS NULL))), NULL, "
+        "concat_ws('/', string(sort_array(array_distinct(flatten(get(all, 0))))), "
+        + f"IF(size(get(all, 1)) = 0, '[]', {sql_let('flatten(transform(get(all, 1), s -> {stretches}))', 'es', f'string({_UNION})')})"
         + ", "
-        + f"IF(size(get(all, 2)) = 0, '[]', {sql_let('flatten(transform({rings}, s -> {stretches}))', 'es', f'string({_BORDER})')})"
+        + f"IF(size(get(all, 2)) = 0, '[]', {sql_let('flatten(transform(get(all, 2), s -> {stretches}))', 'es', f'string({_BORDER})')})"
         + "))",
     ),
 )

@@ -35,3 +35,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows over all cores by ``keys``, a few tasks for each.
+
+    For work that takes long per row: a table of a few million short rows lies in one file or a few
+    row groups, and so few tasks would do it all.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -245,3 +245,48 @@ def test_pairs(spark, a, b, same):
     df = spark.createDataFrame([(a, b)], "a STRING, b STRING").withColumns({c: G.decode_geom(c) for c in "ab"})
     assert df.select(G.geom_equal("a", "b").alias("e"), G.geom_equal("b", "a").alias("r")).first() == (bool(same), bool(same))
     assert df.where(F.col("a").isNull() & F.lit(same is not None)).count() == 0
+
+
+def test_collections_with_blanks_and_broken_ones(spark):
+    """Blanks stand before and behind commas and before closing parentheses; each broken text stays null."""
+    good = ["GEOMETRYCOLLECTION ( POINT(1 2) , GEOMETRYCOLLECTION Z( POINT(1 2 3) ,\tLINESTRING(0 0,1 1) ) )", "GeometryCollection(GEOMETRYCOLLECTION EMPTY)"]
+    bad = [
+        "GEOMETRYCOLLECTION(POINT(1 2),)", "GEOMETRYCOLLECTION( )", "GEOMETRYCOLLECTION(,POINT(1 2))", "GEOMETRYCOLLECTION(POINT(1 2)) ,",
+        "GEOMETRYCOLLECTION(POINT(1 2) POINT(1 2))", "XGEOMETRYCOLLECTION(POINT(1 2))", "GEOMETRYCOLLECTION(POINT(1 2)))", "POINT(1 2))", "GEOMETRYCOLLECTION()",
+    ]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(good + bad)], "i INT, v STRING").withColumn("w", G.decode_geom("v"))
+    assert [r.w is not None for r in df.orderBy("i").collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_canonical_text_reads_values_only(spark):
+    """Words are no numbers; NaN and infinities are, as are numbers with signs and exponents."""
+    df = spark.createDataFrame([("GEOMETRYCOLLECTION( POINT Z (1 -2e3 .5),MULTIPOINT((1 +2), (3 4)), POINT(NAN INF), POINT EMPTY)",)], "w STRING")
+    assert df.select(G.canonical_text("w")).first()[0] == (
+        "GEOMETRYCOLLECTION(POINT(1.0 -2000.0 0.5),MULTIPOINT((1.0 2.0),(3.0 4.0)),POINT(NaN Infinity),POINT EMPTY)"
+    )
+
+
+def test_snapping_rounds_halves_away_from_zero(spark):
+    pairs = [("POINT(0.5 -0.5)", "POINT(1 -1)", True), ("POINT(2.5 1.4999)", "POINT(3 1)", True), ("POINT(0.49999999999999994 0)", "POINT(0 0)", True),
+             ("LINESTRING(0 0,999999999999 999999999999)", "LINESTRING(999999999999 999999999999,0 0,5 5)", True),
+             ("LINESTRING(-900000000000 7,900000000000 8)", "LINESTRING(-900000000000 8,900000000000 9)", False), ("POINT(1e15 0)", "POINT(1e15 0)", False)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "i INT, a STRING, b STRING, want BOOLEAN")
+    got = df.withColumn("same", G.geom_equal("a", "b", 1.0)).orderBy("i").collect()
+    assert [r.same for r in got] == [r.want for r in got]
+
+
+def test_no_error_per_word(spark):
+    """A cast of a word throws and catches an error; only values are cast."""
+    words = "GEOMETRYCOLLECTION(" * 3 + "POINT(1.5 2)" + ")" * 3
+    df = spark.createDataFrame([(words,)], "w STRING").select(F.regexp_extract_all("w", F.lit(G._VALUE), F.lit(0)).alias("n"))
+    assert df.first().n == ["1.5", "2"]
+
+
+def test_heavy_queries_use_all_cores(spark):
+    """A table in one file is dealt over many tasks before its cells are taken apart."""
+    from scoreframe.catalog import load_all
+    from tests.oracle import DATA
+
+    for name in ("decode_nested", "same_point_set", "shape_equal"):
+        df = load_all()[name].run(spark, f"{DATA}/sf0.001")
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString(), name
