@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import spread
 from .registry import from_view, query
 
 
 def _geoms(spark, sf):
-    return from_view(spark, sf, "geoms")
+    return spread(from_view(spark, sf, "geoms"), "id")
 
 
 @query(
@@ -62,7 +63,7 @@ def geom_equal(spark, sf):
     """SELECT id, id % 3 <> 1 AS line_same, id % 3 <> 2 AS area_same FROM $shapes""",
 )
 def shape_equal(spark, sf):
-    shapes = from_view(spark, sf, "shapes").select(
+    shapes = spread(from_view(spark, sf, "shapes"), "id").select(
         "id", *[G.decode_geom(c).alias(c) for c in ("line_a", "line_b", "area_a", "area_b")]
     )
     return shapes.select(
@@ -81,14 +82,21 @@ def z_equal(spark, sf):
 
 @query("same_point_set", "O70", "SELECT id, id % 4 <> 2 AS line_same, id % 4 <> 2 AS area_same, false AS mixed FROM $shape_cuts")
 def same_point_set(spark, sf):
-    cuts = from_view(spark, sf, "shape_cuts")
-    shapes = cuts.select("id", *[G.decode_geom(c).alias(c) for c in ("line", "area", "line_cut", "area_cut")])
-    return shapes.select(
-        "id",
-        G.geom_equal("line", "line_cut").alias("line_same"),
-        G.geom_equal("area", "area_cut").alias("area_same"),
-        G.geom_equal("line", "area_cut").alias("mixed"),
+    cells = ["line", "area", "line_cut", "area_cut"]
+    cuts = from_view(spark, sf, "shape_cuts").select("id", *cells)
+    # Cells repeat; each set of them is taken apart once, and each cell of it once.
+    once = spread(cuts.select(*cells).distinct(), *cells)
+    shapes = once.select(*cells, *[G.decode_geom(c).alias(f"{c}_wkt") for c in cells])
+    shapes = shapes.select(*cells, *[G.snapped_form(f"{c}_wkt").alias(f"{c}_form") for c in cells])
+    same = lambda a, b: F.coalesce(F.col(f"{a}_form") == F.col(f"{b}_form"), F.lit(False))
+    verdicts = shapes.select(
+        *[F.col(c).alias(f"_{c}") for c in cells],
+        same("line", "line_cut").alias("line_same"),
+        same("area", "area_cut").alias("area_same"),
+        same("line", "area_cut").alias("mixed"),
     )
+    joined = cuts.join(verdicts, F.expr(" AND ".join(f"{c} <=> _{c}" for c in cells)))
+    return joined.select("id", "line_same", "area_same", "mixed")
 
 
 @query(
@@ -98,5 +106,5 @@ def same_point_set(spark, sf):
   repeat('GEOMETRYCOLLECTION(POINT(1.0 2.0)),', n) || 'POINT(' || id || '.0 ' || n || '.0)' || repeat(')', n) END AS shown FROM $nested_geoms""",
 )
 def decode_nested(spark, sf):
-    decoded = from_view(spark, sf, "nested_geoms").withColumn("w", G.decode_geom("shape"))
+    decoded = spread(from_view(spark, sf, "nested_geoms"), "id").withColumn("w", G.decode_geom("shape"))
     return decoded.select("id", G.canonical_text("w").alias("shown"))
