@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import sources as IO
-from ..session import shared_dir
+from ..session import shared_dir, tasks_for
 from ..streaming import append_new, follow_runs
 from .errors import NAMED
 from .errors import error_long as long_report
@@ -112,7 +112,9 @@ def file_order(spark, sf):
     base = shared_dir(spark, "order")
     for m in MODELS:
         rows = _runs(spark, sf).where(F.col("model") == m).withColumn("id", F.col("id").cast("bigint"))
-        IO.write_jsonl(rows.orderBy("ord", "id"), f"{base}/{m}")
+        # A sort over all tasks, as many as the rows need.
+        rows = rows.repartitionByRange(tasks_for(rows), "ord", "id").sortWithinPartitions("ord", "id")
+        IO.write_jsonl(rows, f"{base}/{m}")
     scan = spark.read.schema(SCHEMA.replace("id STRING", "id BIGINT", 1)).json(f"{base}/*")
     ordered = IO.with_ingest_order(scan.drop("ord"), "ord")
     return running_index(ordered, ["model"], ["ord"], "place").select("model", "id", "place")

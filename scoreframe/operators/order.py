@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import tasks_for
+
+
 def with_stretch(df: DataFrame, ord_col: str, parts: int | None = None) -> DataFrame:
     """Add ``_stretch``, the stretch of the order a row lies in: its file block, or one of
     ``parts`` ranges of numbers with about the same number of rows.
@@ -44,7 +47,10 @@ def is_sorted_within(
 ) -> DataFrame:
     """(keys, is_sorted): whether ``by`` never falls within a group along the order."""
     near = Window.partitionBy(*keys, "_stretch").orderBy(ord_col)
-    steps = with_stretch(df, ord_col, parts).select(
+    dealt = with_stretch(df, ord_col, parts).select(*keys, "_stretch", by, ord_col)
+    # Both windows and both aggregations go by these or by the keys alone.
+    dealt = dealt.repartition(tasks_for(df.select(*keys)), *keys, "_stretch")
+    steps = dealt.select(
         *keys,
         "_stretch",
         F.col(by).alias("_by"),
@@ -123,7 +129,8 @@ def running_index(
     Rows are numbered inside a stretch; the rows in front of a stretch come from
     the per-stretch counts.
     """
-    df = with_stretch(df, order[0], parts)
+    n = tasks_for(df.select(*keys))
+    df = with_stretch(df, order[0], parts).repartition(n, *keys, "_stretch")
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -44,3 +44,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     row groups, and so few tasks would do it all.
     """
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+#: Rows of a sort that one task gets, about.
+ROWS_PER_TASK = 1 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks among which to shuffle ``df``: the session's number, or more where each would get too many rows.
+
+    Counts the rows, so that the memory of a task doesn't grow with the table.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-df.count() // ROWS_PER_TASK))

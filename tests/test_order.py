@@ -126,3 +126,16 @@ def test_reorder_keeps_file_order_of_equal_rounds(spark):
     got = [(r["id"], r["round"], r["ord"]) for r in R.reorder_runs(df).collect()]
     assert got == sorted(got)
     assert [k for k, _ in groupby(g[0] for g in got)] == sorted({r[1] for r in data})
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """A task's share of a sort stays the same however many rows there are."""
+    from scoreframe import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    df = spark.createDataFrame(rows(), DDL)
+    n = -(-df.count() // 10)
+    assert n > 8
+    for found in (R.is_sorted_within(df, ["model"]), R.running_index(df, ["model"], ["ord"], "i")):
+        text = found._jdf.queryExecution().toString()
+        assert f", {n}), REPARTITION_BY_NUM" in text
