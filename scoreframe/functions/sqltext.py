@@ -175,19 +175,21 @@ def from_items(c: str) -> str:
     )
 
 
-def owner_pairs(c: str) -> str:
+def owner_pairs(c: str, clean: bool = False) -> str:
+    """Of a text, or of one without comments and quoted texts if ``clean``."""
     return let(
-        _sanitized(c),
+        c if clean else _sanitized(c),
         "clean",
         f"zip_with(regexp_extract_all(clean, r'{_QUALIFIED}', 1), regexp_extract_all(clean, r'{_QUALIFIED}', 2), "
         "(x, y) -> named_struct('owner', btrim(x, '\"'), 'column', btrim(y, '\"')))",
     )
 
 
-def bare_names(c: str) -> str:
+def bare_names(c: str, clean: bool = False) -> str:
+    text = c if clean else _sanitized(c)
     words = ", ".join(f"'{w}'" for w in RESERVED)
     return (
-        f"filter(array_distinct(regexp_extract_all({_sanitized(c)}, r'{_BARE}', 1)), "
+        f"filter(array_distinct(regexp_extract_all({text}, r'{_BARE}', 1)), "
         f"n -> lower(n) NOT IN ({words}))"
     )
 
@@ -242,7 +244,7 @@ def _schema_readers(name: str) -> tuple[str, str, str]:
         ),
     )
     rest = rf"regexp_replace(regexp_replace({name}, r'{_SHALLOW}', ''), r'\([^()]*\)', '')"
-    return f"NOT (contains({rest}, '(') OR contains({rest}, ')'))", firsts(shallow), firsts(deep)
+    return f"NOT {let(rest, 'rest', "(contains(rest, '(') OR contains(rest, ')'))")}", firsts(shallow), firsts(deep)
 
 
 def schema_tables(name: str) -> Column:

@@ -121,7 +121,7 @@ def _hits(sql: str) -> str:
     """
     is_name = "f.table <=> {0} OR f.raw <=> {0} OR f.alias <=> {0}"
     qualified = (
-        f"filter(transform({S.owner_pairs(sql)}, q -> named_struct('table', "
+        f"filter(transform({S.owner_pairs('told', clean=True)}, q -> named_struct('table', "
         f"try_element_at(filter(fs, f -> {is_name.format('q.owner')}), -1).table, 'column', q.column)), "
         f"h -> {_has('h.table', 'h.column')})"
     )
@@ -131,10 +131,11 @@ def _hits(sql: str) -> str:
         "named_struct('table', CASE WHEN size(owners) = 1 THEN get(owners, 0) END, 'column', b)",
     )
     bare = (
-        f"filter(transform(filter({S.bare_names(sql)}, b -> NOT exists(fs, f -> {is_name.format('b')})), "
+        f"filter(transform(filter({S.bare_names('told', clean=True)}, b -> NOT exists(fs, f -> {is_name.format('b')})), "
         f"b -> {owned}), h -> h.table IS NOT NULL)"
     )
-    return f"array_distinct(concat({qualified}, {bare}))"
+    # Both read the text without comments and quoted texts.
+    return S.let(S._sanitized(sql), "told", f"array_distinct(concat({qualified}, {bare}))")
 
 
 def resolve_columns(
