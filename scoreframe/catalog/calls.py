@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import calls as K
+from ..session import spread
 from .registry import from_view, query, spark_sql
 
 # Calls with known arguments: nested calls, quoted commas and parentheses, casts.
@@ -79,7 +80,7 @@ def expression_types(spark, sf):
     returns = spark_sql(
         spark, sf, "SELECT DISTINCT concat('ST_', CASE WHEN p_size > 10 THEN 'GeomFromText' ELSE 'Buffer' END) AS function_name, 'geometry' AS return_type FROM @part"
     )
-    rows = spark_sql(spark, sf, EXPRESSIONS).withColumn("args", F.array("expr"))
+    rows = spread(spark_sql(spark, sf, EXPRESSIONS), "id").withColumn("args", F.array("expr"))
     typed = K.arg_types(rows, ["id"], returns)
     return typed.select("id", F.substring_index(F.col("actual_arg_types")[0], ":", 1).alias("kind"))
 

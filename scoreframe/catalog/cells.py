@@ -6,7 +6,7 @@ from ..functions.geometry import text_equal as same_text
 from ..functions.sqltext import order_spec as spec
 from ..operators import cells as C
 from ..operators.pairs import run_pairs as run
-from ..session import materialize
+from ..session import materialize, spread
 from .registry import from_view, query, spark_sql
 
 
@@ -201,7 +201,7 @@ FROM (SELECT q, count(*) AS n, max(CASE WHEN row_idx = 7 THEN 1 ELSE 0 END) AS h
 WHERE (c = 0 AND NOT (q % 3 = 1 AND has7 = 1)) OR (c = 1 AND q % 4 <> 3 AND q % 6 <> 5)""",
 )
 def match_geometry_columns(spark, sf):
-    return C.match_columns(_placed(spark, sf)).select(
+    return C.match_columns(spread(_placed(spark, sf), "query_id", "row_idx")).select(
         "query_id", "pred_col", "gold_col", "column_type", "ST_AsText_pass", "ST_Equals_pass"
     )
 

@@ -263,3 +263,19 @@ def test_both_schema_readers_agree(spark):
     both = df.select("t", F.expr(shallow).alias("a"), F.expr(deep).alias("b")).cache()
     wrong = both.where("a != b").take(5)
     assert not wrong and both.where("size(a) > 0").count() > 100
+
+
+def test_references_clean_a_text_once():
+    """The columns with and without an owner are read from one cleaned text."""
+    from scoreframe.functions import sqltext as S
+
+    assert R._hits("x").count(S._sanitized("x")) == 1
+
+
+def test_texts_are_read_by_all_cores(spark):
+    from scoreframe.catalog import load_all
+    from tests.oracle import DATA
+
+    for name in ("expression_types", "match_geometry_columns"):
+        df = load_all()[name].run(spark, f"{DATA}/sf0.001")
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString(), name
