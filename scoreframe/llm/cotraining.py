@@ -236,8 +236,14 @@ def fit_views(known: Rows, aside: np.ndarray, taught: Rows | None) -> tuple[View
     return fitted[0], fitted[1]
 
 
-def both_odds(rows: DataFrame, extra: DataFrame, views: tuple[View, View] | None) -> DataFrame:
-    """``_id, text_odds, meta_odds`` of every row of whole texts; without views all are even."""
+def both_odds(
+    rows: DataFrame, extra: DataFrame, views: tuple[View, View] | None, known: DataFrame | None = None
+) -> DataFrame:
+    """``_id, text_odds, meta_odds`` of every row of whole texts; without views all are even.
+
+    Rows whose ``_id`` is in ``known`` are left out, once their texts have become a number: so that join, however
+    Spark does it, moves no text.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(views)
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -257,6 +263,8 @@ def both_odds(rows: DataFrame, extra: DataFrame, views: tuple[View, View] | None
             yield pa.RecordBatch.from_arrays(columns, ["_id", "text_odds", "meta_odds"])
 
     scored = rows.mapInArrow(by_text, f"_id {kind}, own array<string>, text_odds double")
+    if known is not None:
+        scored = scored.join(known, "_id", "left_anti")
     both = _buckets(F.concat("own", F.coalesce("_page_tokens", F.array().cast("array<string>"))))
     joined = scored.join(extra, scored["_id"] == extra["_page"], "left").select("_id", "text_odds", both.alias("meta"))
     return joined.mapInArrow(by_meta, f"_id {kind}, text_odds double, meta_odds double")
@@ -275,10 +283,9 @@ def cotrain(
     aside = np.arange(1, len(own.text_y) + 1) % 5 == 0
     left = own.text_y[~aside]
     good = float(np.clip(left.mean(), 0.01, 0.99))
-    free = rows.join(known, "_id", "left_anti")
     views = fit_views(own, aside, None)
     for k in range(rounds):
-        pool = stored(both_odds(free, extra, views), "pool")
+        pool = stored(both_odds(rows, extra, views, known), "pool")
         views = fit_views(own, aside, gather(rows, extra, surest(pool, good, min(teach * (k + 1), 0.5), taught)))
     test = np.flatnonzero(aside)
     for x, view in zip((own.text, own.meta), views, strict=True):

@@ -111,3 +111,24 @@ def test_awkward(spark):
     some = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (9, 1, 0), (20, 0, 1), (None, 1, 0), (21, None, 0)], "doc_id long, quality int, toxic int")
     assert cotraining.score(docs, some, pages).count() == len(awkward.rows())
     assert cotraining.score(awkward.empty(spark), some, pages).count() == 0
+
+
+def test_unlabelled_pool_moves_no_text(spark, monkeypatch):
+    """Labelled rows are left out behind the scoring: a join before it, when not broadcast, shuffles whole texts."""
+    pools, keep = [], cotraining.stored
+
+    def spy(df, label):
+        out = keep(df, label)
+        if label == "pool":
+            pools.append((df._jdf.queryExecution().optimizedPlan().toString(), {r["_id"] for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(cotraining, "stored", spy)
+    docs = spark.createDataFrame([(k, f"word{k % 7} text") for k in range(60)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert cotraining.score(docs, labels, pages).count() == 61
+    assert len(pools) == cotraining.ROUNDS
+    for plan, ids in pools:
+        assert ids == {None, *range(20, 60)}
+        assert plan.index("LeftAnti") < plan.rindex("MapInArrow")
