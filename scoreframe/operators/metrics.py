@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_answer, type_key
-from .order import first_n, running_index
+from .order import dealt, first_n_of, running_index
 
 BY = ("model",)
 
@@ -91,11 +92,19 @@ def pass_at_k(
 ) -> DataFrame:
     """Share of items with a correct result among their first k rounds.
 
-    Only the first max(ks) rounds of an item leave the map tasks. ``positional`` groups
+    Only the first max(ks) rounds of an item leave the map tasks; in a table of many rows for each shuffle
+    task, those of frequent items only (see :func:`.order.dealt`). ``positional`` groups
     ``group`` consecutive rows in ``order`` instead and drops an incomplete last group;
     ``parts`` is the number of stretches of a numeric order that tasks number apart.
     """
     hit = F.coalesce(F.col("result_correct") == "correct", F.lit(False))
+
+    def passes(groups: DataFrame, unit: Sequence[str]) -> DataFrame:
+        return groups.groupBy(*unit).agg(
+            F.count("*").alias("_n"),
+            *[F.max((F.col("rn") <= k) & F.col("_hit")).alias(f"_p{k}") for k in ks],
+        )
+
     if positional:
         numbered = running_index(df, by, order, "_idx", parts)
         groups = numbered.select(
@@ -104,18 +113,14 @@ def pass_at_k(
             ((F.col("_idx") - 1) % group + 1).alias("rn"),
             hit.alias("_hit"),
         )
-        unit = [*by, "_group"]
+        passed = passes(groups, [*by, "_group"]).where(F.col("_n") == group)
     else:
-        groups = first_n(df, [*by, *item], order, max(ks)).select(
-            *by, *item, "rn", hit.alias("_hit")
-        )
         unit = [*by, *item]
-    passed = groups.groupBy(*unit).agg(
-        F.count("*").alias("_n"),
-        *[F.max((F.col("rn") <= k) & F.col("_hit")).alias(f"_p{k}") for k in ks],
-    )
-    if positional:
-        passed = passed.where(F.col("_n") == group)
+        # Only what counts is shuffled and sorted. Each part adds up its own items, which need no other shuffle.
+        rows = df.select(*unit, *[c for c in order if c not in unit], hit.alias("_hit"))
+        passed = reduce(
+            DataFrame.unionByName, [passes(first_n_of(part, unit, order, max(ks)), unit) for part in dealt(rows, unit)]
+        )
     return passed.groupBy(*by).agg(
         F.count("*").alias("num_samples"),
         *[F.count_if(f"_p{k}").alias(f"pass_{k}_count") for k in ks],

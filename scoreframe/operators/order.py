@@ -10,13 +10,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import tasks_for
+from .. import session
+from ..session import tasks_for, tasks_of
+
+#: Keys that are looked for as frequent ones, at most, and how many a sketch follows.
+_FREQUENT, _FOLLOWED = 1000, 10_000
 
 
 def with_stretch(df: DataFrame, ord_col: str, parts: int | None = None) -> DataFrame:
@@ -109,12 +114,41 @@ def last_per_key(df: DataFrame, keys: Sequence[str], ord_col: str = "ord", ties:
     )
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
+    """Parts of ``df``, each with all rows of its keys, for work per key that a task does within its rows.
+
+    A table that fits the session's number of shuffle tasks is one part, as it is. A larger one is shuffled by the
+    keys among as many tasks as it needs, so that the memory of a task doesn't grow with the table. Keys that hold
+    a large part of a task's rows each are left apart as they are: what limits or adds up rows before a shuffle
+    still does so for them. Which keys these are is estimated and changes no result.
+    """
+    key = F.xxhash64(*keys)
+    spark = df.sparkSession
+    counted = df.select(key.alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {_FREQUENT}, {_FOLLOWED})").alias("top")
+    )
+    found = counted.first()
+    n = tasks_of(spark, found["n"])
+    if n <= tasks_of(spark, 0):
+        return [df]
+    often = [t["item"] for t in found["top"] if t["count"] > session.ROWS_PER_TASK // 4]
+    if not often:
+        return [df.repartition(n, *keys)]
+    return [df.where(~key.isin(often)).repartition(n, *keys), df.where(key.isin(often))]
+
+
+def first_n_of(part: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "rn") -> DataFrame:
+    """:func:`first_n` of rows as they are dealt."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return part.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+
 def first_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "rn"
 ) -> DataFrame:
-    """First ``n`` rows per group with their position; limited before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+    """First ``n`` rows per group with their position; limited before the shuffle, or see :func:`dealt`."""
+    parts = [first_n_of(part, keys, order, n, name) for part in dealt(df, keys)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def running_index(

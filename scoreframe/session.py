@@ -55,5 +55,8 @@ def tasks_for(df: DataFrame) -> int:
 
     Counts the rows, so that the memory of a task doesn't grow with the table.
     """
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(usual, -(-df.count() // ROWS_PER_TASK))
+    return tasks_of(df.sparkSession, df.count())
+
+
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))

@@ -139,3 +139,21 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     for found in (R.is_sorted_within(df, ["model"]), R.running_index(df, ["model"], ["ord"], "i")):
         text = found._jdf.queryExecution().toString()
         assert f", {n}), REPARTITION_BY_NUM" in text
+
+
+def test_pass_at_k_in_as_many_tasks_as_needed(spark, monkeypatch):
+    """A large table is dealt by item among more tasks, a frequent item apart; the rates stay the same."""
+    from scoreframe import session
+    from scoreframe.operators.order import dealt, first_n
+
+    r = random.Random(8)
+    data = [("m", 7 if k % 3 == 0 else k // 6, r.randint(1, 9), "k", r.choice(["correct", "incorrect", None]), k) for k in range(3000)]
+    df = spark.createDataFrame(data, DDL).repartition(5)
+    want, first = M.pass_at_k(df).collect(), set(first_n(df, ["model", "id"], ["round", "ord"], 2).collect())
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    parts = dealt(df, ["model", "id"])
+    assert [p.count() for p in parts] == [3000 - 1004, 1004] and {x["id"] for x in parts[1].collect()} == {7}
+    found = M.pass_at_k(df)
+    assert found.collect() == want
+    assert "model#" in (text := found._jdf.queryExecution().toString()) and ", 30), REPARTITION_BY_NUM" in text
+    assert set(first_n(df, ["model", "id"], ["round", "ord"], 2).collect()) == first
