@@ -178,6 +178,6 @@ def append_new_runs(spark, sf):
     rows = _runs(spark, sf)
     late = F.col("round") > 3
     for part in (rows.where(~late), rows.where(late)):
-        IO.append_runs(part, f"{base}/in")
+        IO.append_runs(part, f"{base}/in", compression="lz4")
         append_new(follow_runs(spark, f"{base}/in", SCHEMA), f"{base}/store", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/store").select("model", "id", "round", "unique_key", "ord")

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per row, null keys kept, non-ASCII text as it is."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+#: Records of a compressed file, which is read by one task, at most.
+_PACKED = 1 << 20
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    """One JSON object per row, null keys kept, non-ASCII text as it is; ``compression`` as Spark names it."""
+    sink = df.write.mode(mode).option("ignoreNullFields", False)
+    if compression:
+        sink = sink.option("compression", compression).option("maxRecordsPerFile", _PACKED)
+    sink.json(path)
 
 
 def write_summary(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -33,6 +40,6 @@ def report_table(df: DataFrame, first: Sequence[str] = ("model",)) -> DataFrame:
     )
 
 
-def append_runs(df: DataFrame, path: str) -> None:
+def append_runs(df: DataFrame, path: str, compression: str | None = None) -> None:
     """Add new results to a JSON-Lines folder; the job commits all of its files or none."""
-    write_jsonl(df, path, mode="append")
+    write_jsonl(df, path, mode="append", compression=compression)

@@ -53,3 +53,50 @@ def test_store_has_each_key_once_and_errors_are_not_swallowed(spark, tmp_path):
     blocked.write_text("a file, not a store")
     with pytest.raises(Exception):
         append_new(follow_runs(spark, path, schema), str(blocked), str(tmp_path / "s2")).awaitTermination()
+
+
+def test_a_batch_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """First rows and the join with the stored keys need one shuffle of the batch and one of the stored keys."""
+    from scoreframe.sources import append_runs
+    from scoreframe.streaming import resume
+
+    plans, unstored = [], resume._unstored
+
+    def spy(*args):
+        out = unstored(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(resume, "_unstored", spy)
+    schema = "model STRING, unique_key STRING, ord BIGINT, v STRING"
+    path, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for v, keys in (("old", range(30)), ("new", range(20, 40))):
+            data = [("m", f"k{k % 35}", k, v) for k in keys] + [("m", None, 1, v), ("m", "k3", 99, v)]
+            append_runs(spark.createDataFrame(data, schema), path, compression="lz4")
+            append_new(follow_runs(spark, path, schema), store, state, parts=4).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.read.parquet(store).collect()
+    want = {("m", f"k{k}", "old", k) for k in range(30)} | {("m", f"k{k}", "new", k) for k in range(30, 35)}
+    assert len(rows) == len(want) and {(r.model, r.unique_key, r.v, r.ord) for r in rows} == want
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2]
+    assert all(f.name.endswith(".json.lz4") for f in (tmp_path / "in").glob("part-*"))
+
+
+def test_a_long_batch_takes_more_tasks(spark, tmp_path, monkeypatch):
+    """Also with a frequent key, which is a part of its own, and over two batches."""
+    from scoreframe import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20)
+    schema = "model STRING, unique_key STRING, ord BIGINT, v STRING"
+    path, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    for v, more in (("old", 0), ("new", 50)):
+        data = [("m", "hot" if k % 3 == 0 else f"k{k + more}", k, v) for k in range(600)]
+        spark.createDataFrame(data, schema).write.mode("append").json(path)
+        append_new(follow_runs(spark, path, schema), store, state, parts=4).awaitTermination()
+    rows = spark.read.parquet(store).collect()
+    want = {("hot", "old", 0)} | {(f"k{k}", "old", k) for k in range(600) if k % 3}
+    want |= {(f"k{k + 50}", "new", k) for k in range(600) if k % 3 and not ((k + 50) % 3 and k + 50 < 600)}
+    assert len(rows) == len(want) and {(r.unique_key, r.v, r.ord) for r in rows} == want
