@@ -47,6 +47,7 @@ def stripped(c: str) -> str:
 _TOKEN = (
     r"(?s)/\*.*?\*/|--[^\n\r]*+|\x27(?:[^\x27]|\x27\x27)*+\x27|\x22(?:[^\x22]|\x22\x22)*+\x22|(\x24\w*\x24).*?\1"
 )
+_TOKEN_SIGN = r"[\x22\x24\x27]|--|/\*"
 
 
 def retold(c: str, told: str) -> str:
@@ -55,12 +56,14 @@ def retold(c: str, told: str) -> str:
     One pass from left to right finds the tokens, so a quote in a comment, or two dashes
     in a quoted text, start nothing.
     """
-    return let(
-        f"regexp_extract_all({c}, r'{_TOKEN}', 0)",
+    whole = let(
+        f"regexp_extract_all(c, r'{_TOKEN}', 0)",
         "toks",
-        f"array_join(zip_with(split({c}, r'{_TOKEN}', -1), toks, (g, t) -> concat(g, CASE WHEN t IS NULL THEN '' "
+        f"array_join(zip_with(split(c, r'{_TOKEN}', -1), toks, (g, t) -> concat(g, CASE WHEN t IS NULL THEN '' "
         f"WHEN startswith(t, '--') OR startswith(t, '/*') THEN ' ' ELSE {told} END)), '')",
     )
+    # A text without any sign that a token starts with is left as it is.
+    return let(c, "c", f"CASE WHEN regexp_like(c, r'{_TOKEN_SIGN}') THEN {whole} ELSE c END")
 
 
 def _sanitized(c: str, literal: str = " ") -> str:
@@ -168,30 +171,37 @@ _BARE = rf"(?U)(?<!\.)\b({_NAME})\b(?!\s*\()"
 
 
 def from_items(c: str) -> str:
+    # One pass finds the items; their parts are read from what it found.
     return (
-        f"zip_with(regexp_extract_all({c}, r'{_FROM}', 1), regexp_extract_all({c}, r'{_FROM}', 2), (r, a) -> "
-        "named_struct('raw', btrim(r, '\"`'), 'table', element_at(split(btrim(r, '\"`'), '[.]'), -1), "
-        "'alias', nullif(a, '')))"
+        f"transform(regexp_extract_all({c}, r'{_FROM}', 0), m -> "
+        + let(
+            f"btrim(regexp_extract(m, r'{_FROM}', 1), '\"`')",
+            "r",
+            f"named_struct('raw', r, 'table', element_at(split(r, '[.]'), -1), 'alias', nullif(regexp_extract(m, r'{_FROM}', 2), ''))",
+        )
+        + ")"
     )
 
 
 def owner_pairs(c: str, clean: bool = False) -> str:
     """Of a text, or of one without comments and quoted texts if ``clean``."""
+    # A match has one dot, and neither name has white space.
+    part = lambda k: f"btrim(split_part(m, '.', {k}), '{WHITESPACE}\"')"
     return let(
         c if clean else _sanitized(c),
         "clean",
-        f"zip_with(regexp_extract_all(clean, r'{_QUALIFIED}', 1), regexp_extract_all(clean, r'{_QUALIFIED}', 2), "
-        "(x, y) -> named_struct('owner', btrim(x, '\"'), 'column', btrim(y, '\"')))",
+        f"transform(regexp_extract_all(clean, r'{_QUALIFIED}', 0), m -> named_struct('owner', {part(1)}, 'column', {part(2)}))",
     )
 
 
-def bare_names(c: str, clean: bool = False) -> str:
+def bare_names(c: str, clean: bool = False, among: str | None = None) -> str:
+    """``among`` names an array; only its values are kept then."""
     text = c if clean else _sanitized(c)
     words = ", ".join(f"'{w}'" for w in RESERVED)
-    return (
-        f"filter(array_distinct(regexp_extract_all({text}, r'{_BARE}', 1)), "
-        f"n -> lower(n) NOT IN ({words}))"
-    )
+    found = f"regexp_extract_all({text}, r'{_BARE}', 1)"
+    if among:
+        found = f"filter({found}, n -> array_contains({among}, n))"
+    return f"filter(array_distinct({found}), n -> lower(n) NOT IN ({words}))"
 
 
 # --- column functions; each takes the name of a column ------------------------------------

@@ -62,9 +62,8 @@ def _known(table: str) -> str:
 def _management_calls(sql: str) -> str:
     """Closed calls of management functions, none inside another: (fn, args), args unquoted."""
     names = "|".join(sorted({*TABLE_FIRST, *TABLE_SECOND}))
-    return S.let(
-        # Few texts name such a function; the others are not taken apart.
-        S._pieces(S._masked(rf"CASE WHEN regexp_like({sql}, r'(?i)\b(?:{names})\b') THEN {sql} ELSE '' END")),
+    calls = S.let(
+        S._pieces(S._masked(sql)),
         "ps",
         S.let(
             S.closed_groups("ps", rf"(?i)\b({names})\s*\z"),
@@ -73,6 +72,9 @@ def _management_calls(sql: str) -> str:
             f"'args', transform(g.items, i -> nullif({S.unquoted(S.unmasked('i'))}, ''))))",
         ),
     )
+    # Few texts name such a function; the others are not taken apart.
+    named = S.let(f"lower({sql})", "low", " OR ".join(f"contains(low, '{n}')" for n in sorted(MANAGEMENT)))
+    return f"CASE WHEN {named} THEN {calls} ELSE array() END"
 
 
 def _management_refs(sql: str) -> str:
@@ -117,25 +119,28 @@ def _hits(sql: str) -> str:
     """(table, column) pairs a text uses; needs cat, the FROM items fs and the tables ts.
 
     ``owner.column`` goes through the alias list. A bare name counts when exactly one
-    table of the query has it and it is no alias.
+    table of the query has it and it is no alias. Only names that are columns of the query's
+    tables can count, so the text is read only if there are such tables, and other names are dropped first.
     """
     is_name = "f.table <=> {0} OR f.raw <=> {0} OR f.alias <=> {0}"
+    has = "exists(kt, t -> t.table = h.table AND array_contains(t.columns, h.column))"
     qualified = (
-        f"filter(transform({S.owner_pairs('told', clean=True)}, q -> named_struct('table', "
-        f"try_element_at(filter(fs, f -> {is_name.format('q.owner')}), -1).table, 'column', q.column)), "
-        f"h -> {_has('h.table', 'h.column')})"
+        f"filter(transform(filter({S.owner_pairs('told', clean=True)}, q -> array_contains(names, q.column)), q -> named_struct('table', "
+        f"try_element_at(filter(fs, f -> {is_name.format('q.owner')}), -1).table, 'column', q.column)), h -> {has})"
     )
+    # The catalog may list a table twice; it is one owner.
     owned = S.let(
-        f"filter(ts, x -> {_has('x', 'b')})",
+        "array_distinct(transform(filter(kt, t -> array_contains(t.columns, b)), t -> t.table))",
         "owners",
         "named_struct('table', CASE WHEN size(owners) = 1 THEN get(owners, 0) END, 'column', b)",
     )
-    bare = (
-        f"filter(transform(filter({S.bare_names('told', clean=True)}, b -> NOT exists(fs, f -> {is_name.format('b')})), "
-        f"b -> {owned}), h -> h.table IS NOT NULL)"
-    )
+    used = f"filter({S.bare_names('told', clean=True, among='names')}, b -> NOT exists(fs, f -> {is_name.format('b')}))"
+    bare = f"filter(transform({used}, b -> {owned}), h -> h.table IS NOT NULL)"
     # Both read the text without comments and quoted texts.
-    return S.let(S._sanitized(sql), "told", f"array_distinct(concat({qualified}, {bare}))")
+    both = S.let(S._sanitized(sql), "told", f"array_distinct(concat({qualified}, {bare}))")
+    names = "flatten(transform(kt, t -> coalesce(t.columns, CAST(array() AS ARRAY<STRING>))))"
+    some = f"CASE WHEN size(names) > 0 THEN {both} ELSE array() END"
+    return S.let("filter(cat, t -> array_contains(ts, t.table))", "kt", S.let(names, "names", some))
 
 
 def resolve_columns(

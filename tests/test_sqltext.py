@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreframe import sources as IO
+from scoreframe.functions import sqltext as S
 from scoreframe.operators import calls as K
 from scoreframe.operators import errors as X
 from scoreframe.operators import refs as R
@@ -279,3 +280,17 @@ def test_texts_are_read_by_all_cores(spark):
     for name in ("expression_types", "match_geometry_columns"):
         df = load_all()[name].run(spark, f"{DATA}/sf0.001")
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString(), name
+
+
+def test_a_text_is_searched_once_per_pattern(spark):
+    """One pass finds FROM items and one finds owner.column pairs; management calls are looked for only where one is named."""
+    for made in (S.from_items("t"), S.owner_pairs("t", clean=True)):
+        assert made.count("regexp_extract_all") == 1
+    text = "select n.a, b, \"n\" . c, z from s.nation as n join t2 -- b\nwhere c = 'x.y'"
+    # A table that the catalog lists twice is one owner.
+    cat = "array(named_struct('table', 'nation', 'columns', array('a', 'b')), named_struct('table', 'nation', 'columns', array('b', 'c')), named_struct('table', 't2', 'columns', array('z', 'x')))"
+    df = spark.createDataFrame([(text,), ("find_srid('public', 'nation', 'b')",), ("no statement",)], "pred_sql string").withColumn("catalog", F.expr(cat))
+    got = [[(t["table"], t["columns"]) for t in r["tables"]] for r in R.pick_refs(df).collect()]
+    assert got == [[("nation", ["a", "c", "b"]), ("t2", ["z"])], [("nation", ["b"])], []]
+    found = df.select(S.from_tables("pred_sql").alias("f")).first()["f"]
+    assert [tuple(x) for x in found] == [("s.nation", "nation", "n"), ("t2", "t2", None)]
