@@ -12,11 +12,13 @@ segments that end at a space.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +121,27 @@ def _frequencies(rows: DataFrame, dims: int) -> tuple[int, np.ndarray]:
     return int(df[dims]), df[:dims]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype("<i4").tobytes(), 1)
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of a sampled text."""
+    gaps, count = (np.frombuffer(zlib.decompress(row[c]), "<i4") for c in ("idx", "count"))
+    return np.cumsum(gaps, dtype=np.int64), count
+
+
+def _tie(idx: np.ndarray, count: np.ndarray) -> int:
+    """What ``xxhash64`` gives for the two as binaries, which settles equal ranks."""
+    seed = xxhash.xxh64_intdigest(idx.astype("<i4").tobytes(), 42)
+    return xxhash.xxh64_intdigest(count.astype("<i4").tobytes(), seed)
+
+
 def _sample(rows: DataFrame, dims: int, most: int) -> list:
-    """Counted n-grams of at most ``most`` different texts, as even over the labels as they allow."""
+    """Counted n-grams of at most ``most`` different texts, as even over the labels as they allow.
+
+    The driver gets them packed (``idx`` as gaps between buckets), ``n`` buckets each; :func:`_unpacked` reads a row.
+    """
     # Copies count once: a text that very many rows repeat must not crowd out its language.
     distinct = F.approx_count_distinct(F.xxhash64("text")).alias("n")
     common = rows.where("text IS NOT NULL").groupBy("label").agg(distinct).orderBy(F.desc("n"), "label").limit(most)
@@ -136,15 +157,18 @@ def _sample(rows: DataFrame, dims: int, most: int) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [ngrams(t.as_py(), dims) for t in batch.column("text")]
-            idx = pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary())
-            count = pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("rank"), idx, count], ["label", "rank", "idx", "count"]
-            )
-
-    counted = chosen.select("label", "rank", "text").mapInArrow(run, "label string, rank long, idx binary, count binary")
-    counted = counted.where("octet_length(idx) > 0").withColumn("tie", F.xxhash64("idx", "count"))
-    parts = [F.first(c).alias(c) for c in ("idx", "count")]
+            columns = {
+                "label": batch.column("label"), "rank": batch.column("rank"),
+                "tie": pa.array(np.array([_tie(*f) for f in found], np.uint64).view(np.int64)),
+                "n": pa.array([len(i) for i, _ in found], pa.int32()),
+                "idx": pa.array([_packed(np.diff(i, prepend=0)) for i, _ in found], pa.binary()),
+                "count": pa.array([_packed(c) for _, c in found], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    counted = chosen.select("label", "rank", "text")
+    counted = counted.mapInArrow(run, "label string, rank long, tie long, n int, idx binary, count binary").where("n > 0")
+    parts = [F.first(c).alias(c) for c in ("n", "idx", "count")]
     counted = counted.groupBy("label", "rank", "tie").agg(*parts)
     place = F.expr("row_number() OVER (PARTITION BY label ORDER BY rank, tie)")
     counted = counted.withColumn("place", place).where(F.col("place") <= each)
@@ -169,16 +193,16 @@ def train(
     classes = sorted({r["label"] for r in sample})
     model = Model(classes, np.log((1 + n) / (1 + df)) + 1, np.zeros((dims, len(classes)), np.float32), np.zeros(len(classes)), 1.0)
     y = np.array([classes.index(r["label"]) for r in sample])
-    x = []
-    for r in sample:
-        idx = np.frombuffer(r["idx"], "<i4").astype(np.int64)
-        x.append((idx, model.features(idx, np.frombuffer(r["count"], "<i4"))))
     # Every fifth row of each language calibrates.
     aside = np.array([r["place"] % 5 == 0 for r in sample])
-    x = Sparse.of(x)
+
+    def features(which: np.ndarray) -> Sparse:
+        values = ((idx, model.features(idx, count)) for idx, count in (_unpacked(sample[k]) for k in which.tolist()))
+        return Sparse.filled(values, [sample[k]["n"] for k in which.tolist()])
+
     fit, test = np.flatnonzero(~aside), np.flatnonzero(aside)
-    model.weights, model.bias = ftrl(x.take(fit), y[fit], dims, len(classes))
-    model.heat = temperature(logits(x.take(test), model.weights, model.bias), y[test])
+    model.weights, model.bias = ftrl(features(fit), y[fit], dims, len(classes))
+    model.heat = temperature(logits(features(test), model.weights, model.bias), y[test])
     return model
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,15 @@ class Sparse:
         val = np.concatenate([v for _, v in rows]) if rows else np.empty(0)
         return Sparse(ptr, idx.astype(np.int64), val)
 
+    @staticmethod
+    def filled(rows: Iterable[tuple[np.ndarray, np.ndarray]], sizes: list[int]) -> Sparse:
+        """Of rows of known sizes, made one after the other, so that they lie in memory once."""
+        ptr = np.cumsum([0, *sizes])
+        out = Sparse(ptr, np.empty(ptr[-1], np.int64), np.empty(ptr[-1]))
+        for k, (idx, val) in enumerate(rows):
+            out.idx[ptr[k] : ptr[k + 1]], out.val[ptr[k] : ptr[k + 1]] = idx, val
+        return out
+
     def take(self, which: np.ndarray) -> Sparse:
         return Sparse.of([self.row(k) for k in which.tolist()])
 

@@ -56,6 +56,21 @@ def test_sample_is_bounded_with_a_hot_row(spark):
     assert len({(r["idx"], r["count"]) for r in got}) == len(got)
 
 
+def test_sample_is_packed(spark):
+    """The driver gets a fraction of the eight bytes a bucket and count; ties stay those of the unpacked binaries."""
+    rows = table(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id._sample(docs.selectExpr("text", "lang AS label"), 256, 30)
+    known = {tuple(map(bytes, language_id.ngrams(t, 256))) for _, t, _ in rows}
+    assert {tuple(v.astype(np.int64).tobytes() for v in language_id._unpacked(r)) for r in got} <= known
+    long = " ".join(f"{t} {k}" for k, t, _ in rows)
+    one = language_id._sample(spark.createDataFrame([(long, "aa")], "text string, label string"), 1 << 14, 30)[0]
+    idx, count = language_id.ngrams(long)
+    assert one["n"] == len(idx) and len(one["idx"]) + len(one["count"]) < 8 * len(idx) / 2
+    raw = spark.createDataFrame([(idx.astype("<i4").tobytes(), count.astype("<i4").tobytes())], "i binary, c binary")
+    assert one["tie"] == raw.select(F.xxhash64("i", "c")).first()[0]
+
+
 def test_ngrams_by_hand():
     idx, count = language_id.ngrams("ab, ab")
     # " ab ab ": 7 single characters, 6 pairs, 5 triples.

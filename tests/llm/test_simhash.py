@@ -5,6 +5,8 @@ import re
 import xxhash
 
 from scoreframe.llm import simhash_index
+from scoreframe.llm import components as components_module
+from scoreframe.llm.common import stored
 from scoreframe.llm.components import components
 
 from . import awkward
@@ -76,6 +78,20 @@ def test_links_by_brute_force(spark):
     assert len(set(got.values())) == sum(len(g) > 1 for g in groups.values())
 
 
+def test_steps_of_components(spark, monkeypatch):
+    """No step over finished components, and each step's join is worked out once."""
+    written = []
+    monkeypatch.setattr(components_module, "stored", lambda df, label: written.append(label) or stored(df, label))
+    stars = [(k, k % 5) for k in range(5, 60)] + [(7, 7)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {k: k % 5 for k in range(60)} | {7: 2} and written == ["edges"]
+    written.clear()
+    path = [(k, k + 1) for k in range(0, 40)] + [(100, 50)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {50: 50, 100: 50}
+    assert written == ["edges"] + ["large", "edges"] * (len(written) // 2) and len(written) <= 13
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, 50), (50, 1), (2, 1), (7, 7), (None, 3), (60, 61)]
