@@ -35,14 +35,18 @@ def attach_schema(
 ) -> DataFrame:
     """Add the item's schema text and a ``schema_error`` where it has none.
 
-    ``parse`` adds its ``catalog`` instead, parsed once per item. Rows without id or SQL are
-    dropped.
+    ``parse`` adds its ``catalog`` instead, parsed once per schema text; items find it by the text's
+    digest, so their texts are not shuffled. Rows without id or SQL are dropped.
     """
     column = "catalog" if parse else "schema"
-    texts = last_per_key(items.where(_filled("schema").isNotNull()), ["new_id"], ord_col)
-    lookup = (parse_schema(texts) if parse else texts).select(
-        F.col("new_id").alias("id"), F.col(column), F.lit(True).alias("_known")
-    )
+    given = items.where(_filled("schema").isNotNull())
+    if parse:
+        digest = F.unhex(F.sha2(F.col("schema").cast("binary"), 256)).alias("_digest")
+        catalogs = parse_schema(given.select("schema").distinct()).select(digest, "catalog")
+        texts = last_per_key(given.select("new_id", ord_col, digest), ["new_id"], ord_col).join(catalogs, "_digest")
+    else:
+        texts = last_per_key(given, ["new_id"], ord_col)
+    lookup = texts.select(F.col("new_id").alias("id"), F.col(column), F.lit(True).alias("_known"))
     usable = df.where(F.col("id").isNotNull() & _filled("pred_sql").isNotNull())
     return (
         usable.join(lookup, "id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreframe import sources as IO
 from scoreframe.functions import sqltext as S
 from scoreframe.operators import calls as K
+from scoreframe.operators import enrich
 from scoreframe.operators import errors as X
 from scoreframe.operators import refs as R
 from scoreframe.sources import SCHEMAS
@@ -294,3 +295,19 @@ def test_a_text_is_searched_once_per_pattern(spark):
     assert got == [[("nation", ["a", "c", "b"]), ("t2", ["z"])], [("nation", ["b"])], []]
     found = df.select(S.from_tables("pred_sql").alias("f")).first()["f"]
     assert [tuple(x) for x in found] == [("s.nation", "nation", "n"), ("t2", "t2", None)]
+
+
+def test_equal_schema_texts_are_parsed_once(spark, monkeypatch):
+    """Items that share a schema text share its catalog; the last item of an id counts."""
+    parsed = []
+    monkeypatch.setattr(enrich, "parse_schema", lambda df: parsed.append(df) or R.parse_schema(df))
+    shared, own = "# a (x int, y text)", "# b (z int)"
+    rows = [(k, k, shared) for k in range(50)] + [(3, 60, own), (4, 61, ""), (5, 62, None), (None, 63, own), (70, 1, "no table")]
+    items = spark.createDataFrame(rows, "new_id long, ord long, schema string")
+    preds = spark.createDataFrame([(k, "SELECT x FROM a") for k in [*range(51), 70]] + [(1, None), (None, "SELECT 1")], "id long, pred_sql string")
+    got = {r.id: r for r in enrich.attach_schema(preds, items, parse=True).collect()}
+    assert sorted(got) == [*range(51), 70] and got[50].schema_error and got[50].catalog is None
+    assert all((got[k].schema_error is None) for k in [*range(50), 70]) and got[70].catalog == []
+    assert {tuple(t.table for t in got[k].catalog) for k in range(50) if k != 3} == {("a",)}
+    assert [(t.table, t.columns) for t in got[3].catalog] == [("b", ["z"])]
+    assert parsed[0].count() == 3
