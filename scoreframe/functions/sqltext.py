@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import WHITESPACE, norm_ident
+from .text import let as named
 
 # Words never read as a column name.
 RESERVED = [
@@ -149,6 +150,11 @@ def closed_groups(p: str, lead: str, named: str | None = None) -> str:
     )
 
 
+def list_items(c: str) -> str:
+    """The comma list of a text without parentheses as ``closed_groups`` has it."""
+    return f"filter(transform(split(translate({c}, ',', '{_ARG_BREAK}'), '{_ARG_BREAK}'), a -> {stripped('a')}), a -> a <> '')"
+
+
 def outermost(gs: str) -> str:
     """The groups that lie in no other one."""
     return f"filter({gs}, g -> NOT exists({gs}, o -> o.start < g.start AND o.stop > g.start))"
@@ -177,7 +183,7 @@ def from_items(c: str) -> str:
         + let(
             f"btrim(regexp_extract(m, r'{_FROM}', 1), '\"`')",
             "r",
-            f"named_struct('raw', r, 'table', element_at(split(r, '[.]'), -1), 'alias', nullif(regexp_extract(m, r'{_FROM}', 2), ''))",
+            f"named_struct('raw', r, 'table', substring_index(r, '.', -1), 'alias', nullif(regexp_extract(m, r'{_FROM}', 2), ''))",
         )
         + ")"
     )
@@ -185,13 +191,10 @@ def from_items(c: str) -> str:
 
 def owner_pairs(c: str, clean: bool = False) -> str:
     """Of a text, or of one without comments and quoted texts if ``clean``."""
-    # A match has one dot, and neither name has white space.
-    part = lambda k: f"btrim(split_part(m, '.', {k}), '{WHITESPACE}\"')"
-    return let(
-        c if clean else _sanitized(c),
-        "clean",
-        f"transform(regexp_extract_all(clean, r'{_QUALIFIED}', 0), m -> named_struct('owner', {part(1)}, 'column', {part(2)}))",
-    )
+    # A match has one dot, and neither name has white space; around the dot is what \s stands for.
+    part = lambda k: f"btrim(substring_index(m, '.', {k}), ' \t\n\x0b\f\r\"')"
+    pairs = f"transform(regexp_extract_all(clean, r'{_QUALIFIED}', 0), m -> named_struct('owner', {part(1)}, 'column', {part(-1)}))"
+    return let(c if clean else _sanitized(c), "clean", f"CASE WHEN NOT contains(clean, '.') THEN array() ELSE {pairs} END")
 
 
 def bare_names(c: str, clean: bool = False, among: str | None = None) -> str:
@@ -199,9 +202,8 @@ def bare_names(c: str, clean: bool = False, among: str | None = None) -> str:
     text = c if clean else _sanitized(c)
     words = ", ".join(f"'{w}'" for w in RESERVED)
     found = f"regexp_extract_all({text}, r'{_BARE}', 1)"
-    if among:
-        found = f"filter({found}, n -> array_contains({among}, n))"
-    return f"filter(array_distinct({found}), n -> lower(n) NOT IN ({words}))"
+    found = f"array_intersect({found}, {among})" if among else f"array_distinct({found})"
+    return f"filter({found}, n -> lower(n) NOT IN ({words}))"
 
 
 # --- column functions; each takes the name of a column ------------------------------------
@@ -228,7 +230,7 @@ _TABLE_TEXT = rf"#[ \t]*({_NAME})\s*\(((?:[^()]++|{_SHALLOW})*+)\)"
 
 def _schema_readers(name: str) -> tuple[str, str, str]:
     """When the one-expression reader may be used, that reader and the one by pieces, as SQL."""
-    column = rf"regexp_extract(btrim(i, '{WHITESPACE}'), r'\A[\"`]?({_NAME})', 1)"
+    column = rf"regexp_extract(i, r'\A[{WHITESPACE}]*+[\"`]?({_NAME})', 1)"
     firsts = lambda tables: let(
         tables,
         "ts",
@@ -239,8 +241,9 @@ def _schema_readers(name: str) -> tuple[str, str, str]:
         ),
     )
     shallow = (
-        f"zip_with(regexp_extract_all({name}, r'{_TABLE_TEXT}', 1), regexp_extract_all({name}, r'{_TABLE_TEXT}', 2), "
-        f"(t, body) -> named_struct('table', t, 'columns', filter(transform(split(regexp_replace(body, r'{_SHALLOW}', ''), ','), "
+        # One search finds the tables; what is behind the first parenthesis of one is its list.
+        f"transform(regexp_extract_all({name}, r'{_TABLE_TEXT}', 0), m -> named_struct('table', regexp_extract(m, r'#[ \t]*({_NAME})', 1), "
+        f"'columns', filter(transform(split(regexp_replace(substr(m, instr(m, '(') + 1, length(m) - instr(m, '(') - 1), r'{_SHALLOW}', ''), ','), "
         f"i -> {column}), n -> n <> '')))"
     )
     deep = let(
@@ -362,10 +365,11 @@ def ref_pairs(tables: str) -> Column:
     pairs = F.flatten(
         F.transform(
             F.coalesce(F.col(tables), F.array().cast("array<struct<table:string,columns:array<string>>>")),
-            lambda t: F.transform(
-                F.coalesce(t["columns"], F.array().cast("array<string>")),
-                lambda c: F.struct(
-                    norm_ident(t["table"]).alias("table"), norm_ident(c).alias("column")
+            lambda t: named(
+                norm_ident(t["table"]),
+                lambda table: F.transform(
+                    F.coalesce(t["columns"], F.array().cast("array<string>")),
+                    lambda c: F.struct(table.alias("table"), norm_ident(c).alias("column")),
                 ),
             ),
         )

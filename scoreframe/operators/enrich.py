@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread, tasks_for
 from .order import last_per_key
 from .refs import parse_schema
 
@@ -36,18 +37,22 @@ def attach_schema(
     """Add the item's schema text and a ``schema_error`` where it has none.
 
     ``parse`` adds its ``catalog`` instead, parsed once per schema text; items find it by the text's
-    digest, so their texts are not shuffled. Rows without id or SQL are dropped.
+    digest, so their texts are not shuffled. Reading texts takes long per row, so the schema texts and
+    the rows of ``df`` are then dealt over all cores. Rows without id or SQL are dropped.
     """
     column = "catalog" if parse else "schema"
     given = items.where(_filled("schema").isNotNull())
     if parse:
         digest = F.unhex(F.sha2(F.col("schema").cast("binary"), 256)).alias("_digest")
-        catalogs = parse_schema(given.select("schema").distinct()).select(digest, "catalog")
+        schemas = spread(given.select("schema").distinct().select("schema", digest), "_digest")
+        catalogs = parse_schema(schemas).select("_digest", "catalog")
         texts = last_per_key(given.select("new_id", ord_col, digest), ["new_id"], ord_col).join(catalogs, "_digest")
     else:
         texts = last_per_key(given, ["new_id"], ord_col)
     lookup = texts.select(F.col("new_id").alias("id"), F.col(column), F.lit(True).alias("_known"))
     usable = df.where(F.col("id").isNotNull() & _filled("pred_sql").isNotNull())
+    if parse:
+        usable = spread(usable, "id", least=tasks_for(df.select("id")))
     return (
         usable.join(lookup, "id", "left")
         .withColumn("schema_error", F.when(F.col("_known").isNull(), F.lit(MISSING_SCHEMA)))

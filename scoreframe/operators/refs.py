@@ -59,19 +59,32 @@ def _known(table: str) -> str:
     return f"exists(cat, t -> t.table = {table})"
 
 
+def _call_readers(c: str) -> tuple[str, str, str]:
+    """When the reader by one expression may be used, that reader and the one by pieces, as SQL.
+
+    Both read array<struct<name, items>> of a masked text. Calls without parentheses between theirs, which are
+    nearly all, close at once and lie in no other one.
+    """
+    names = "|".join(sorted({*TABLE_FIRST, *TABLE_SECOND}))
+    opened, closed = rf"(?i)\b({names})\s*\(", rf"(?i)\b({names})\s*\([^()]*+\)"
+    plain = f"size(regexp_extract_all({c}, r'{opened}', 0)) = size(regexp_extract_all({c}, r'{closed}', 0))"
+    flat = (
+        f"transform(regexp_extract_all({c}, r'{closed}', 0), m -> named_struct('name', regexp_extract(m, r'{closed}', 1), "
+        f"'items', {S.list_items(r"substr(m, instr(m, '(') + 1, length(m) - instr(m, '(') - 1)")}))"
+    )
+    groups = S.closed_groups("ps", rf"(?i)\b({names})\s*\z")
+    outer = f"transform({S.outermost('gs')}, g -> named_struct('name', g.name, 'items', g.items))"
+    return plain, flat, S.let(S._pieces(c), "ps", S.let(groups, "gs", outer))
+
+
 def _management_calls(sql: str) -> str:
     """Closed calls of management functions, none inside another: (fn, args), args unquoted."""
-    names = "|".join(sorted({*TABLE_FIRST, *TABLE_SECOND}))
-    calls = S.let(
-        S._pieces(S._masked(sql)),
-        "ps",
-        S.let(
-            S.closed_groups("ps", rf"(?i)\b({names})\s*\z"),
-            "gs",
-            f"transform({S.outermost('gs')}, g -> named_struct('fn', lower(g.name), "
-            f"'args', transform(g.items, i -> nullif({S.unquoted(S.unmasked('i'))}, ''))))",
-        ),
+    plain, flat, deep = _call_readers("masked")
+    told = (
+        f"transform(CASE WHEN {plain} THEN {flat} ELSE {deep} END, g -> named_struct('fn', lower(g.name), "
+        f"'args', transform(g.items, i -> nullif({S.unquoted(S.unmasked('i'))}, ''))))"
     )
+    calls = S.let(S._masked(sql), "masked", told)
     # Few texts name such a function; the others are not taken apart.
     named = S.let(f"lower({sql})", "low", " OR ".join(f"contains(low, '{n}')" for n in sorted(MANAGEMENT)))
     return f"CASE WHEN {named} THEN {calls} ELSE array() END"
@@ -121,16 +134,17 @@ def _hits(sql: str) -> str:
     ``owner.column`` goes through the alias list. A bare name counts when exactly one
     table of the query has it and it is no alias. Only names that are columns of the query's
     tables can count, so the text is read only if there are such tables, and other names are dropped first.
+    The columns of those tables are one list of pairs, so that a pair is looked up by comparing it.
     """
     is_name = "f.table <=> {0} OR f.raw <=> {0} OR f.alias <=> {0}"
-    has = "exists(kt, t -> t.table = h.table AND array_contains(t.columns, h.column))"
     qualified = (
-        f"filter(transform(filter({S.owner_pairs('told', clean=True)}, q -> array_contains(names, q.column)), q -> named_struct('table', "
-        f"try_element_at(filter(fs, f -> {is_name.format('q.owner')}), -1).table, 'column', q.column)), h -> {has})"
+        f"filter(transform(filter({S.owner_pairs('told', clean=True)}, q -> exists(own, o -> o.column = q.column)), q -> named_struct('table', "
+        f"try_element_at(filter(fs, f -> {is_name.format('q.owner')}), -1).table, 'column', q.column)), "
+        "h -> exists(own, o -> o.column = h.column AND o.table = h.table))"
     )
     # The catalog may list a table twice; it is one owner.
     owned = S.let(
-        "array_distinct(transform(filter(kt, t -> array_contains(t.columns, b)), t -> t.table))",
+        "array_distinct(transform(filter(own, o -> o.column = b), o -> o.table))",
         "owners",
         "named_struct('table', CASE WHEN size(owners) = 1 THEN get(owners, 0) END, 'column', b)",
     )
@@ -138,9 +152,14 @@ def _hits(sql: str) -> str:
     bare = f"filter(transform({used}, b -> {owned}), h -> h.table IS NOT NULL)"
     # Both read the text without comments and quoted texts.
     both = S.let(S._sanitized(sql), "told", f"array_distinct(concat({qualified}, {bare}))")
-    names = "flatten(transform(kt, t -> coalesce(t.columns, CAST(array() AS ARRAY<STRING>))))"
-    some = f"CASE WHEN size(names) > 0 THEN {both} ELSE array() END"
-    return S.let("filter(cat, t -> array_contains(ts, t.table))", "kt", S.let(names, "names", some))
+    some = f"CASE WHEN size(own) > 0 THEN {S.let('transform(own, o -> o.column)', 'names', both)} ELSE array() END"
+    # ``array_contains`` asks for the type of its value each time, which a field of a struct has to look up.
+    known = "filter(cat, t -> exists(ts, x -> x = t.table))"
+    own = (
+        f"flatten(transform({known}, t -> transform(coalesce(t.columns, CAST(array() AS ARRAY<STRING>)), "
+        "c -> named_struct('table', t.table, 'column', c))))"
+    )
+    return S.let(own, "own", some)
 
 
 def resolve_columns(

@@ -37,13 +37,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows over all cores by ``keys``, a few tasks for each.
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """Deal the rows over all cores by ``keys``, a few tasks for each and ``least`` in all.
 
     For work that takes long per row: a table of a few million short rows lies in one file or a few
     row groups, and so few tasks would do it all.
     """
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, least), *keys)
 
 
 #: Rows of a sort that one task gets, about.

@@ -311,3 +311,36 @@ def test_equal_schema_texts_are_parsed_once(spark, monkeypatch):
     assert {tuple(t.table for t in got[k].catalog) for k in range(50) if k != 3} == {("a",)}
     assert [(t.table, t.columns) for t in got[3].catalog] == [("b", ["z"])]
     assert parsed[0].count() == 3
+
+
+def test_readers_of_management_calls_agree(spark):
+    """Where no call has parentheses between its own, one expression reads what the reader by pieces reads."""
+    import random
+
+    r = random.Random(7)
+    bits = ["find_srid(", "AddGeometryColumn (", "xfind_srid(", "st_estimatedextent\n(", "(", ")", ")", ") ", "'a'", ", ", ",", " ", "'b,c'", "x", "4326", "f(1)", "", "　"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    plain, flat, deep = R._call_readers("t")
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").where(F.expr(plain))
+    both = df.select("t", F.expr(flat).alias("a"), F.expr(deep).alias("b")).cache()
+    assert not both.where("a != b").take(5) and both.where("size(a) > 0").count() > 100
+
+
+def test_reading_references_is_dealt_over_all_cores(spark):
+    """Schema texts and predictions are dealt among more tasks than cores, and no small shuffle is put together again."""
+    items = spark.createDataFrame([(k, k, f"# t{k} (x int)") for k in range(20)], "new_id long, ord long, schema string")
+    preds = spark.createDataFrame([(k, f"SELECT x FROM t{k}") for k in range(20)], "id long, pred_sql string")
+    made = enrich.attach_schema(preds, items, parse=True)
+    assert made._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("REPARTITION_BY_NUM") >= 2
+    got = {r.id: [(t["table"], t["columns"]) for t in r["tables"]] for r in R.pick_refs(made).collect()}
+    assert got == {k: [(f"t{k}", ["x"])] for k in range(20)}
+
+
+def test_columns_are_looked_up_without_array_contains(spark):
+    """Columns are pairs with their table; null names, null texts and blanks around a dot stay what they are."""
+    assert "array_contains" not in R._hits("x")
+    cat = "array(named_struct('table', 'a', 'columns', array('x', CAST(NULL AS STRING), 'select')), named_struct('table', CAST(NULL AS STRING), 'columns', array('x', 'y')), named_struct('table', 'b', 'columns', CAST(NULL AS ARRAY<STRING>)))"
+    rows = [("select \"a\" \t.\n\x0b\"x\", x, y, select from s.a join b",), ("select x from b",), (None,)]
+    df = spark.createDataFrame(rows, "pred_sql string").withColumn("catalog", F.expr(cat))
+    assert [[tuple(h) for h in r["hits"]] for r in R.resolve_columns(df).collect()] == [[("a", "x")], [], []]
+    assert [r["q"] and [tuple(x) for x in r["q"]] for r in df.select(S.qualified_columns("pred_sql").alias("q")).collect()] == [[("a", "x"), ("s", "a")], [], None]
